@@ -34,12 +34,13 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id."""
+    """One document of each SimHash component: that with the smallest id. Repeated rows of it go too; rows
+    without an id name no component, and one of each text stays."""
     docs = docs.select(*COLUMNS)
     members = simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id")
-    # Rows without an id name no component; they stay.
     keep = members.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
