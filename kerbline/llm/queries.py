@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann_graph, byte_bpe, html_extract, packing, pu_quality, quality_rules, simhash, token_counts
+from . import ann_graph, byte_bpe, html_extract, lm_scoring, packing, pu_quality, quality_rules, simhash, token_counts
 
 QUERIES = {
+    "op1_lm_score": lm_scoring.op1_lm_score,
     "op2_simhash": simhash.op2_simhash,
     "op3_html_extract": html_extract.op3_html_extract,
     "op5_pack": packing.op5_pack,
