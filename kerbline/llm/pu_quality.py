@@ -9,8 +9,8 @@ features of the text alone minimises the non-negative unbiased risk
 unlabelled text ranks both, and the smallest ratio of unlabelled to positive mass over the tails of
 that ranking, with a margin for sampling error, bounds the share of positives among the unlabelled.
 
-The fit is on bounded samples (``sample`` rows of each kind, chosen by a hash of the id and the text, so
-at random and the same in every run); scoring reads every whole text.
+The fit is on bounded samples (``sample`` rows of each kind, chosen by a hash of the id, so at
+random and the same in every run); scoring reads every whole text.
 
 Defined cases: null and empty texts get the score of a text without any bytes; null ids fall into fold
 0; repeated rows give repeated rows; without any positives, or without unlabelled text, every score is
@@ -137,11 +137,13 @@ def apply(model: dict, x: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sample: int = SAMPLE) -> dict:
     """Model from positives labelled outside the held-out fold and from unlabelled documents outside it."""
-    trusted = labels.where((F.col("quality") == 1) & (textio.fold("doc_id", folds) != held)).select("doc_id").distinct()
-    pool = docs.where(textio.fold("doc_id", folds) != held).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_h"))
-    # The smallest hashes of each kind: chosen by id alone, so texts are read for the chosen rows only at the end.
-    positive = pool.join(trusted, "doc_id", "left_semi").orderBy("_h").limit(sample)
-    unlabelled = pool.orderBy("_h").limit(sample)
+    mark = F.xxhash64("doc_id")
+    outside = textio.fold("doc_id", folds) != held
+    pool = docs.where(outside).select("doc_id", "text")
+    # Ids are chosen first, so that only the chosen rows' texts are moved. Both id tables have at most ``sample`` rows.
+    trusted = labels.where((F.col("quality") == 1) & outside).select("doc_id").distinct().orderBy(mark).limit(sample)
+    chosen = pool.select("doc_id").distinct().orderBy(mark).limit(sample)
+    positive, unlabelled = (pool.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]) for ids in (trusted, chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
