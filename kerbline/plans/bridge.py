@@ -67,7 +67,7 @@ def _split(columns: str) -> list[str]:
 def with_views(sql: str) -> str:
     """The oracle's text after the views that it names."""
     views = {
-        "v_points": f"SELECT {_POINTS.replace('us %', 'epoch_us(ts) %').replace(', us', ', epoch_us(ts) AS us')} FROM events",
+        "v_points": f"SELECT {_POINTS} FROM (SELECT *, epoch_us(ts) AS us FROM events)",
         "v_donor": "SELECT * FROM v_points WHERE cls IN ('view', 'click')",
         "v_recipient": "SELECT * FROM v_points WHERE cls NOT IN ('view', 'click')",
         "v_shots": "SELECT pid AS image, user_id % 4 AS serial, us AS t, x, y, z FROM v_points WHERE cls = 'error'",
