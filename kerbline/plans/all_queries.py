@@ -1,6 +1,6 @@
 """Imports every module of queries, so that the registry is full."""
 
-from . import spatial_queries, temporal_queries  # noqa: F401
+from . import object_queries, spatial_queries, temporal_queries  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
