@@ -97,7 +97,7 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Encoder:
     """Texts to ids, with what words give kept up to ``most`` words."""
 
-    def __init__(self, path: str, pattern: str, most: int = 700_000):
+    def __init__(self, path: str, pattern: str, most: int = 400_000):
         import regex
 
         self.ranks, self.most = load_ranks(path), most
@@ -144,7 +144,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path, pattern)
-        for batch in batches:
+        for batch in textio.slices(batches, 1):
             n, a, b, ids, decoded = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 i, d = encoder.encode(text or "")

@@ -298,7 +298,7 @@ def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textio.slices(batches, n):
             texts = [extract(h) for h in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 

@@ -140,7 +140,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[bytes]], tuple[np.
                 first += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-        for batch in batches:
+        for batch in textio.slices(batches, 1):
             doc_ids, texts = batch.column(0).to_pylist(), textio.as_bytes(batch.column(1))
             at = 0
             while at < len(texts):

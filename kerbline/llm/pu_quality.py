@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sam
     positive, unlabelled = (pool.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]) for ids in (trusted, chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textio.slices(batches, 0):
             x = features(textio.as_bytes(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["kind", "x"])
 
@@ -163,7 +163,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     n = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textio.slices(batches, n):
             s = apply(shipped.value, features(textio.as_bytes(batch.column(n))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], [*keep, "score"])
 

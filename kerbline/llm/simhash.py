@@ -71,7 +71,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the fingerprint's bits as a signed long) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textio.slices(batches, 1):
             texts, at = textio.as_bytes(batch.column(1)), 0
             out = []
             while at < len(texts):

@@ -90,7 +90,7 @@ def token_counts(docs: DataFrame, path: str, chunk_bytes: int = 1 << 14) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Transducer(path)
-        for batch in batches:
+        for batch in textio.slices(batches, 1):
             texts, doc_ids = textio.as_bytes(batch.column(1)), batch.column(0)
             out: list[int] = []
             at = 0
