@@ -72,3 +72,189 @@ def spline_track(track: DataFrame, by: str, time: str, axes: tuple[str, ...], wi
         return pd.DataFrame(data)
 
     return rows.groupBy(by, "_w").applyInPandas(fit, out)
+
+
+def fit_plane(p: np.ndarray) -> dict[str, float]:
+    """Orthogonal plane fit with equal weights (the Gauss-Helmert solution): normal, offset, rmse and the
+    standard deviation of the offset. Fewer than 3 points, or points on a line, give nan."""
+    nan = dict.fromkeys(("a", "b", "c", "d", "rmse", "sd"), float("nan"))
+    if len(p) < 3:
+        return nan
+    m = p.mean(0)
+    w, v = np.linalg.eigh((p - m).T @ (p - m) / len(p))
+    if w[1] < 1e-14:
+        return nan
+    n = v[:, 0] if v[2, 0] >= 0 else -v[:, 0]
+    rest = float(max(0.0, w[0]) * len(p))
+    sigma = (rest / max(1, len(p) - 3)) ** 0.5
+    return {"a": n[0], "b": n[1], "c": n[2], "d": float(-n @ m), "rmse": (rest / len(p)) ** 0.5, "sd": sigma / len(p) ** 0.5}
+
+
+def plane_patches(points: DataFrame, by: str, largest: int = 100_000) -> DataFrame:
+    """by, n, a, b, c, d, rmse of each patch's plane, from moments only: patches may be of any size."""
+    pairs = [(a, b) for i, a in enumerate("xyz") for b in "xyz"[i:]]
+    g = points.groupBy(by).agg(F.count("*").alias("n"), *(F.avg(c).alias(c) for c in "xyz"), *(F.covar_pop(a, b).alias(a + b) for a, b in pairs))
+    kind = points.schema[by].dataType.simpleString()
+
+    def solve(batches):
+        for f in batches:
+            out = []
+            for r in f.itertuples():
+                s = np.array([[r.xx, r.xy, r.xz], [r.xy, r.yy, r.yz], [r.xz, r.yz, r.zz]])
+                w, v = np.linalg.eigh(s)
+                n = v[:, 0] if v[2, 0] >= 0 else -v[:, 0]
+                ok = r.n >= 3 and w[1] > 1e-14
+                out.append((getattr(r, by), r.n, *(map(float, n) if ok else [float("nan")] * 3), float(-(n @ [r.x, r.y, r.z])) if ok else float("nan"), float(max(0, w[0])) ** 0.5 if ok else float("nan")))
+            yield pd.DataFrame(out, columns=[by, "n", "a", "b", "c", "d", "rmse"])
+
+    return g.mapInPandas(solve, f"{by} {kind}, n long, a double, b double, c double, d double, rmse double")
+
+
+def refine_point(start: np.ndarray, cameras: np.ndarray, rotations: np.ndarray, pixels: np.ndarray, k: tuple[float, float, float, float], delta: float = 80.0, sigma: float = 15.0, steps: int = 8) -> tuple[np.ndarray, float, float, int]:
+    """Position that minimises Huber-weighted reprojection errors (Gauss-Newton): position, rms before, rms after, n.
+
+    cameras (n, 3) and rotations (n, 3, 3) take x to R^T (x - c); pixels (n, 2); k = fx, fy, cx, cy.
+    """
+    fx, fy, cx, cy = k
+
+    def errors(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q = np.einsum("nji,nj->ni", rotations, x - cameras)
+        ok = q[:, 2] > 1e-6
+        z = np.where(ok, q[:, 2], 1.0)
+        e = np.stack([fx * q[:, 0] / z + cx, fy * q[:, 1] / z + cy], 1) - pixels
+        j = np.zeros((len(q), 2, 3))
+        j[:, 0, 0], j[:, 0, 2], j[:, 1, 1], j[:, 1, 2] = fx / z, -fx * q[:, 0] / z**2, fy / z, -fy * q[:, 1] / z**2
+        return e, np.einsum("nab,ncb->nac", j, rotations), ok
+
+    rms = lambda e, ok: float(np.sqrt((e[ok] ** 2).sum(1).mean())) if ok.any() else float("nan")
+    x = start.astype(float)
+    e, j, ok = errors(x)
+    before = rms(e, ok)
+    for _ in range(steps):
+        if ok.sum() < 2:
+            break
+        size = np.linalg.norm(e, axis=1)
+        w = np.where(size > delta, delta / np.maximum(size, 1e-12), 1.0) * ok / sigma**2
+        a, b = np.einsum("n,nai,naj->ij", w, j, j), np.einsum("n,nai,na->i", w, j, e)
+        step = np.linalg.lstsq(a, -b, rcond=None)[0]
+        x = x + step
+        e, j, ok = errors(x)
+        if np.linalg.norm(step) < 1e-4:
+            break
+    return x, before, rms(e, ok), int(ok.sum())
+
+
+def refine_objects(observations: DataFrame, k: tuple[float, float, float, float]) -> DataFrame:
+    """object_id, x, y, z, rms_before, rms_after, n: each object's own problem; observations (object_id, sx, sy,
+    sz, cam array, rot array of 9, u, v) of one object fit in a task."""
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        x, b, a, n = refine_point(g[["sx", "sy", "sz"]].iloc[0].to_numpy(float), np.stack(g["cam"].to_numpy()), np.stack(g["rot"].to_numpy()).reshape(-1, 3, 3), g[["u", "v"]].to_numpy(float), k)
+        return pd.DataFrame({"object_id": [key[0]], "x": [x[0]], "y": [x[1]], "z": [x[2]], "rms_before": [b], "rms_after": [a], "n": [n]})
+
+    return observations.groupBy("object_id").applyInPandas(one, "object_id long, x double, y double, z double, rms_before double, rms_after double, n long")
+
+
+def _pose(p: np.ndarray) -> np.ndarray:
+    c, s = np.cos(p[2]), np.sin(p[2])
+    return np.array([[c, -s, p[0]], [s, c, p[1]], [0, 0, 1]])
+
+
+def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 20, delta: float = 3.0) -> np.ndarray:
+    """Plane poses (n, 3) that best agree with relative measurements (i, j, (dx, dy, dyaw), information 3x3):
+    Gauss-Newton with Huber weights, the first pose fixed. Block sparse: conjugate gradients, no dense matrix."""
+    x = poses.astype(float).copy()
+    n = len(x)
+    ei, ej = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
+    z, info = np.stack([e[2] for e in edges]).astype(float), np.stack([e[3] for e in edges]).astype(float)
+    wrap = lambda a: (a + np.pi) % (2 * np.pi) - np.pi
+    for _ in range(steps):
+        a, b = x[ei], x[ej]
+        c, s = np.cos(a[:, 2]), np.sin(a[:, 2])
+        d = b[:, :2] - a[:, :2]
+        e = np.stack([c * d[:, 0] + s * d[:, 1] - z[:, 0], -s * d[:, 0] + c * d[:, 1] - z[:, 1], wrap(b[:, 2] - a[:, 2] - z[:, 2])], 1)
+        zero, one = np.zeros_like(c), np.ones_like(c)
+        ja = np.stack([np.stack([-c, -s, -s * d[:, 0] + c * d[:, 1]], 1), np.stack([s, -c, -c * d[:, 0] - s * d[:, 1]], 1), np.stack([zero, zero, -one], 1)], 1)
+        jb = np.stack([np.stack([c, s, zero], 1), np.stack([-s, c, zero], 1), np.stack([zero, zero, one], 1)], 1)
+        size = np.sqrt(np.maximum(np.einsum("na,nab,nb->n", e, info, e), 1e-18))
+        w = info * np.where(size > delta, delta / size, 1.0)[:, None, None]
+
+        def times(v: np.ndarray, ja=ja, jb=jb, w=w) -> np.ndarray:
+            r = np.einsum("nab,nbc,nc->na", w, ja, v[ei]) + np.einsum("nab,nbc,nc->na", w, jb, v[ej])
+            out = np.zeros_like(v)
+            np.add.at(out, ei, np.einsum("nba,nb->na", ja, r))
+            np.add.at(out, ej, np.einsum("nba,nb->na", jb, r))
+            out[0] = v[0]
+            return out
+
+        g = np.zeros((n, 3))
+        np.add.at(g, ei, -np.einsum("nba,nbc,nc->na", ja, w, e))
+        np.add.at(g, ej, -np.einsum("nba,nbc,nc->na", jb, w, e))
+        g[0] = 0
+        step, r = np.zeros_like(g), g.copy()
+        p, rr = r.copy(), float((r * r).sum())
+        for _ in range(20 * n):
+            if rr < 1e-20:
+                break
+            ap = times(p)
+            alpha = rr / max(float((p * ap).sum()), 1e-300)
+            step += alpha * p
+            r -= alpha * ap
+            new = float((r * r).sum())
+            p, rr = r + new / rr * p, new
+        x += step
+        x[:, 2] = wrap(x[:, 2])
+        if np.abs(step).max() < 1e-8:
+            break
+    return x
+
+
+def simplify(line: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas-Peucker without recursion: indices of the kept vertices."""
+    keep, todo = np.zeros(len(line), bool), [(0, len(line) - 1)]
+    keep[[0, -1]] = True
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        d, p = line[b] - line[a], line[a + 1 : b] - line[a]
+        size = np.linalg.norm(d)
+        away = np.abs(p[:, 0] * d[1] - p[:, 1] * d[0]) / size if size > 0 else np.linalg.norm(p, axis=1)
+        i = int(away.argmax())
+        if away[i] > tolerance:
+            keep[a + 1 + i] = True
+            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+    return np.flatnonzero(keep)
+
+
+def polylines(points: DataFrame, by: str = "cluster", tolerance: float = 0.10) -> DataFrame:
+    """by, seq, x, y, z: each cluster's points in order of their principal axis, simplified. A cluster fits in a task."""
+    kind = points.schema[by].dataType.simpleString()
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        p = g.sort_values("pid")[["x", "y", "z"]].to_numpy(float)
+        q = p[:, :2] - p[:, :2].mean(0)
+        axis = np.linalg.eigh(q.T @ q)[1][:, -1]
+        p = p[np.argsort(q @ axis, kind="stable")]
+        p = p[simplify(p[:, :2], tolerance)]
+        return pd.DataFrame({by: key[0], "seq": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+
+    return points.where(F.col(by).isNotNull()).select(by, "pid", "x", "y", "z").groupBy(by).applyInPandas(one, f"{by} {kind}, seq long, x double, y double, z double")
+
+
+def hand_eye(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """X of A X = X B from pairs of 4x4 motions (two at least, with different axes): rotation from the aligned
+    rotation vectors, translation by least squares."""
+
+    def vector(r: np.ndarray) -> np.ndarray:
+        t = np.arccos(np.clip((np.trace(r) - 1) / 2, -1, 1))
+        v = np.array([r[2, 1] - r[1, 2], r[0, 2] - r[2, 0], r[1, 0] - r[0, 1]])
+        return v * (0.5 if t < 1e-8 else t / (2 * np.sin(t)))
+
+    u, _, vt = np.linalg.svd(sum(np.outer(vector(q[:3, :3]), vector(p[:3, :3])) for p, q in zip(a, b, strict=True)))
+    r = vt.T @ np.diag([1, 1, np.linalg.det(vt.T @ u.T)]) @ u.T
+    left = np.concatenate([p[:3, :3] - np.eye(3) for p in a])
+    right = np.concatenate([r @ q[:3, 3] - p[:3, 3] for p, q in zip(a, b, strict=True)])
+    x = np.eye(4)
+    x[:3, :3], x[:3, 3] = r, np.linalg.lstsq(left, right, rcond=None)[0]
+    return x
