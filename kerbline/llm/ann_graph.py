@@ -9,8 +9,9 @@ block's queries in lockstep; the found rows are scored exactly and the best k of
 Nearness is the inner product. Graph and search work on vectors with one more component,
 sqrt(max norm^2 - norm^2), so that the largest inner product is the smallest Euclidean distance.
 
-The index covers every row. Bounds: a shard holds about ``shard_rows`` rows and a query block about
-``block_rows`` queries, so a task holds one of each. Equal vectors of a shard count as one node, of
+The index covers every row; it is a table, built once and written to the checkpoint folder. Bounds: a
+shard holds about ``shard_rows`` rows and a query block about ``block_rows`` queries, so a task holds one
+of each. Equal vectors of a shard count as one node, of
 which a query needs its k + 1 smallest ids at most.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from . import textio
 
-DEGREE, BEAM, ALPHA = 32, 128, 1.2
-SHARD_ROWS, BLOCK_ROWS = 8192, 2048
+DEGREE, BEAM, WIDE, ALPHA = 32, 128, 4, 1.2
+SHARD_ROWS, BLOCK_ROWS = 8192, 4096
 
 
 def clean(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -45,71 +46,89 @@ def lift(x: np.ndarray, top: float) -> np.ndarray:
     return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of the beam of each query (rows), nearest first; -1 and inf where unused.
 
-    graph: neighbours of each node, -1 where unused. Each round expands the nearest node that is not yet
-    expanded of every query that has one.
+    graph: neighbours of each node, -1 where unused. Each round expands the ``wide`` nearest nodes that are
+    not yet expanded of every query that has one, and measures only nodes that the query has not seen.
     """
     nq, n = len(queries), len(x)
     sq = (x * x).sum(1)
     ids = np.full((nq, beam), -1, np.int32)
     dist = np.full((nq, beam), np.inf, np.float32)
-    done = np.zeros((nq, beam), bool)
-    seen = np.zeros((nq, n), bool)
+    done = np.ones((nq, beam), bool)
+    seen = np.zeros((nq, n + 1), bool)  # the last column stands for no node
+    seen[:, n] = True
     qq = (queries * queries).sum(1)
-    ids[:, 0] = entry
+    ids[:, 0], done[:, 0] = entry, False
     dist[:, 0] = qq + sq[entry] - 2 * queries @ x[entry]
     seen[:, entry] = True
     active = np.arange(nq)
-    while len(active):
-        open_ = np.where(done[active] | (ids[active] < 0), np.inf, dist[active])
-        best = open_.argmin(1)
-        has = np.isfinite(open_[np.arange(len(active)), best])
-        active, best = active[has], best[has]
+    while True:
+        open_ = ~done[active]
+        has = open_.any(1)
+        active, open_ = active[has], open_[has]
         if not len(active):
-            break
-        done[active, best] = True
-        near = graph[ids[active, best]]
-        fresh = (near >= 0) & ~seen[active[:, None], near]
-        seen[active[:, None], np.where(near >= 0, near, ids[active, best][:, None])] = True
-        d = qq[active, None] + sq[near] - 2 * np.matmul(x[near], queries[active][:, :, None])[:, :, 0]
-        d = np.where(fresh, d, np.inf)
-        all_d = np.concatenate([dist[active], d], 1)
-        all_i = np.concatenate([ids[active], near], 1)
-        all_done = np.concatenate([done[active], np.zeros_like(fresh)], 1)
+            return ids, dist
+        expand = open_ & (np.cumsum(open_, 1) <= wide)  # beams are sorted by distance
+        r, slot = np.nonzero(expand)
+        done[active[r], slot] = True
+        near = graph[ids[active[r], slot]]
+        rows = np.repeat(active[r], near.shape[1])
+        nodes = near.reshape(-1)
+        fresh = ~seen[rows, nodes]
+        rows, nodes = rows[fresh], nodes[fresh]
+        key = np.unique(rows.astype(np.int64) * (n + 1) + nodes)  # two expanded nodes may share a neighbour
+        rows, nodes = key // (n + 1), (key % (n + 1)).astype(np.int32)
+        if not len(rows):
+            continue
+        seen[rows, nodes] = True
+        d = qq[rows] + sq[nodes] - 2 * np.einsum("ij,ij->i", x[nodes], queries[rows])
+        first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+        size = np.diff([*first, len(rows)])
+        at = rows[first]
+        more_d = np.full((len(at), int(size.max())), np.inf, np.float32)
+        more_i = np.full(more_d.shape, -1, np.int32)
+        where = np.repeat(np.arange(len(at)), size), np.arange(len(rows)) - np.repeat(first, size)
+        more_d[where], more_i[where] = d, nodes
+        all_d = np.concatenate([dist[at], more_d], 1)
         order = np.argsort(all_d, 1, kind="stable")[:, :beam]
-        dist[active] = np.take_along_axis(all_d, order, 1)
-        ids[active] = np.where(np.isfinite(dist[active]), np.take_along_axis(all_i, order, 1), -1)
-        done[active] = np.take_along_axis(all_done, order, 1)
-    return ids, dist
+        dist[at] = np.take_along_axis(all_d, order, 1)
+        ids[at] = np.take_along_axis(np.concatenate([ids[at], more_i], 1), order, 1)
+        done[at] = np.take_along_axis(np.concatenate([done[at], more_i < 0], 1), order, 1)
+
+
+def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float, most: int = 96) -> np.ndarray:
+    """Neighbours of each node out of the ``most`` nearest of its candidates (rows, -1: none): nearest first,
+    dropping those that a kept one is nearer to by the factor alpha."""
+    out = np.full((len(nodes), degree), -1, np.int32)
+    for s in range(0, len(nodes), 128):
+        out[s : s + 128] = _prune(x, nodes[s : s + 128], cand[s : s + 128], degree, alpha, most)
+    return out
 
 
-def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Neighbours of each node out of its candidates (rows, -1: none): nearest first, dropping those that a
-    kept one is nearer to by the factor alpha."""
-    cand = np.where(cand == nodes[:, None], -1, cand)
-    cand = np.sort(cand, 1)
+def _prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float, most: int) -> np.ndarray:
+    cand = np.sort(np.where(cand == nodes[:, None], -1, cand), 1)
     cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = -1
-    d = ((x[cand] - x[nodes][:, None, :]) ** 2).sum(2)
+    sq = (x * x).sum(1)
+    d = sq[cand] + sq[nodes][:, None] - 2 * np.matmul(x[cand], x[nodes][:, :, None])[:, :, 0]
     d[cand < 0] = np.inf
-    order = np.argsort(d, 1, kind="stable")
+    order = np.argsort(d, 1, kind="stable")[:, :most]
     cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
+    v = x[cand]
+    apart = sq[cand][:, :, None] + sq[cand][:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
     alive = np.isfinite(d)
     out = np.full((len(nodes), degree), -1, np.int32)
-    rows = np.arange(len(nodes))
     used = np.zeros(len(nodes), int)
     for _ in range(degree):
         pick = alive.argmax(1)
-        ok = alive[rows, pick]
-        if not ok.any():
+        r = np.flatnonzero(alive[np.arange(len(nodes)), pick])
+        if not len(r):
             break
-        r, p = rows[ok], pick[ok]
-        chosen = cand[r, p]
-        out[r, used[r]] = chosen
+        p = pick[r]
+        out[r, used[r]] = cand[r, p]
         used[r] += 1
-        to_chosen = ((x[cand[r]] - x[chosen][:, None, :]) ** 2).sum(2)
-        alive[r] &= alpha * alpha * to_chosen > d[r]
+        alive[r] &= alpha * alpha * apart[r, p] > d[r]
         alive[r, p] = False
     return out
 
@@ -125,7 +144,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = AL
     while at < n:
         batch = order[at : at + size]
         cand, _ = beam_search(x, graph, entry, x[batch], beam)
-        if at < 512:  # a small graph: all of it is close
+        if at < 96:  # a small graph: all of it is close
             cand = np.concatenate([cand, np.broadcast_to(order[:at], (len(batch), at))], 1).astype(np.int32)
         graph[batch] = robust_prune(x, batch, cand, degree, alpha)
         src, slot = np.nonzero(graph[batch] >= 0)
@@ -146,28 +165,38 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = AL
     return graph, entry
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best k rows of one shard for each query, by exact double products."""
+def index_shard(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of a shard sorted so that equal vectors stand together: ids, vectors, the node of each row, and for
+    each row the neighbours of its node if it is the node's first, else none (-1)."""
     order = np.lexsort([ids, *x.T[::-1]])
     ids, x = ids[order], x[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
-    first = np.flatnonzero(new)
+    distinct = x[new]
+    graph, entry = build(lift(distinct, float((distinct * distinct).sum(1).max())))
+    neighbours = np.full((len(ids), graph.shape[1] + 1), -1, np.int32)
+    neighbours[new, :-1] = graph
+    neighbours[:, -1] = entry
+    return ids, x, np.cumsum(new) - 1, neighbours
+
+
+def search_shard(ids: np.ndarray, x: np.ndarray, node: np.ndarray, neighbours: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query id, id, score) of the best k rows found in one shard for each query, by exact double products."""
+    first = np.searchsorted(node, np.arange(node[-1] + 1))
     size = np.diff([*first, len(x)])
-    distinct = x[first]
-    top = float(max((distinct * distinct).sum(1).max(), 0))
+    distinct, graph, entry = x[first], neighbours[first, :-1], int(neighbours[0, -1])
+    top = float((distinct * distinct).sum(1).max())
     lifted = lift(distinct, top)
-    graph, entry = build(lifted)
     out_q, out_i, out_s = [], [], []
     for a in range(0, len(q), 512):
         part, part_ids = q[a : a + 512], qids[a : a + 512]
-        # A query's scale does not change its order; at its own largest norm it meets the lifted vectors best.
+        # A query's scale does not change its order; at the largest norm it meets the lifted vectors best.
         scaled = part / np.maximum(np.sqrt((part * part).sum(1)), 1e-300)[:, None] * np.sqrt(top)
         found, _ = beam_search(lifted, graph, entry, np.concatenate([scaled, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
         for row, qid, vector in zip(found, part_ids, part, strict=True):
             nodes = row[row >= 0]
-            score = distinct[nodes] @ vector
-            take = np.argsort(-score, kind="stable")[: k + 1]
-            rows = np.concatenate([np.arange(first[n], first[n] + min(size[n], k + 1)) for n in nodes[take]])
+            take = nodes[np.argsort(-(distinct[nodes] @ vector), kind="stable")[: k + 1]]
+            many = np.minimum(size[take], k + 1)
+            rows = np.repeat(first[take] - np.cumsum(many) + many, many) + np.arange(many.sum())
             rows = rows[ids[rows] != qid]
             s = (x[rows] * vector).sum(1)  # one sum order for all rows, so that equal vectors have equal scores
             best = np.lexsort((ids[rows], -s))[:k]
@@ -177,6 +206,16 @@ def search_shard(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray
     return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
+def build_index(rows: DataFrame) -> DataFrame:
+    """The index table of rows (shard, id, vec): adds each row's node and its neighbours and entry node."""
+
+    def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        ids, x, node, neighbours = index_shard(g["id"].to_numpy(), np.stack(g["vec"].to_numpy()).astype(np.float64))
+        return pd.DataFrame({"shard": key[0], "id": ids, "vec": list(x), "node": node, "neighbours": list(neighbours)})
+
+    return rows.select("shard", "id", "vec").groupBy("shard").applyInPandas(one, "shard int, id long, vec array<double>, node int, neighbours array<int>")
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vec", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row of queries (columns as in table)."""
     rows, asked = clean(table, id_column, vector), clean(queries, id_column, vector)
@@ -188,13 +227,15 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
     rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width)
     spread = lambda c, m: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(m)).cast("int")
-    left = rows.withColumn("shard", spread("id", shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    index = textio.cut(build_index(rows.withColumn("shard", spread("id", shards))))
+    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     right = asked.withColumn("block", spread("id", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
-    def one(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        found = search_shard(a["id"].to_numpy(), np.stack(a["vec"].to_numpy()).astype(np.float64), b["id"].to_numpy(), np.stack(b["vec"].to_numpy()).astype(np.float64), k)
+        a = a.sort_values(["node", "id"])
+        found = search_shard(a["id"].to_numpy(), np.stack(a["vec"].to_numpy()), a["node"].to_numpy(), np.stack(a["neighbours"].to_numpy()), b["id"].to_numpy(), np.stack(b["vec"].to_numpy()), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
 
     found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(one, "query_id long, vec_id long, score double")
