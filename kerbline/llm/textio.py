@@ -6,6 +6,7 @@ the matches of ``[^\\x20\\x09-\\x0D]+``, and ``bytes.lower()`` lower-cases exact
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import os
 import zlib
@@ -55,16 +56,32 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in column.cast(kind).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def give_back() -> None:
+    """Returns memory that this worker has freed to the system, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+_LIBC = ctypes.CDLL(None) if os.name == "posix" else None
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has at most ``most`` bytes of text, or one row: what a task holds at once
     does not depend on how many rows of what length a batch has."""
+    taken = 0
     for batch in batches:
         size = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         ends, at = np.cumsum(size), 0
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
             yield batch.slice(at, end - at)
+            taken += int(ends[end - 1] - (ends[at - 1] if at else 0))
             at = end
+            if taken > 16 << 20:
+                taken = 0
+                give_back()
+    give_back()
 
 
 def spans(lengths: Iterable[int]) -> np.ndarray:
@@ -97,10 +114,10 @@ class Lexicon:
     """Words to token ids of a public tokenizer, learned as words come.
 
     The tokenizer splits at white space before it merges, so a text's ids are the ids of its words one
-    after the other. ``most`` bounds the memory: past it the lexicon starts anew, which changes no result.
+    after the other. ``most`` bounds the memory: past it half is forgotten, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -117,6 +134,12 @@ class Lexicon:
         self.counts = np.zeros(1 << 14, np.int32)
         self.used = 0
 
+    def forget(self) -> None:
+        """Keeps the half that was learned first, which has most of the frequent words."""
+        n = self.most // 2
+        self.index = dict(itertools.islice(self.index.items(), n))
+        self.used = int(self.starts[n])
+
     def add(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 8192):
             part = words[at : at + 8192]
@@ -170,7 +193,7 @@ class Lexicon:
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Row of each word; rows hold until the next call."""
         if len(self.index) > self.most:
-            self.reset()
+            self.forget()
         get = self.index.get
         rows = np.fromiter(map(get, words, itertools.repeat(-1)), np.int32, len(words))
         if len(missing := np.flatnonzero(rows < 0)):
