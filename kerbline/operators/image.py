@@ -89,12 +89,12 @@ def sample_images(projected: DataFrame, images: DataFrame, method: str = "biline
 
     def one(key: tuple, p: pd.DataFrame, im: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(im):
-            return pd.DataFrame({"pid": [], "image": [], "r": [], "g": [], "b": []})
+            return pd.DataFrame({"pid": np.zeros(0, np.int64), "image": np.zeros(0, object), "r": np.zeros(0), "g": np.zeros(0), "b": np.zeros(0)})
         r = im.iloc[0]
         a = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], 3)
         u, v = p["u"].to_numpy(float), p["v"].to_numpy(float)
         c = bilinear(a, u, v) if method == "bilinear" else a[np.clip(np.rint(v), 0, a.shape[0] - 1).astype(int), np.clip(np.rint(u), 0, a.shape[1] - 1).astype(int)].astype(float)
-        return pd.DataFrame({"pid": p["pid"].to_numpy(), "image": key[0], "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
+        return pd.DataFrame({"pid": p["pid"].to_numpy(), "image": [key[0]] * len(p), "r": c[:, 0], "g": c[:, 1], "b": c[:, 2]})
 
     kind = projected.schema["image"].dataType.simpleString()
     return projected.select("pid", "image", "u", "v").groupBy("image").cogroup(images.select("image", "width", "height", "pixels").groupBy("image")).applyInPandas(one, f"pid long, image {kind}, r double, g double, b double")

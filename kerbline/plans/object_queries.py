@@ -303,11 +303,11 @@ def rounded_key_trust(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 WITH g AS (SELECT floor(x / 0.5)::BIGINT AS bin, count(*) AS n, quantile_cont(z, 0.02) AS lo, quantile_cont(z, 0.98) AS hi FROM v_points WHERE y < 20 GROUP BY 1 HAVING count(*) >= 3),
 e AS (SELECT unnest(range((SELECT min(bin) FROM g), (SELECT max(bin) FROM g) + 1)) AS bin), p AS (SELECT e.bin, g.n, (SELECT max(bin) FROM g WHERE g.bin <= e.bin) AS a, (SELECT min(bin) FROM g WHERE g.bin >= e.bin) AS b FROM e LEFT JOIN g ON g.bin = e.bin)
-SELECT p.bin, round(ga.lo + CASE WHEN a = b THEN 0 ELSE (p.bin - a) / (b - a)::DOUBLE END * (gb.lo - ga.lo), 6) AS lo, round(ga.hi + CASE WHEN a = b THEN 0 ELSE (p.bin - a) / (b - a)::DOUBLE END * (gb.hi - ga.hi), 6) AS hi, p.n IS NULL AS filled FROM p JOIN g ga ON ga.bin = a JOIN g gb ON gb.bin = b WHERE (SELECT count(*) FROM v_points) > 0
+SELECT p.bin, round(ga.lo + CASE WHEN a = b THEN 0 ELSE (p.bin - a) / (b - a)::DOUBLE END * (gb.lo - ga.lo), 9) AS lo, round(ga.hi + CASE WHEN a = b THEN 0 ELSE (p.bin - a) / (b - a)::DOUBLE END * (gb.hi - ga.hi), 9) AS hi, p.n IS NULL AS filled FROM p JOIN g ga ON ga.bin = a JOIN g gb ON gb.bin = b WHERE (SELECT count(*) FROM v_points) > 0
 """)
 def bin_percentile_fill(spark: SparkSession, d: str) -> DataFrame:
     p = B.points(spark, d).where("y < 20").select("z", F.floor(F.col("x") / 0.5).alias("bin"))
-    return O.bin_percentiles(p, "z", "bin", 0.02, 0.98).select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), "filled")
+    return O.bin_percentiles(p, "z", "bin", 0.02, 0.98).select("bin", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "filled")
 
 
 @query("SELECT label, count(*) AS n, round(avg(a), 6) AS mx, round(avg(b), 6) AS my, round(avg(c), 6) AS mz, round(covar_pop(a, b), 6) AS sxy, round(covar_pop(a, c), 6) AS sxz, round(covar_pop(b, c), 6) AS syz, round(covar_pop(a, a), 6) AS sxx FROM (SELECT label, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings) GROUP BY 1")
