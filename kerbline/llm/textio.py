@@ -117,21 +117,29 @@ class Lexicon:
     after the other. ``most`` bounds the memory: past it half is forgotten, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.ends: np.ndarray | None = None
+        self.of: dict[bytes, int] | None = None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.reset()
 
+    def attach(self, values: dict[bytes, int]) -> None:
+        """From now on ``values`` of new words are kept in ``value`` beside their ids (0 for others)."""
+        if self.of is not values:
+            self.of = values
+            self.reset()
+
     def reset(self) -> None:
         self.index: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int32)
+        self.value = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def forget(self) -> None:
@@ -147,11 +155,13 @@ class Lexicon:
             n, m = len(self.index), len(part)
             if n + m > len(self.starts):
                 more = max(len(self.starts), m)
-                self.starts, self.counts = np.concatenate([self.starts, np.zeros(more, np.int64)]), np.concatenate([self.counts, np.zeros(more, np.int32)])
+                self.starts, self.counts, self.value = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.counts, self.value))
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.counts[n : n + m] = counts
+            if self.of is not None:
+                self.value[n : n + m] = np.fromiter(map(self.of.get, part, itertools.repeat(0)), np.int64, m)
             self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
             self.index.update(zip(part, range(n, n + m), strict=True))
@@ -177,11 +187,11 @@ class Lexicon:
         joined = np.array(self.tokenizer.encode_batch_fast([b" ".join(quick).decode()], add_special_tokens=False)[0].ids if quick else [], np.uint32)
         ends = np.flatnonzero(self.ends[joined])
         expected = np.cumsum(pieces[plain])
-        if len(quick) and (len(ends) != expected[-1] or ends[-1] != len(joined) - 1):
+        if quick and (len(ends) != expected[-1] or (len(ends) and ends[-1] != len(joined) - 1)):
             plain[:], quick, joined = False, [], joined[:0]
         counts = np.zeros(len(words), np.int64)
         if quick:
-            counts[plain] = np.diff(np.concatenate([[-1], ends[expected - 1]]))
+            counts[plain] = np.diff(np.concatenate([[0], np.concatenate([[0], ends + 1])[expected]]))
         slow = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w, p in zip(words, plain, strict=True) if not p], add_special_tokens=False)]
         counts[~plain] = list(map(len, slow))
         ids = np.empty(int(counts.sum()), np.uint32)
