@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textio
-from .components import components
+from ..operators.graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Bits of the three blocks, low to high.

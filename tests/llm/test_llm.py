@@ -15,7 +15,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann_graph, attention, byte_bpe, components, html_extract, lm_scoring, packing, pu_quality, quality_rules, queries, simhash, textio, token_counts, tool_chat
+from kerbline.operators.graph import components
+from kerbline.llm import ann_graph, attention, byte_bpe, html_extract, lm_scoring, packing, pu_quality, quality_rules, queries, simhash, textio, token_counts, tool_chat
 
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -198,7 +199,7 @@ def test_large_buckets_link_exactly():
 
 def test_components_of_a_hub(spark):
     e = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(5000 + i, 5001 + i) for i in range(50)], "a long, b long").repartition(6)
-    got = {r.node: r.root for r in components.components(e).collect()}
+    got = {r.node: r.root for r in components(e).collect()}
     assert len(got) == 2999 + 50 and set(got.values()) == {0, 5000}
 
 
