@@ -223,10 +223,12 @@ class Lexicon:
 _LEXICONS: dict[str, Lexicon] = {}
 
 
-def lexicon(path: str) -> Lexicon:
-    """One lexicon for each file and Python worker."""
+def lexicon(path: str, most: int | None = None) -> Lexicon:
+    """One lexicon for each file and Python worker; ``most`` raises its bound."""
     if path not in _LEXICONS:
         _LEXICONS[path] = Lexicon(path)
+    if most is not None:
+        _LEXICONS[path].most = max(most, _LEXICONS[path].most)
     return _LEXICONS[path]
 
 
