@@ -10,3 +10,34 @@ def box_gates(min_w: float, min_h: float, image_h: float, max_cy: float, low: fl
     """Size, height in the image, aspect and score of a candidate box."""
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     return (w >= min_w) & (h >= min_h) & ((F.col("y1") + F.col("y2")) / 2.0 <= max_cy * image_h) & (w / h.cast("double")).between(low, high) & (F.col("score") >= score)
+
+
+def status_colour(kind: Column, score: Column) -> Column:
+    """Colour of an object's points by kind and confidence."""
+    return F.when(kind == "light", "red").when(score >= 0.8, "purple").when(score >= 0.5, "orange").otherwise("yellow")
+
+
+def back_face(hx: Column, hy: Column, rx: Column, ry: Column, limit: float = -0.3) -> Column:
+    return hx * rx + hy * ry < limit
+
+
+def tire_like(mean_aspect: Column, best_confidence: Column) -> Column:
+    """Groups of sign detections that look like wheels."""
+    return (mean_aspect < 1.25) & (best_confidence < 0.85)
+
+
+def plausible_range(measured: Column, assumed: Column, span: Column) -> Column:
+    """Whether a measured distance may replace one assumed from the size."""
+    return (measured <= 2.5 * assumed) & (assumed <= 2.5 * measured) & (span <= 2.0)
+
+
+def localised(kind: Column, height: Column, width: Column, gap: Column, light: tuple[float, float, float], sign: tuple[float, float, float, float]) -> Column:
+    """Gates of clusters near an object: lights by (height, width, gap), signs by (height, width, gap, ratio)."""
+    ok_light = (height >= light[0]) & (width <= light[1]) & (gap <= light[2])
+    ok_sign = (height >= sign[0]) & (width <= sign[1]) & (gap <= sign[2]) & ((width <= 0.1) | (height / width >= sign[3]))
+    return F.when(kind == "light", ok_light).otherwise(ok_sign)
+
+
+def position_score(kind: Column, height: Column, width: Column, distance: Column) -> Column:
+    """Larger is better, among the clusters near an object."""
+    return F.when(kind == "light", height / (distance + 1)).otherwise(height / (width + 0.1) / (distance + 1))

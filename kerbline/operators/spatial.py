@@ -1,7 +1,8 @@
 """Spatial operators by cell keys: every join has an equality on cells, so it never compares all pairs.
 
 A cell side equals the search radius; one side is copied to its neighbouring cells (the smaller one,
-by choice of argument) and the exact distance is a residual condition. ``skew`` salts dense cells.
+by choice of argument) and the exact distance is a residual condition. Joins are plain equi-joins on
+cells, so adaptive execution can split a dense cell's partition.
 """
 
 from __future__ import annotations

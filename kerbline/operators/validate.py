@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import EARTH_RADIUS, haversine
+from ..plans.session import cut
 from . import spatial
 
 
@@ -17,17 +20,19 @@ def nearest_entity(poles: DataFrame, entities: DataFrame, size: float = 50.0) ->
     """
     scale = EARTH_RADIUS * 3.141592653589793 / 180
     lat0 = float(entities.agg(F.avg("lat")).first()[0] or 0.0)
-    import math
-
     c = math.cos(math.radians(lat0))
     flat = lambda df, i: df.select(F.col(i).alias("pid"), (F.col("lon") * scale * c).alias("x"), (F.col("lat") * scale).alias("y"), "lon", "lat")
     p, e = flat(poles, "pole_id"), flat(entities, "osm_id")
-    near = spatial.nearest(p, e, size)
-    reach = near.agg(F.max("d2")).first()[0]
-    if reach is None:
-        return poles.where("false").select("pole_id", F.col("pole_id").alias("osm_id"), F.lit(0.0).alias("distance"))
-    met = spatial.radius_join(p, e, float(reach) ** 0.5 * 1.01 + 0.01)
+    near = cut(spatial.nearest(p, e, size))
+    # Poles by the octave of their nearest distance, so that one far pole does not widen the search of all.
+    octave = F.ceil(F.log2(F.sqrt("d2") * 1.01 + 0.02)).cast("int")
     d = haversine(F.col("lon"), F.col("lat"), F.col("r_lon"), F.col("r_lat"))
+    met = None
+    for (k,) in near.select(octave).distinct().collect():
+        part = spatial.radius_join(p.join(near.where(octave == k).select("pid"), "pid"), e, 2.0**k)
+        met = part if met is None else met.unionByName(part)
+    if met is None:
+        return poles.where("false").select("pole_id", F.col("pole_id").alias("osm_id"), F.lit(0.0).alias("distance"))
     best = met.groupBy("pid").agg(F.min(F.struct(d.alias("d"), F.col("r_pid").alias("e"))).alias("m"))
     return best.select(F.col("pid").alias("pole_id"), F.col("m.e").alias("osm_id"), F.col("m.d").alias("distance"))
 
