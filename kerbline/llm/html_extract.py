@@ -43,6 +43,7 @@ AGAINST = frozenset("""ad ads advert advertisement adverts advertising adsense s
 alert popup modal overlay dialog sidebar aside rail widget widgets menu menus nav navbar navigation navigational breadcrumb breadcrumbs pagination pager header masthead topbar toolbar
 footer bottombar copyright legal colophon contentinfo complementary comment comments commentlist disqus reply replies respond discussion reviews share sharing social related recommended recommendations
 newsletter subscribe subscription signup signin login register search searchform form feedback poll teaser outbrain taboola skip hidden""".split())
+LAYOUT = frozenset(("with", "without", "has", "no"))
 FOR = frozenset("article content main post entry story body text prose hentry articlebody maincontent".split())
 TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<(" + "|".join(SKIPPED) + r")\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</\1\s*[^>]*>|$)"
@@ -90,12 +91,13 @@ def _evidence(tag: str, attributes: str, parent: Node) -> tuple[float, bool, boo
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
                 boiler = True
         if words:
-            against = words & AGAINST
-            if article and tag == "header":
+            # "with-sidebar" tells of a page's layout, and a header of the article holds its title.
+            against = set() if words & LAYOUT else words & AGAINST
+            if article and tag == "header" or words & FOR:
                 against -= {"header"}
-            if against and not words & FOR:
+            if against:
                 boiler = True
-            elif words & FOR and not against:
+            elif words & FOR:
                 vote, article = vote + 2, article or bool(words & {"article", "main", "articlebody", "maincontent"})
     return vote, boiler, article
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import textio
 
-#: Most rows of each kind that the fit sees, and most bytes of one sampled text's share of a batch.
+#: Most rows of each kind that the fit sees.
 SAMPLE = 6000
 
 
