@@ -59,8 +59,10 @@ def blend(observations: DataFrame, width: int, height: int, centre_sigma: float
 def histogram_match(source: DataFrame, target: DataFrame, bins: int = 256) -> DataFrame:
     """value, matched: each source level's first target level whose cumulative share is at least its own.
 
-    Both are tables of (image-wide) integer levels in [0, bins); only histograms of ``bins`` rows meet.
+    Both are tables of integer levels, clamped to [0, bins), so that only histograms of ``bins`` rows meet.
     """
+    clamp = lambda df: df.select(F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.col("value"))).cast("long").alias("value"))
+    source, target = clamp(source), clamp(target)
 
     def cdf(df: DataFrame, name: str) -> DataFrame:
         h = df.groupBy("value").agg(F.count("*").alias("n"))
