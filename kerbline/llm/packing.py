@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 
 from . import textio
 
+#: Words whose ids a task keeps.
+LEXICON = 700_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -164,7 +166,7 @@ def word_encoder(path: str, end_id: int = 2) -> Callable[[], Callable[[list[byte
     """Ids of a words tokenizer, then the end id, for each text."""
 
     def make():
-        words = textio.lexicon(path)
+        words = textio.lexicon(path, LEXICON)
 
         def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             split = [t.split() for t in texts]
