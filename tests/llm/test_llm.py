@@ -223,6 +223,26 @@ def test_quality_rules(spark, odd):
     assert quality_rules.judge(odd.where("false"), ["doc_id"]).count() == 0 and quality_rules.judge(odd, ["doc_id"]).count() == len(ODD)
 
 
+def test_perplexity_band_rejects_junk_that_passes_the_base_rules(spark):
+    d = textio.table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    good = textio.table(spark, "/root/testdata/sf0.01", "labels").where("quality = 1").select("doc_id")
+    clean = d.join(good, "doc_id").where("lang = 'en' AND size(split(text, ' ')) BETWEEN 300 AND 900").orderBy("doc_id").limit(8).toPandas()
+    r = random.Random(4)
+    rows = []
+    for k, t in enumerate(clean.text):
+        words = t.split()[:300]
+        torn = ["".join(r.sample(w, len(w))) if i % 4 == 0 else w for i, w in enumerate(words)]
+        rows += [(10_000 + k, "   ".join(words), "en"), (20_000 + k, " ".join(torn), "en")]
+    got = quality_rules.judge(d.unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string")), ["doc_id"]).toPandas().set_index("doc_id")
+    assert len(rows) == 16 and not got.loc[[i for i, _, _ in rows]].base_failed.any() and not got.loc[[i for i, _, _ in rows]].kept.any()
+    assert got.loc[clean.doc_id].kept.all()
+    # Small and even languages: two texts, and copies with one outlier.
+    cells = [(1, 1.5), (1, 1.9), *[(2, 1.5)] * 99, (2, 3.0), (3, 1.5)]
+    limits = quality_rules.bands(spark.createDataFrame(cells, "bucket int, nll double"), quality_rules.WIDTH, quality_rules.LEAST).set_index("bucket")
+    inside = [limits.lower[k] <= v <= limits.upper[k] for k, v in cells]
+    assert inside == [True] * 101 + [False, True]
+
+
 def test_kneser_ney_sums_to_one():
     grams = quality_rules.trigrams([b"the cat sat on the mat, the rat ran", b""])[0]
     g, n = np.unique(grams, return_counts=True)
