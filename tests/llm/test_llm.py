@@ -295,6 +295,27 @@ def test_language_model(spark, odd):
     assert nothing.columns == got.columns.tolist()
 
 
+def test_language_model_reads_all_training_text(spark, odd, tokenizer):
+    d = textio.table(spark, DATA, "documents").select("text").unionByName(odd.select("text"))
+    spans = lm_scoring.text_spans(d, word_path())
+    ids, pairs, targets = Counter(), Counter(), 0
+    for t in d.toPandas().text:
+        of = [lm_scoring.BEGIN, *tokenizer.encode(" ".join(w.decode() for w in (t or "").encode().lower().split()), add_special_tokens=False).ids, lm_scoring.END]
+        ids.update(of[1:])
+        pairs.update(zip(of[:-1], of[1:], strict=True))
+        targets += len(of) - 1
+    got = lm_scoring.subword_counts(spans)
+    assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(ids)
+    batches = spans.toArrow().combine_chunks().to_batches(max_chunksize=70)
+    assert sum((Counter(zip(*(x.tolist() for x in lm_scoring._pairs(*lm_scoring._flat(b))), strict=True)) for b in batches), Counter()) == pairs
+    # Every target is trained on once over the rounds; a task with few windows takes all in each.
+    row = np.arange(lm_scoring.VOCABULARY, dtype=np.int32)
+    taken = lambda some, r: sum(int((y >= 0).sum()) for _, y in lm_scoring.training_windows(iter(some), row, r))
+    assert targets > 18 * lm_scoring.LEAST_STEPS * lm_scoring.BATCH * lm_scoring.ROUNDS
+    assert sum(taken(batches, r) for r in range(lm_scoring.ROUNDS)) == targets
+    assert taken(batches[:1], 0) == taken(batches[:1], 1) > 0
+
+
 def test_attention_probabilities_and_gradients():
     r = np.random.default_rng(0)
     k, vocabulary, rows = 5, 12, 9
