@@ -74,10 +74,16 @@ def tag_text_and_colour(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH m AS (SELECT p.pid, s.image, row_number() OVER (PARTITION BY p.pid ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.image) AS rn FROM v_points p, v_shots s WHERE p.pid % 50 = 0)
 SELECT pid, image FROM m WHERE rn = 1""")
-def nearest_camera(spark: SparkSession, d: str) -> DataFrame:
+def nearest_camera(spark: SparkSession, d: str, objects: str = "pid % 50 = 0") -> DataFrame:
     """Every fiftieth point is an object (the stated query set), against all shots."""
     shots = B.shots(spark, d).select(F.col("image").alias("pid"), "x", "y")
-    return S.nearest(B.points(spark, d).where("pid % 50 = 0"), shots, 2.0).select("pid", F.col("near").alias("image"))
+    return S.nearest(B.points(spark, d).where(objects), shots, 2.0).select("pid", F.col("near").alias("image"))
+
+
+@query()
+def nearest_camera_all(spark: SparkSession, d: str) -> DataFrame:
+    """``nearest_camera`` of every point."""
+    return nearest_camera(spark, d, "true")
 
 
 @query("""WITH l AS (SELECT s.pid, p.pid AS light, p.z FROM v_donor s JOIN v_recipient p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 < 4.0 AND p.cls = 'error' WHERE s.cls = 'view')
@@ -91,13 +97,19 @@ def colocation(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT image, pid FROM (SELECT s.image, p.pid, 900.0 * (p.x - s.x) / (p.y - s.y) AS u FROM v_shots s JOIN v_points p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 <= 100.0 AND p.y - s.y > 0.01 WHERE s.image % 5 = 0)
 WHERE abs(u) <= 150.0""")
-def observation_gate(spark: SparkSession, d: str) -> DataFrame:
+def observation_gate(spark: SparkSession, d: str, queries: str = "image % 5 = 0") -> DataFrame:
     """Points near a shot, ahead of it, that would be seen within 150 pixels of its axis; every fifth shot is a query."""
-    met = S.radius_join(B.shots(spark, d).where("image % 5 = 0").select("image", "x", "y"), B.points(spark, d).select("pid", "x", "y"), 10.0)
+    met = S.radius_join(B.shots(spark, d).where(queries).select("image", "x", "y"), B.points(spark, d).select("pid", "x", "y"), 10.0)
     ahead = F.col("r_y") - F.col("y")
     return met.where(ahead > 0.01).where(F.abs(900.0 * (F.col("r_x") - F.col("x")) / ahead) <= 150.0).select("image", F.col("r_pid").alias("pid"))
 
 
+@query()
+def observation_gate_all(spark: SparkSession, d: str) -> DataFrame:
+    """``observation_gate`` of every shot."""
+    return observation_gate(spark, d, "true")
+
+
 @query("""WITH o AS (SELECT image AS ord, x, y, z, least(1.2, greatest(0.3, z)) AS r, CASE WHEN image % 2 = 0 THEN 'red' ELSE 'amber' END AS colour FROM v_shots),
 h AS (SELECT p.pid, arg_max(colour, ord) AS colour FROM v_points p JOIN o ON (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z) <= o.r * o.r GROUP BY 1)
 SELECT pid, coalesce(colour, 'grey') AS colour FROM v_points LEFT JOIN h USING (pid)""")
@@ -109,15 +121,21 @@ def radius_tint(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH w AS (SELECT user_id AS way, x AS ax, y AS ay, lead(x) OVER t AS bx, lead(y) OVER t AS by_ FROM v_points WHERE user_id % 40 = 0 WINDOW t AS (PARTITION BY user_id ORDER BY us, pid)),
 s AS (SELECT p.pid, way, sqrt((p.x - ax - f * (bx - ax)) ** 2 + (p.y - ay - f * (by_ - ay)) ** 2) AS d FROM (SELECT p.pid, p.x, p.y, w.*, greatest(0.0, least(1.0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) AS f FROM v_points p, w WHERE bx IS NOT NULL AND p.cls = 'error' AND (bx - ax) ** 2 + (by_ - ay) ** 2 > 0) p)
 SELECT pid, way, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d, 9), way) AS rn FROM s WHERE d <= 3.0) WHERE rn = 1""")
-def way_corridor(spark: SparkSession, d: str) -> DataFrame:
+def way_corridor(spark: SparkSession, d: str, users: str = "user_id % 40 = 0") -> DataFrame:
     """Shots within 3 m of a way (the tracks of every fortieth user) and the nearest one."""
     from ..operators.temporal import look_ahead
 
-    t = look_ahead(B.points(spark, d).where("user_id % 40 = 0").select("user_id", "us", "pid", "x", "y"), "user_id", ("us", "pid"), 1, ("pid", "x", "y")).where("ahead_pid <> pid")
+    t = look_ahead(B.points(spark, d).where(users).select("user_id", "us", "pid", "x", "y"), "user_id", ("us", "pid"), 1, ("pid", "x", "y")).where("ahead_pid <> pid")
     ways = t.select(F.col("user_id").alias("way"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ahead_x").alias("bx"), F.col("ahead_y").alias("by")).where("ax <> bx OR ay <> by")
     return O.point_to_paths(B.points(spark, d).where("cls = 'error'"), ways, 3.0).select("pid", "way", F.round("distance", 6).alias("distance"))
 
 
+@query()
+def way_corridor_all(spark: SparkSession, d: str) -> DataFrame:
+    """``way_corridor`` with the tracks of all users."""
+    return way_corridor(spark, d, "true")
+
+
 @query("SELECT floor(x / 2.0)::BIGINT AS vx, floor(y / 2.0)::BIGINT AS vy, floor(z / 2.0)::BIGINT AS vz, round(avg(x), 6) AS x, round(avg(z), 6) AS z, count(*) AS n FROM v_points GROUP BY 1, 2, 3")
 def voxel_mean(spark: SparkSession, d: str) -> DataFrame:
     return S.voxel_mean(B.points(spark, d), 2.0).select("vx", "vy", "vz", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"), "n")

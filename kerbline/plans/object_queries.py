@@ -243,9 +243,15 @@ WITH s AS (SELECT pid, 1.5 + i * 0.25 AS d, x + (1.5 + i * 0.25) * dx AS x, y +
 m AS (SELECT s.pid, s.d::DOUBLE AS d, count(*) AS n, median(p.z) AS z FROM s JOIN v_points p ON (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= 0.36 AND p.cls <> 'error' GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT pid, d, n, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, d) AS rn FROM m) WHERE rn = 1
 """)
-def ray_march_peak(spark: SparkSession, d: str) -> DataFrame:
+def ray_march_peak(spark: SparkSession, d: str, rays: str = "pid % 7 = 0") -> DataFrame:
     """Every seventh shot is a ray (the stated query set), against all other points."""
-    return O.ray_march(_rays(spark, d).where("pid % 7 = 0"), B.points(spark, d).where("cls <> 'error'"), 0.6, 2).select("pid", "d", "n", F.round("z", 6).alias("z"))
+    return O.ray_march(_rays(spark, d).where(rays), B.points(spark, d).where("cls <> 'error'"), 0.6, 2).select("pid", "d", "n", F.round("z", 6).alias("z"))
+
+
+@query()
+def ray_march_peak_all(spark: SparkSession, d: str) -> DataFrame:
+    """``ray_march_peak`` of every shot."""
+    return ray_march_peak(spark, d, "true")
 
 
 @query("""

@@ -52,9 +52,15 @@ def marking_polylines(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT c_custkey AS object_id, count(*) AS n FROM customer, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) WHERE c_custkey % 10 = 0 AND (i * 40 + j * 3 + (c_custkey // 10) % 2 * 7) % 256 >= 10 GROUP BY 1
 """)
-def billboard_points(spark: SparkSession, d: str) -> DataFrame:
-    o = B.read(spark, d, "customer").where("c_custkey % 10 = 0").select(F.col("c_custkey").alias("object_id"), (F.floor(F.col("c_custkey") / 10) % 2).alias("texture"), (F.col("c_custkey") % 200).cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), F.lit(3.0).alias("z"), F.lit(0.6).alias("size"), F.lit(0.3).alias("heading"))
+def billboard_points(spark: SparkSession, d: str, objects: str = "c_custkey % 10 = 0") -> DataFrame:
+    o = B.read(spark, d, "customer").where(objects).select(F.col("c_custkey").alias("object_id"), (F.floor(F.col("c_custkey") / 10) % 2).alias("texture"), (F.col("c_custkey") % 200).cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), F.lit(3.0).alias("z"), F.lit(0.6).alias("size"), F.lit(0.3).alias("heading"))
     k = spark.range(128).select((F.col("id") % 2).alias("texture"), F.floor(F.col("id") / 16).alias("i"), (F.floor(F.col("id") / 2) % 8).alias("j"))
     level = ((F.col("i") * 40 + F.col("j") * 3 + F.col("texture") * 7) % 256).alias("r")
     t = k.select("texture", (F.col("i") / 7.0).alias("i"), (F.col("j") / 7.0).alias("j"), level, level.alias("g"), level.alias("b"))
     return generate.billboards(o, t).groupBy("object_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def billboard_points_all(spark: SparkSession, d: str) -> DataFrame:
+    """``billboard_points`` of every customer."""
+    return billboard_points(spark, d, "true")
