@@ -40,7 +40,12 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr(*_split(_BOXES))
 
 
+def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "customer").selectExpr(*_split(_ENTITIES))
+
+
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of the view ``v_entities``; ``all_entities`` has the whole table."""
     return read(spark, sf_dir, "customer").where("c_custkey % 20 = 0").selectExpr(*_split(_ENTITIES))
 
 

@@ -53,9 +53,14 @@ def slerp_about_up(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT osm_id, radians(lat) AS p, radians(lon) AS l, 6378137.0::DOUBLE / sqrt(1 - 0.0066943799901413165 * sin(radians(lat)) ** 2) AS n FROM v_entities)
 SELECT osm_id, round((n + 60.0) * cos(p) * cos(l), 3) AS x, round((n + 60.0) * cos(p) * sin(l), 3) AS y, round((n * (1 - 0.0066943799901413165) + 60.0) * sin(p), 3) AS z FROM e""")
-def geocentric(spark: SparkSession, d: str) -> DataFrame:
+def geocentric(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
     x, y, z = G.to_geocentric(F.col("lon"), F.col("lat"), F.lit(60.0))
-    return B.entities(spark, d).select("osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
+    return entities(spark, d).select("osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
+
+
+@query()
+def geocentric_all(spark: SparkSession, d: str) -> DataFrame:
+    return geocentric(spark, d, B.all_entities)
 
 
 @query("SELECT id, round(greatest(1.5, least(40.0, 800.0 * 0.6 / (x2 - x1))), 6) AS depth, round(-radians(image * 7) + atan2((x1 + x2) / 2.0::DOUBLE - 480.0, 800.0), 9) AS bearing FROM v_boxes")

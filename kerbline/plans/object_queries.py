@@ -165,8 +165,8 @@ def rigid_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT c_custkey AS k, round(2 * 6371000.0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)), 4) AS metres FROM (SELECT osm_id AS c_custkey, lon, lat FROM v_entities) a JOIN v_entities b ON b.osm_id = a.c_custkey + 20")
-def haversine_chain(spark: SparkSession, d: str) -> DataFrame:
-    a = B.entities(spark, d)
+def haversine_chain(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    a = entities(spark, d)
     b = a.select((F.col("osm_id") - 20).alias("k"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     return a.withColumnRenamed("osm_id", "k").join(b, "k").select("k", F.round(G.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 4).alias("metres"))
 
@@ -177,25 +177,25 @@ n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pole
 """
 
 
-def _near(spark: SparkSession, d: str) -> DataFrame:
-    e = B.entities(spark, d)
+def _near(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    e = entities(spark, d)
     m = V.nearest_entity(B.poles(spark, d), e)
     return B.poles(spark, d).join(m, "pole_id").join(e.select("osm_id", "osm_type"), "osm_id")
 
 
 @query(_NEAR + "SELECT pole_id, osm_id, round(d, 4) AS distance FROM n")
-def haversine_nearest_entity(spark: SparkSession, d: str) -> DataFrame:
-    return V.nearest_entity(B.poles(spark, d), B.entities(spark, d)).select("pole_id", "osm_id", F.round("distance", 4).alias("distance"))
+def haversine_nearest_entity(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    return V.nearest_entity(B.poles(spark, d), entities(spark, d)).select("pole_id", "osm_id", F.round("distance", 4).alias("distance"))
 
 
 @query(_NEAR + "SELECT osm_type, osm_id, count(*) AS n_poles, bool_or(dual_pass) AS any_dual, count(DISTINCT pair) AS n_pairs, round(min(d), 4) AS d_min, round(max(d), 4) AS d_max FROM n GROUP BY 1, 2")
-def entity_groups(spark: SparkSession, d: str) -> DataFrame:
-    return V.entity_groups(_near(spark, d), ["osm_type", "osm_id"]).select("osm_type", "osm_id", "n_poles", "any_dual", "n_pairs", F.round("d_min", 4).alias("d_min"), F.round("d_max", 4).alias("d_max"))
+def entity_groups(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    return V.entity_groups(_near(spark, d, entities), ["osm_type", "osm_id"]).select("osm_type", "osm_id", "n_poles", "any_dual", "n_pairs", F.round("d_min", 4).alias("d_min"), F.round("d_max", 4).alias("d_max"))
 
 
 @query(_NEAR + "SELECT tier, count(*) AS n, round(avg(d), 4) AS mean, round(min(d), 4) AS lo, round(max(d), 4) AS hi FROM (SELECT 'all' AS tier, d FROM n UNION ALL SELECT 'dual', d FROM n WHERE dual_pass UNION ALL SELECT 'trusted', d FROM n WHERE n_observations >= 4) GROUP BY 1")
-def entity_tiers(spark: SparkSession, d: str) -> DataFrame:
-    t = V.tiers(_near(spark, d), {"all": F.lit(True), "dual": F.col("dual_pass"), "trusted": F.col("n_observations") >= 4})
+def entity_tiers(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    t = V.tiers(_near(spark, d, entities), {"all": F.lit(True), "dual": F.col("dual_pass"), "trusted": F.col("n_observations") >= 4})
     return t.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("mean"), F.round(F.min("distance"), 4).alias("lo"), F.round(F.max("distance"), 4).alias("hi"))
 
 
@@ -324,17 +324,42 @@ def kabsch_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT osm_id, osm_type, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || printf('%.5f', lon) || ',' || printf('%.5f', lat) || ']},\"properties\":{\"id\":' || osm_id || ',\"kind\":\"' || osm_type || '\"}}' AS feature FROM v_entities")
-def geojson_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = B.entities(spark, d)
+def geojson_rows(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+    e = entities(spark, d)
     at = lambda c: F.format_string("%.5f", F.col(c))
     props = F.to_json(F.struct(F.col("osm_id").alias("id"), F.col("osm_type").alias("kind")))
     return e.select("osm_id", "osm_type", F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), at("lon"), F.lit(","), at("lat"), F.lit(']},"properties":'), props, F.lit("}")).alias("feature"))
 
 
+@query()
+def haversine_chain_all(spark: SparkSession, d: str) -> DataFrame:
+    return haversine_chain(spark, d, B.all_entities)
+
+
+@query()
+def haversine_nearest_entity_all(spark: SparkSession, d: str) -> DataFrame:
+    return haversine_nearest_entity(spark, d, B.all_entities)
+
+
+@query()
+def entity_groups_all(spark: SparkSession, d: str) -> DataFrame:
+    return entity_groups(spark, d, B.all_entities)
+
+
+@query()
+def entity_tiers_all(spark: SparkSession, d: str) -> DataFrame:
+    return entity_tiers(spark, d, B.all_entities)
+
+
+@query()
+def geojson_rows_all(spark: SparkSession, d: str) -> DataFrame:
+    return geojson_rows(spark, d, B.all_entities)
+
+
 @query()
 def utm_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Entities in zone 32 and back, with the errors in metres."""
-    e = B.entities(spark, d)
+    e = B.all_entities(spark, d)
     x, y = G.to_utm(F.col("lon"), F.col("lat"), 32)
     e = e.withColumn("e", x).withColumn("n", y)
     lon, lat = G.from_utm(F.col("e"), F.col("n"), 32)

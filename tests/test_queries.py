@@ -64,6 +64,7 @@ WHOLE = {
     "way_corridor": ("WHERE user_id % 40 = 0", ""),
     "ray_march_peak": ("WHERE pid % 7 = 0", ""),
     "billboard_points": ("c_custkey % 10 = 0 AND", ""),
+    **dict.fromkeys(["geocentric", "haversine_chain", "haversine_nearest_entity", "entity_groups", "entity_tiers", "geojson_rows"], (" WHERE c_custkey % 20 = 0", "")),
 }
 
 
@@ -73,4 +74,9 @@ def test_whole_tables(spark, duck, name):
     assert part in ORACLE_SQL[name]
     want = rows(duck.execute(ORACLE_SQL[name].replace(part, rest)).df())
     assert rows(QUERIES[f"{name}_all"](spark, DATA).toPandas()) == want
-    assert len(want) > len(rows(QUERIES[name](spark, DATA).toPandas()))
+    less = rows(QUERIES[name](spark, DATA).toPandas())
+    assert want != less and len(want) >= len(less)
+
+
+def test_whole_entities_have_no_sql(spark):
+    assert QUERIES["utm_roundtrip"](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
