@@ -6,7 +6,7 @@ writes its result as Parquet and reads it again as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbline.llm import packing, pu_quality, quality_rules, simhash, textio
@@ -34,13 +34,22 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component: that with the smallest id. Repeated rows of it go too; rows
-    without an id name no component, and one of each text stays."""
+    """One document of each SimHash component: that with the smallest id. Of rows that repeat its id those in the
+    same component go too, but for the least text; rows without an id name no component, and one of each text stays."""
     docs = docs.select(*COLUMNS)
-    members = simhash.near_duplicates(docs.select("doc_id", "text")).select("doc_id", "component_id")
-    keep = members.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    members = textio.cut(simhash.near_duplicates(docs.select("doc_id", "text")))
+    keep = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
+    single = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
+    # An id with several rows: which of its texts belong to components that it names, and one of each.
+    total = members.groupBy("doc_id").agg(F.count("*").alias("m"))
+    several = keep.join(total, "doc_id").where("m > 1").select("doc_id")
+    single = single.join(several, "doc_id", "left_anti")
+    repeated = docs.join(several, "doc_id", "left_semi").withColumn("mark", F.xxhash64("doc_id", "text"))
+    fps = simhash.fingerprint_table(repeated.select(F.col("mark").alias("doc_id"), "text")).select(F.col("doc_id").alias("mark"), "fp").dropDuplicates(["mark"])
+    roots = members.where("doc_id = component_id").select("doc_id", "fp", "root").distinct()
+    first = Window.partitionBy("doc_id", "root").orderBy("text", "lang", "source", "n_chars")
+    one = repeated.join(fps, "mark").join(roots, ["doc_id", "fp"]).withColumn("place", F.row_number().over(first)).where("place = 1")
+    return single.select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -198,14 +198,15 @@ def links(dealt: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable) of every row of docs (doc_id, text)."""
+    """doc_id, fp, component_id (smallest doc_id reachable) and root (one for each component, where repeated ids
+    give two components one id) of every row of docs (doc_id, text)."""
     table = textio.cut(fingerprint_table(docs))
     distinct = textio.cut(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     dealt = variants(distinct).repartition("block", "key").sortWithinPartitions("block", "key")
     roots = components(links(dealt))
     by_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_fp = by_fp.join(named, "root").select("fp", "component_id")
+    by_fp = by_fp.join(named, "root").select("fp", "component_id", "root")
     return table.join(by_fp, "fp")
 
 

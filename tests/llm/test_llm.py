@@ -467,3 +467,14 @@ def test_pipeline(spark, tmp_path):
     assert once.where("doc_id IS NULL").count() == 1 and once.groupBy("doc_id").count().where("count > 1").count() == 0
     for _, stage in pipeline.STAGES:
         assert stage(spark, start.where("false"), DATA).count() == 0
+
+
+def test_repeated_ids_lose_only_near_copies(spark):
+    import corpus_pipeline as pipeline
+
+    r = random.Random(9)
+    text = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(120))
+    a, b, c, d = (text() for _ in range(4))
+    rows = [(1, a, "en"), (1, a, "en"), (1, b, "en"), (2, a, "en"), (2, c, "en"), (3, c, "en"), (3, d, "en"), (4, d, "en")]
+    got = pipeline.near_duplicates(spark, docs(spark, rows).repartition(3), DATA).collect()
+    assert sorted((x.doc_id, x.text) for x in got) == sorted([(1, a), (1, b), (2, c), (3, d)])
