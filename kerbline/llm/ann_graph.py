@@ -217,7 +217,8 @@ def build_index(rows: DataFrame) -> DataFrame:
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vec", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row of queries (columns as in table)."""
+    """query_id, rank, vec_id, score: the k nearest found for each id of queries (columns as in table; of
+    repeated ids the least vector of the table's width asks)."""
     rows, asked = clean(table, id_column, vector), clean(queries, id_column, vector)
     shape = {r[0]: r[1] for r in rows.groupBy(F.size("vec")).count().collect()}
     if not shape:
@@ -225,7 +226,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
     width = max(shape, key=lambda w: (shape[w], -w))
     n, nq = shape[width], asked.count()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
-    rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width)
+    rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width).groupBy("id").agg(F.min("vec").alias("vec"))
     spread = lambda c, m: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(m)).cast("int")
     index = textio.cut(build_index(rows.withColumn("shard", spread("id", shards))))
     left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

@@ -478,3 +478,11 @@ def test_repeated_ids_lose_only_near_copies(spark):
     rows = [(1, a, "en"), (1, a, "en"), (1, b, "en"), (2, a, "en"), (2, c, "en"), (3, c, "en"), (3, d, "en"), (4, d, "en")]
     got = pipeline.near_duplicates(spark, docs(spark, rows).repartition(3), DATA).collect()
     assert sorted((x.doc_id, x.text) for x in got) == sorted([(1, a), (1, b), (2, c), (3, d)])
+
+
+def test_repeated_queries_ask_once(spark):
+    r = np.random.default_rng(3)
+    e = spark.createDataFrame([(i, [float(v) for v in r.standard_normal(8)]) for i in range(200)], "vec_id long, embedding array<double>")
+    asked = e.where("vec_id % 20 = 0")
+    once, twice = (sorted(map(tuple, ann_graph.nearest(e, q, 20, "vec_id", "embedding").collect())) for q in (asked, asked.unionByName(asked)))
+    assert once == twice and len(once) == 10 * 20 == len({(q, i) for q, _, i, _ in twice})
