@@ -3,34 +3,41 @@
 Vectors are dealt into shards of bounded size by a hash of their id. In a shard equal vectors become one
 node. Nodes are inserted in batches: a greedy search from the shard's entry node proposes neighbours,
 relaxed distance pruning keeps those that no kept neighbour is closer to by the factor ``alpha``, and
-back edges are added and pruned likewise. A query block is searched by beam in each shard, all of the
-block's queries in lockstep; the found rows are scored exactly and the best k of all shards remain.
+back edges are added and pruned likewise. Every query is searched by beam in every shard, a block of
+them in lockstep; the found rows are scored exactly and the best k of all shards remain.
 
-Nearness is the inner product. Graph and search work on vectors with one more component,
-sqrt(max norm^2 - norm^2), so that the largest inner product is the smallest Euclidean distance.
+Nearness is the inner product. Graph and search work on vectors divided by the shard's largest component, with
+one more component, sqrt(max norm^2 - norm^2), so that the largest inner product is the smallest Euclidean distance.
 
-The index covers every row; it is a table, built once and written to the checkpoint folder. Bounds: a
-shard holds about ``shard_rows`` rows and a query block about ``block_rows`` queries, so a task holds one
-of each. Equal vectors of a shard count as one node, of
-which a query needs its k + 1 smallest ids at most.
+The index covers every row; it is a table, built once and written to the checkpoint folder. A shard holds
+``shard_rows`` rows at most on average (fewer while that leaves fewer than ``TASKS`` shards), and the search task
+reads its index rows once and then the queries as a stream, ``BLOCK`` at a time: no vector of the index is copied,
+each query goes to every shard once, and a task holds one shard and one block. Equal vectors of a shard count as one
+node, of which a query needs its k + 1 smallest ids at most.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part,
 as queries or candidates, nor do rows with a null id or, in one table, of another length than the most
-common; ties go to the smaller id; repeated rows are candidates of their own except those with the
-query's own id; fewer candidates than k give fewer rows; an empty table gives no rows.
+common; finite components of any size do (a score outside the range of doubles is infinite); ties go to the
+smaller id; repeated rows are candidates of their own except those with the query's own id, and of a repeated query
+id the least vector asks, once; fewer candidates than k give fewer rows; an empty table gives no rows; other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textio
 
 DEGREE, BEAM, WIDE, ALPHA = 32, 128, 4, 1.2
-SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+#: Rows of a shard, shards at least (of 1024 rows), queries searched in lockstep.
+SHARD_ROWS, TASKS, BLOCK = 1 << 16, 8, 512
 
 
 def clean(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -40,10 +47,13 @@ def clean(table: DataFrame, id_column: str, vector: str) -> DataFrame:
     return table.select(F.col(id_column).cast("long").alias("id"), v.alias("vec")).where(F.col("id").isNotNull() & F.col("vec").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def lift(x: np.ndarray, top: float) -> np.ndarray:
-    """Adds the component that makes inner product order Euclidean order."""
-    rest = np.sqrt(np.maximum(top - (x * x).sum(1), 0))
-    return np.concatenate([x, rest[:, None]], 1).astype(np.float32)
+def lift(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """The vectors over their largest component, with the component that makes inner product order Euclidean order;
+    the largest norm of the former."""
+    x = x / np.abs(x).max()
+    norm = (x * x).sum(1)
+    rest = np.sqrt(np.maximum(norm.max() - norm, 0))
+    return np.concatenate([x, rest[:, None]], 1).astype(np.float32), float(np.sqrt(norm.max()))
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
@@ -172,38 +182,43 @@ def index_shard(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ids, x = ids[order], x[order]
     new = np.concatenate([[True], (x[1:] != x[:-1]).any(1)])
     distinct = x[new]
-    graph, entry = build(lift(distinct, float((distinct * distinct).sum(1).max())))
+    graph, entry = build(lift(distinct)[0])
     neighbours = np.full((len(ids), graph.shape[1] + 1), -1, np.int32)
     neighbours[new, :-1] = graph
     neighbours[:, -1] = entry
     return ids, x, np.cumsum(new) - 1, neighbours
 
 
-def search_shard(ids: np.ndarray, x: np.ndarray, node: np.ndarray, neighbours: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best k rows found in one shard for each query, by exact double products."""
-    first = np.searchsorted(node, np.arange(node[-1] + 1))
-    size = np.diff([*first, len(x)])
-    distinct, graph, entry = x[first], neighbours[first, :-1], int(neighbours[0, -1])
-    top = float((distinct * distinct).sum(1).max())
-    lifted = lift(distinct, top)
-    out_q, out_i, out_s = [], [], []
-    for a in range(0, len(q), 512):
-        part, part_ids = q[a : a + 512], qids[a : a + 512]
+class Shard:
+    """One shard's index rows, sorted by node and id, ready to be searched."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, node: np.ndarray, neighbours: np.ndarray):
+        self.ids, self.x = ids, x
+        self.first = np.searchsorted(node, np.arange(node[-1] + 1))
+        self.size = np.diff([*self.first, len(x)])
+        self.distinct, self.graph, self.entry = x[self.first], neighbours[self.first, :-1], int(neighbours[0, -1])
+        self.lifted, self.top = lift(self.distinct)
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query id, id, score) of the best k rows found for each query, by exact double products."""
         # A query's scale does not change its order; at the largest norm it meets the lifted vectors best.
-        scaled = part / np.maximum(np.sqrt((part * part).sum(1)), 1e-300)[:, None] * np.sqrt(top)
-        found, _ = beam_search(lifted, graph, entry, np.concatenate([scaled, np.zeros((len(part), 1))], 1).astype(np.float32), beam)
-        for row, qid, vector in zip(found, part_ids, part, strict=True):
-            nodes = row[row >= 0]
-            take = nodes[np.argsort(-(distinct[nodes] @ vector), kind="stable")[: k + 1]]
-            many = np.minimum(size[take], k + 1)
-            rows = np.repeat(first[take] - np.cumsum(many) + many, many) + np.arange(many.sum())
-            rows = rows[ids[rows] != qid]
-            s = (x[rows] * vector).sum(1)  # one sum order for all rows, so that equal vectors have equal scores
-            best = np.lexsort((ids[rows], -s))[:k]
-            out_q.append(np.full(len(best), qid))
-            out_i.append(ids[rows][best])
-            out_s.append(s[best])
-    return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
+        scaled = q / np.abs(q).max(1)[:, None]
+        scaled *= self.top / np.sqrt((scaled * scaled).sum(1))[:, None]
+        found, _ = beam_search(self.lifted, self.graph, self.entry, np.concatenate([scaled, np.zeros((len(q), 1))], 1).astype(np.float32), beam)
+        out_q, out_i, out_s = [], [], []
+        with np.errstate(over="ignore", invalid="ignore"):
+            for row, qid, vector in zip(found, qids, q, strict=True):
+                nodes = row[row >= 0]
+                take = nodes[np.argsort(-(self.distinct[nodes] @ vector), kind="stable")[: k + 1]]
+                many = np.minimum(self.size[take], k + 1)
+                rows = np.repeat(self.first[take] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                rows = rows[self.ids[rows] != qid]
+                s = (self.x[rows] * vector).sum(1)  # one sum order for all rows, so that equal vectors have equal scores
+                best = np.lexsort((self.ids[rows], -s))[:k]
+                out_q.append(np.full(len(best), qid))
+                out_i.append(self.ids[rows][best])
+                out_s.append(s[best])
+        return np.concatenate(out_q), np.concatenate(out_i), np.concatenate(out_s)
 
 
 def build_index(rows: DataFrame) -> DataFrame:
@@ -216,7 +231,7 @@ def build_index(rows: DataFrame) -> DataFrame:
     return rows.select("shard", "id", "vec").groupBy("shard").applyInPandas(one, "shard int, id long, vec array<double>, node int, neighbours array<int>")
 
 
-def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vec", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id", vector: str = "vec", shard_rows: int = SHARD_ROWS, tasks: int = TASKS) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each id of queries (columns as in table; of
     repeated ids the least vector of the table's width asks)."""
     rows, asked = clean(table, id_column, vector), clean(queries, id_column, vector)
@@ -224,22 +239,54 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
     if not shape:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width = max(shape, key=lambda w: (shape[w], -w))
-    n, nq = shape[width], asked.count()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-nq // block_rows))
+    n = shape[width]
+    shards = max(1, min(tasks, -(-n // 1024)), -(-n // shard_rows))
     rows, asked = rows.where(F.size("vec") == width), asked.where(F.size("vec") == width).groupBy("id").agg(F.min("vec").alias("vec"))
-    spread = lambda c, m: F.pmod(F.xxhash64(F.col(c), F.lit(11)), F.lit(m)).cast("int")
-    index = textio.cut(build_index(rows.withColumn("shard", spread("id", shards))))
-    left = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = asked.withColumn("block", spread("id", blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def one(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        a = a.sort_values(["node", "id"])
-        found = search_shard(a["id"].to_numpy(), np.stack(a["vec"].to_numpy()), a["node"].to_numpy(), np.stack(a["neighbours"].to_numpy()), b["id"].to_numpy(), np.stack(b["vec"].to_numpy()), k)
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found, strict=True)))
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(one, "query_id long, vec_id long, score double")
+    index = textio.cut(build_index(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(shards)).cast("int"))))
+    asks = asked.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"), "id", "vec", F.lit(0).alias("node"), F.lit(None).cast("array<int>").alias("neighbours"))
+    dealt = index.select("shard", F.lit(0).alias("kind"), "id", "vec", "node", "neighbours").unionByName(asks).repartition("shard").sortWithinPartitions("shard", "kind", "node", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard: Shard | None = None
+        index_rows: list[tuple[np.ndarray, ...]] = []
+        block: list[tuple[np.ndarray, np.ndarray]] = []
+        now, held = None, 0
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            nonlocal shard, held
+            if shard is None and index_rows:
+                shard = Shard(*(np.concatenate(z) for z in zip(*index_rows, strict=True)))
+                index_rows.clear()
+            if block and shard is not None:
+                ids, q = (np.concatenate(z) for z in zip(*block, strict=True))
+                for s in range(0, len(ids), BLOCK):
+                    found = shard.search(ids[s : s + BLOCK], q[s : s + BLOCK], k)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["query_id", "vec_id", "score"])
+            block.clear()
+            held = 0
+
+        for batch in batches:
+            of, kind, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 2))
+            cuts = np.flatnonzero((of[1:] != of[:-1]) | (kind[1:] != kind[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(of)], strict=True):
+                if a == b:
+                    continue
+                if of[a] != now:
+                    yield from answers()
+                    now, shard = of[a], None
+                    index_rows.clear()
+                part = batch.slice(a, b - a)
+                x = part.column(3).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                if kind[a] == 0:
+                    index_rows.append((ids[a:b], x, part.column(4).to_numpy(zero_copy_only=False), part.column(5).flatten().to_numpy(zero_copy_only=False).reshape(b - a, -1)))
+                else:
+                    block.append((ids[a:b], x))
+                    held += b - a
+                    if held >= BLOCK:
+                        yield from answers()
+        yield from answers()
+
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
