@@ -6,9 +6,9 @@ first, to the tightest open window, found by a segment tree indexed by remaining
 of a block the windows that stayed loosely filled are strung together and cut anew, and what is left
 over after that becomes sequences whose lengths are powers of two, which need no padding.
 
-Defined cases: a null or empty text is a document of the end token alone; repeated rows and repeated
-ids are documents of their own; ties in length go in order of arrival; an empty table gives no rows;
-other columns of the input are not read.
+Defined cases: a null or empty text is a document of the end token alone; a text of any length is encoded whole, a
+few megabytes at a time; repeated rows and repeated ids are documents of their own, null ids too; ties in length go in
+order of arrival; an empty table gives no rows; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 
 from . import textio
 
-#: Words whose ids a task keeps.
-LEXICON = 700_000
+#: Bytes of words and their ids that a task keeps.
+LEXICON = 80 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -169,14 +169,18 @@ def word_encoder(path: str, end_id: int = 2) -> Callable[[], Callable[[list[byte
         words = textio.lexicon(path, LEXICON)
 
         def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            split = [t.split() for t in texts]
-            rows = words.look_up([w for s in split for w in s])
-            per_text = textio.sums(words.counts[rows], textio.spans(map(len, split)))
-            offsets = textio.spans(per_text + 1)
+            sizes, ids, of = np.ones(len(texts), np.int64), [], []
+            for rows, parts in textio.parts_of(texts):
+                split = [t.split() for t in parts]
+                found = words.look_up([w for s in split for w in s])
+                of.append((rows, textio.sums(words.counts[found], textio.spans(map(len, split)))))
+                ids.append(words.expand(found))
+                np.add.at(sizes, of[-1][0], of[-1][1])
+            offsets = textio.spans(sizes)
             out = np.full(int(offsets[-1]), end_id, "<u4")
             mask = np.ones(len(out), bool)
             mask[offsets[1:] - 1] = False
-            out[mask] = words.expand(rows)
+            out[mask] = np.concatenate(ids) if ids else []
             return out, offsets
 
         return encode

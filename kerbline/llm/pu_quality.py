@@ -161,14 +161,16 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     """Columns ``keep`` and the score of every row's whole text."""
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     n = len(keep)
+    # A text that is kept is not sent twice.
+    body = keep.index("text") if "text" in keep else n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textio.slices(batches, n):
-            s = apply(shipped.value, features(textio.as_bytes(batch.column(n))))
+        for batch in textio.slices(batches, body):
+            s = apply(shipped.value, features(textio.as_bytes(batch.column(body))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], [*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, f"{kinds}, score double")
+    return docs.select(*keep, *([F.col("text").alias("_text")] if body == n else [])).mapInArrow(run, f"{kinds}, score double")
 
 
 def op6_pu_quality(spark, sf_dir: str) -> DataFrame:

@@ -9,8 +9,9 @@ from __future__ import annotations
 import ctypes
 import itertools
 import os
+import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,12 @@ def sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's shared folder if spark.checkpoint.dir names one, else one for local runs."""
+    """The cluster's shared folder if spark.checkpoint.dir names one, else one of this machine for local runs alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         own = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(own or f"/tmp/kerbline-checkpoints-{os.getuid()}")
 
 
@@ -114,10 +117,11 @@ class Lexicon:
     """Words to token ids of a public tokenizer, learned as words come.
 
     The tokenizer splits at white space before it merges, so a text's ids are the ids of its words one
-    after the other. ``most`` bounds the memory: past it half is forgotten, which changes no result.
+    after the other. ``most`` bounds the bytes that words and their ids take: past it half of the words are
+    forgotten, which changes no result.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 64 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -140,24 +144,39 @@ class Lexicon:
         self.starts = np.zeros(1 << 14, np.int64)
         self.counts = np.zeros(1 << 14, np.int32)
         self.value = np.zeros(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.held = 0
 
     def forget(self) -> None:
-        """Keeps the half that was learned first, which has most of the frequent words."""
-        n = self.most // 2
+        """Keeps the half that was learned first, which has most of the frequent words, as far as they are short."""
+        n = len(self.index) // 2
         self.index = dict(itertools.islice(self.index.items(), n))
         self.used = int(self.starts[n])
+        self.held = self._bytes_of(self.index, self.used)
+        if self.held > self.most // 2:
+            self.reset()
+
+    @staticmethod
+    def _bytes_of(words: Iterable[bytes], ids: int) -> int:
+        """Of words in the index (objects and places included) with so many ids in all."""
+        return sum(150 + len(w) for w in words) + 4 * ids
 
     def add(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
+        at = 0
+        while at < len(words):
+            # The library keeps some 100 bytes for each id while it encodes.
+            end, size = at, 0
+            while end < len(words) and end - at < 8192 and (end == at or size + len(words[end]) <= 1 << 18):
+                size += len(words[end]) + 1
+                end += 1
+            part = words[at:end]
+            at = end
             ids, counts = self._encode(part)
             n, m = len(self.index), len(part)
             if n + m > len(self.starts):
-                more = max(len(self.starts), m)
+                more = max(len(self.starts) // 2, m)
                 self.starts, self.counts, self.value = (np.concatenate([x, np.zeros(more, x.dtype)]) for x in (self.starts, self.counts, self.value))
             if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(ids)), np.uint32)])
+                self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids) // 2, len(ids)), np.uint32)])
             self.ids[self.used : self.used + len(ids)] = ids
             self.counts[n : n + m] = counts
             if self.of is not None:
@@ -165,6 +184,7 @@ class Lexicon:
             self.starts[n : n + m] = self.used + np.cumsum(counts) - counts
             self.used += len(ids)
             self.index.update(zip(part, range(n, n + m), strict=True))
+            self.held += self._bytes_of(part, len(ids))
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of these words and how many each has. Words of plain letters, digits and marks go to the
@@ -202,7 +222,7 @@ class Lexicon:
 
     def look_up(self, words: list[bytes]) -> np.ndarray:
         """Row of each word; rows hold until the next call."""
-        if len(self.index) > self.most:
+        if self.held > self.most:
             self.forget()
         get = self.index.get
         rows = np.fromiter(map(get, words, itertools.repeat(-1)), np.int32, len(words))
@@ -224,15 +244,15 @@ _LEXICONS: dict[str, Lexicon] = {}
 
 
 def lexicon(path: str, most: int | None = None) -> Lexicon:
-    """One lexicon for each file and Python worker; ``most`` raises its bound."""
+    """One lexicon for each file and Python worker; ``most`` sets its bound in bytes."""
     if path not in _LEXICONS:
         _LEXICONS[path] = Lexicon(path)
     if most is not None:
-        _LEXICONS[path].most = max(most, _LEXICONS[path].most)
+        _LEXICONS[path].most = most
     return _LEXICONS[path]
 
 
-def word_lists(texts: list[bytes], most_bytes: int = 8 << 20) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
+def word_lists(texts: list[bytes], most_bytes: int = 8 << 20, split_text: Callable[[bytes], list[bytes]] = bytes.split) -> Iterator[tuple[int, int, list[bytes], np.ndarray]]:
     """Groups of texts of a bounded size (at least one text each): first, end, all words, offsets of each text's words."""
     at = 0
     while at < len(texts):
@@ -240,6 +260,36 @@ def word_lists(texts: list[bytes], most_bytes: int = 8 << 20) -> Iterator[tuple[
         while end < len(texts) and (end == at or size + len(texts[end]) <= most_bytes):
             size += len(texts[end])
             end += 1
-        split = [t.split() for t in texts[at:end]]
+        split = [split_text(t) for t in texts[at:end]]
         yield at, end, list(itertools.chain.from_iterable(split)), spans(map(len, split))
         at = end
+
+
+_BREAK = re.compile(rb"[ \n]")
+
+
+def parts_of(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+    """The texts, in parts of at most ``most`` bytes or one word: (places of the texts, parts). Longer texts are cut at
+    white space, which no word crosses."""
+    rows: list[int] = []
+    parts: list[bytes] = []
+    size = 0
+    for i, t in enumerate(texts):
+        at = 0
+        while at < len(t) or not t:
+            end = len(t)
+            if end - at > most:
+                end = 1 + max(t.rfind(b" ", at, at + most), t.rfind(b"\n", at, at + most))
+                if end <= at:
+                    found = _BREAK.search(t, at + most)
+                    end = found.end() if found else len(t)
+            if parts and size + end - at > most:
+                yield rows, parts
+                rows, parts, size = [], [], 0
+            rows.append(i), parts.append(t[at:end])
+            size += end - at
+            at = end
+            if not t:
+                break
+    if parts:
+        yield rows, parts

@@ -27,7 +27,6 @@ rows; an empty table gives no rows; other columns of the input are not read, wha
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -339,33 +338,6 @@ def scan(maps: list[dict[int, tuple[int, int]]]) -> list[dict[int, tuple[int, in
     return maps
 
 
-def parts_of(texts: list[bytes], most: int = BATCH) -> Iterator[tuple[list[int], list[bytes]]]:
-    """The texts, in parts of at most ``most`` bytes or one word: (places of the texts, parts). Longer texts are cut at
-    white space, which no token crosses; the table may be begun anew between parts."""
-    rows: list[int] = []
-    parts: list[bytes] = []
-    size = 0
-    for i, t in enumerate(texts):
-        at = 0
-        while at < len(t) or not t:
-            end = len(t)
-            if end - at > most:
-                end = 1 + max(t.rfind(b" ", at, at + most), t.rfind(b"\n", at, at + most))
-                if end <= at:
-                    found = re.compile(rb"[ \n]").search(t, at + most)
-                    end = found.end() if found else len(t)
-            if parts and size + end - at > most:
-                yield rows, parts
-                rows, parts, size = [], [], 0
-            rows.append(i), parts.append(t[at:end])
-            size += end - at
-            at = end
-            if not t:
-                break
-    if parts:
-        yield rows, parts
-
-
 _MACHINES: dict[str, Transducer] = {}
 
 
@@ -384,7 +356,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
         for batch in textio.slices(batches, 1, BATCH):
             texts = textio.as_bytes(batch.column(1))
             n = np.zeros(len(texts), np.int64)
-            for rows, parts in parts_of(texts):
+            for rows, parts in textio.parts_of(texts, BATCH):
                 np.add.at(n, rows, machine.counts(parts, chunk))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
