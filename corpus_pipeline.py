@@ -15,27 +15,33 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the positive-unlabelled classifier accepts (score of at least 0.5)."""
+    """Documents that the positive-unlabelled classifier accepts (score of at least 0.5, ties at 0.5 included).
+
+    Null and empty texts are scored as texts without bytes; texts of any length are scored whole; repeated rows stay
+    repeated; without labels every score is 0.5 and all stay; an empty table stays empty; columns that are not those of
+    documents are not read, whatever their names."""
     docs = docs.select(*COLUMNS)
     model = pu_quality.train(docs, textio.table(spark, sf_dir, "labels"))
-    carried = docs.withColumn("body", F.col("text"))
-    scored = pu_quality.score(carried, model, ["doc_id", "body", "lang", "source", "n_chars"])
-    return scored.where("score >= 0.5").withColumnRenamed("body", "text").select(*COLUMNS)
+    return pu_quality.score(docs, model, COLUMNS).where("score >= 0.5").select(*COLUMNS)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and lie within their language's perplexity band."""
+    """Documents that pass the base rules and lie within their language's perplexity band, limits included.
+
+    Null and empty texts have no words and go; texts of any length are read whole; a null language is one of its own;
+    repeated rows stay repeated; an empty table stays empty; other columns are not read, whatever their names."""
     docs = docs.select(*COLUMNS)
     model = quality_rules.fit(docs)
-    limits = quality_rules.bands(textio.cut(quality_rules.measure(docs, model, []).select("bucket", "nll")), quality_rules.WIDTH, quality_rules.LEAST)
-    carried = docs.withColumn("body", F.col("text"))
-    measured = quality_rules.measure(carried, model, ["doc_id", "body", "lang", "source", "n_chars"])
-    return quality_rules.verdict(measured, limits).where("kept").withColumnRenamed("body", "text").select(*COLUMNS)
+    limits = quality_rules.bands(textio.cut(quality_rules.measure(docs, model, []).select("_lang", "nll")))
+    return quality_rules.verdict(quality_rules.measure(docs, model, COLUMNS), limits).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: that with the smallest id. Of rows that repeat its id those in the
-    same component go too, but for the least text; rows without an id name no component, and one of each text stays."""
+    same component go too, but for the least text; rows without an id name no component, and one of each text stays.
+
+    Null and empty texts are one component, as both have no words; texts of any length are read whole; of equal rows
+    one stays; an empty table stays empty; other columns are not read, whatever their names."""
     docs = docs.select(*COLUMNS)
     members = textio.cut(simhash.near_duplicates(docs.select("doc_id", "text")))
     keep = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -53,7 +59,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 4096 tokens."""
+    """Pieces of the documents in windows of 4096 tokens.
+
+    Null and empty texts are the end token alone; texts of any length are cut, none dropped; repeated rows and ids are
+    documents of their own; ties in length go in order of arrival; an empty table gives no rows; other columns are not
+    read, whatever their names."""
     return packing.pack(docs, packing.word_encoder(textio.tokenizer_path(textio.WORD_TOKENIZER)))
 
 
