@@ -227,7 +227,7 @@ SELECT conv_id, turn, role, kind, call_id,
     CASE WHEN kind = 'call' THEN '"arguments":{' || concat_ws(',',
       CASE WHEN role = 'system' THEN '"instructions":' || to_json(text)::VARCHAR END,
       CASE WHEN role = 'user' THEN '"options":{"depth":' || turn::VARCHAR || ',"style":"plain"}' END,
-      CASE WHEN role = 'user' THEN '"polite":' || CASE WHEN text LIKE '%.' THEN 'true' ELSE 'false' END END,
+      CASE WHEN role = 'user' AND text IS NOT NULL THEN '"polite":' || CASE WHEN text LIKE '%.' THEN 'true' ELSE 'false' END END,
       CASE WHEN role = 'user' THEN '"prompt":' || to_json(text)::VARCHAR END,
       '"turn":' || turn::VARCHAR) || '}' END,
     CASE WHEN kind <> 'call' THEN '"content":' || to_json(text)::VARCHAR END,
