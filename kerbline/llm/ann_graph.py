@@ -286,7 +286,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
                         yield from answers()
         yield from answers()
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = textio.map_batches(dealt, run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -157,7 +157,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) ->
             extra = [pa.array(ids, pa.string()), pa.array(decoded, pa.binary())] if keep_ids else []
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *extra], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return textio.map_batches(docs.select("doc_id", "text"), run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}

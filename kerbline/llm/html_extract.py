@@ -305,7 +305,7 @@ def extract_pages(pages: DataFrame, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], [*keep, "text", "n_chars"])
 
     kinds = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return pages.select(*keep, F.col("html").alias("_html")).mapInArrow(run, f"{kinds}, text string, n_chars long")
+    return textio.map_batches(pages.select(*keep, F.col("html").alias("_html")), run, f"{kinds}, text string, n_chars long")
 
 
 def op3_html_extract(spark, sf_dir: str) -> DataFrame:

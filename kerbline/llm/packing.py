@@ -159,7 +159,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[bytes]], tuple[np.
         if held:
             yield from flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return textio.map_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
 def word_encoder(path: str, end_id: int = 2) -> Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]:

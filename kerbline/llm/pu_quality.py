@@ -151,7 +151,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sam
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["kind", "x"])
 
     both = positive.select("text", F.lit(1).alias("kind")).unionByName(unlabelled.select("text", F.lit(0).alias("kind")))
-    got = both.mapInArrow(run, "kind int, x array<float>").toPandas()
+    got = textio.map_batches(both, run, "kind int, x array<float>").toPandas()
     x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, N_FEATURES), np.float32)
     kind = got["kind"].to_numpy() if len(got) else np.zeros(0, int)
     return fit_pu(x[kind == 1], x[kind == 0])
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(s, pa.float64())], [*keep, "score"])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, *([F.col("text").alias("_text")] if body == n else [])).mapInArrow(run, f"{kinds}, score double")
+    return textio.map_batches(docs.select(*keep, *([F.col("text").alias("_text")] if body == n else [])), run, f"{kinds}, score double")
 
 
 def op6_pu_quality(spark, sf_dir: str) -> DataFrame:

@@ -84,7 +84,7 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
             fp = np.concatenate(out) if out else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return textio.map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
 
 
 def _block_masks() -> list[tuple[np.uint64, np.ndarray]]:
@@ -112,7 +112,7 @@ def variants(distinct: DataFrame) -> DataFrame:
                     keys = ((fp & kept)[:, None] ^ flips[None, :]).reshape(-1)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), block, np.int8)), pa.array(keys.view(np.int64)), pa.array(np.repeat(fp, len(flips)).view(np.int64))], ["block", "key", "fp"])
 
-    return distinct.select("fp").mapInArrow(run, "block byte, key long, fp long")
+    return textio.map_batches(distinct.select("fp"), run, "block byte, key long, fp long")
 
 
 def _patterns(block: int, bits: int) -> np.ndarray:
@@ -194,7 +194,7 @@ def links(dealt: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield edges(*held)
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return textio.map_batches(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

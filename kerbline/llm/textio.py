@@ -67,6 +67,21 @@ def give_back() -> None:
 _LIBC = ctypes.CDLL(None) if os.name == "posix" else None
 
 
+#: Most bytes and rows of an Arrow batch between the JVM and Python.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes. The bounds are settings of the session, read when the plan runs;
+    smaller ones that are set already stay."""
+    conf = df.sparkSession.conf
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)):
+        now = str(conf.get(key)).rstrip("bB")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            conf.set(key, str(most))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each has at most ``most`` bytes of text, or one row: what a task holds at once
     does not depend on how many rows of what length a batch has."""

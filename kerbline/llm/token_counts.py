@@ -360,7 +360,7 @@ def token_counts(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
                 np.add.at(n, rows, machine.counts(parts, chunk))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array(n)], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return textio.map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long")
 
 
 def op9_token_counts(spark, sf_dir: str) -> DataFrame:
