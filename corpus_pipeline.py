@@ -32,8 +32,8 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows stay repeated; an empty table stays empty; other columns are not read, whatever their names."""
     docs = docs.select(*COLUMNS)
     model = quality_rules.fit(docs)
-    limits = quality_rules.bands(textio.cut(quality_rules.measure(docs, model, []).select("_lang", "nll")))
-    return quality_rules.verdict(quality_rules.measure(docs, model, COLUMNS), limits).where("kept").select(*COLUMNS)
+    measured = textio.cut(quality_rules.measure(docs, model, COLUMNS))
+    return quality_rules.verdict(measured, quality_rules.bands(measured)).where("kept").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +44,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     one stays; an empty table stays empty; other columns are not read, whatever their names."""
     docs = docs.select(*COLUMNS)
     members = textio.cut(simhash.near_duplicates(docs.select("doc_id", "text")))
-    keep = members.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    single = docs.join(keep.where("n = 1"), "doc_id", "left_semi")
-    # An id with several rows: which of its texts belong to components that it names, and one of each.
-    total = members.groupBy("doc_id").agg(F.count("*").alias("m"))
-    several = keep.join(total, "doc_id").where("m > 1").select("doc_id")
-    single = single.join(several, "doc_id", "left_anti")
-    repeated = docs.join(several, "doc_id", "left_semi").withColumn("mark", F.xxhash64("doc_id", "text"))
+    # Ids that name their component; those of several rows, where some texts may belong to other components.
+    fate = members.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("names"), (F.count("*") > 1).alias("several")).where("names")
+    named = docs.join(fate.select("doc_id", "several"), "doc_id")
+    repeated = named.where("several").withColumn("mark", F.xxhash64("doc_id", "text"))
     fps = simhash.fingerprint_table(repeated.select(F.col("mark").alias("doc_id"), "text")).select(F.col("doc_id").alias("mark"), "fp").dropDuplicates(["mark"])
     roots = members.where("doc_id = component_id").select("doc_id", "fp", "root").distinct()
     first = Window.partitionBy("doc_id", "root").orderBy("text", "lang", "source", "n_chars")
     one = repeated.join(fps, "mark").join(roots, ["doc_id", "fp"]).withColumn("place", F.row_number().over(first)).where("place = 1")
-    return single.select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
+    return named.where("NOT several").select(*COLUMNS).unionByName(one.select(*COLUMNS)).unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
