@@ -1,19 +1,24 @@
-"""Byte-level BPE encoding and decoding by ranked merges.
-
-``encode_words`` is the form in Spark's higher-order functions: a fold over the byte array of each
-distinct word that merges the adjacent pair of least rank until none is left, with the ranks as a
-literal map (in hashed buckets, as a map look-up is linear in its size); ``decode_ids`` concatenates
-binary pieces from a literal array. ``encode`` does whole texts. It folds the same ranked merges over
-the bytes of each distinct word that a task meets, in Python, since the fold in higher-order functions
-costs too much at the number of distinct words of a corpus, and joining the ids of words back to their
-places in texts shuffles more than the input (figures in the README).
-
-A text is cut by the pattern of the public tokenizer into pieces that are encoded separately. Where the
-text has no two white space characters in a row, its pieces are those of its words, each taken with the
+"""Byte-level BPE encoding and decoding by ranked merges in higher-order functions.
+
+``merged`` is the fold: over the byte array of a piece it merges the adjacent pair of least rank until none has a rank.
+The ranks are a literal map (in hashed buckets, as a map look-up is linear in its size); the ranks of a piece's pairs
+are carried along, so that a merge looks up two. ``decode_ids`` concatenates binary pieces from a literal array.
+
+A text is cut by the pattern of the public tokenizer into pieces that are encoded separately. Spark counts the distinct
+pieces of all texts; the most frequent ones, at most ``HEAD`` and none above ``SHORT`` bytes (so their size has a
+bound), are folded once and broadcast. Python then only writes each text down as ids of those and numbered gaps. A
+text's other distinct pieces travel in its own row and are folded there, in the same stage: nothing is shuffled but
+the counts, and a piece however rare needs no table of all pieces. A last step fills the gaps, decodes the whole text
+from its ids and hashes both. A fold over arrays is quadratic, so pieces above ``LONG`` bytes are merged by a heap in
+Python.
+
+Where a text has no two white space characters in a row, its pieces are those of its words, each taken with the
 space or line end before it, so they are kept by word; other texts go through the pattern whole.
 
-Defined cases: null and empty texts have no ids; bytes that are not UTF-8 never occur in a Spark string;
-a piece of any length takes O(n log n); repeated rows give repeated rows; an empty table gives no rows.
+Defined cases: null and empty texts have no ids; bytes that are not UTF-8 never occur in a Spark string; a text of any
+length is encoded whole, and a piece of any length takes O(n log n); of equal counts the whole class of pieces is in
+the head or outside, which changes no result; repeated rows give repeated rows; an empty table gives no rows; other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +28,9 @@ import functools
 import hashlib
 import heapq
 import json
+import re
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,6 +39,9 @@ from pyspark.sql import functions as F
 
 from . import textio
 
+#: Pieces that are broadcast, bytes of one of them, bytes above which a piece is merged by a heap, buckets of the
+#: literal rank map, bytes of words that a task keeps.
+HEAD, SHORT, LONG, BUCKETS, KEPT = 300_000, 48, 512, 1 << 15, 40 << 20
 #: No rank: larger than any.
 NONE = 2**31 - 1
 #: The characters with the property White_Space, as \s means in the pattern.
@@ -94,85 +105,153 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[piece[i : end[i]]] for i in range(n) if live[i]]
 
 
-class Encoder:
-    """Texts to ids, with what words give kept up to ``most`` words."""
+class Cutter:
+    """Texts to pieces, by word where that is the same."""
 
-    def __init__(self, path: str, pattern: str, most: int = 400_000):
+    def __init__(self, pattern: str):
         import regex
 
-        self.ranks, self.most = load_ranks(path), most
-        self.pieces = {r: t for t, r in self.ranks.items()}
-        self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]"))
+        self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")).findall
         self.runs = regex.compile(f"[{WHITE_SPACE}][{WHITE_SPACE}]")
         self.others = regex.compile(f"[{WHITE_SPACE.replace(' ', '').replace(chr(10), '')}]")
-        self.known: dict[str, tuple[str, bytes]] = {}
 
-    def ids_of(self, text: str) -> list[int]:
-        return [i for piece in self.cut.findall(text) for i in merge(piece.encode(), self.ranks)]
+    def words(self, text: str) -> list[str] | None:
+        """The text's words, the first as it stands and others with the space or line end before them; None if its
+        pieces are not those of words."""
+        if text[0] in WHITE_SPACE or text[-1] in WHITE_SPACE or self.runs.search(text) or self.others.search(text):
+            return None
+        return text.replace("\n", " \n").split(" ")
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join([self.pieces[i] for i in ids])
+    def pieces(self, word: str) -> list[str]:
+        """Of a word that is not the first. A line end starts a word after it; all others stand after a space."""
+        return self.cut(word if word.startswith("\n") else " " + word)
 
-    def learn(self, words: list[str]) -> None:
-        for w in words:
-            # "\n" starts a word after a line end; all others stand after a space.
-            ids = self.ids_of(w if w.startswith("\n") else " " + w)
-            self.known[w] = ",".join(map(str, ids)), self.decode(ids)
 
-    def encode(self, text: str) -> tuple[str, bytes]:
-        """Decimal ids joined by commas, and the bytes they decode to."""
-        if not text:
-            return "", b""
-        if text[0] in WHITE_SPACE or text[-1] in WHITE_SPACE or self.runs.search(text) or self.others.search(text):
-            ids = self.ids_of(text)
-            return ",".join(map(str, ids)), self.decode(ids)
-        if len(self.known) > self.most:
-            self.known.clear()
-        first, *words = text.replace("\n", " \n").split(" ")
-        known = self.known
-        got = list(map(known.get, words))
-        if None in got:
-            self.learn(list(dict.fromkeys(w for w, g in zip(words, got, strict=True) if g is None)))
-            got = [g or known[w] for w, g in zip(words, got, strict=True)]
-        ids = self.ids_of(first)
-        return ",".join([",".join(map(str, ids)), *[g[0] for g in got]]), self.decode(ids) + b"".join([g[1] for g in got])
+def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
+    """(piece, n) of all texts, but for pieces above SHORT bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter, words, others = Cutter(pattern), Counter(), Counter()
+
+        def out() -> pa.RecordBatch:
+            pieces = Counter({p: n for p, n in others.items() if len(p.encode()) <= SHORT})
+            for w, n in words.items():
+                for p in cutter.pieces(w):
+                    if len(p) <= SHORT and len(p.encode()) <= SHORT:
+                        pieces[p] += n
+            words.clear(), others.clear()
+            return pa.RecordBatch.from_arrays([pa.array(list(pieces.keys()), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"])
+
+        for batch in textio.slices(batches, 0):
+            for text in batch.column(0).to_pylist():
+                if not text:
+                    continue
+                got = cutter.words(text)
+                if got is None:
+                    others.update(cutter.cut(text))
+                else:
+                    others.update(cutter.cut(got[0]))
+                    words.update(got[1:])
+            if len(words) + len(others) > 200_000:
+                yield out()
+        yield out()
+
+    return textio.map_batches(docs.select("text"), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def head_pieces(counts: DataFrame, path: str, most: int) -> dict[str, str]:
+    """Ids, joined by commas, of the most frequent pieces, at most ``most`` of them."""
+    folded = encode_words(textio.heaviest(counts, most).select("piece"), path, "piece")
+    got = folded.select("piece", F.array_join("ids", ",").alias("ids")).toArrow()
+    return dict(zip(got["piece"].to_pylist(), got["ids"].to_pylist(), strict=True))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False) -> DataFrame:
+class Encoder:
+    """Texts to ids of the head's pieces and gaps; what words give is kept up to KEPT bytes."""
+
+    def __init__(self, path: str, pattern: str, head: dict[str, str]):
+        self.ranks, self.head, self.cutter = load_ranks(path), head, Cutter(pattern)
+        self.known: dict[str, str] = {}
+        self.held = 0
+
+    def fill(self, pieces: list[str], gaps: dict[str, int]) -> str:
+        out = []
+        for p in pieces:
+            ids = self.head.get(p)
+            if ids is None:
+                raw = p.encode()
+                ids = ",".join(map(str, merge(raw, self.ranks))) if len(raw) > LONG else f"#{gaps.setdefault(p, len(gaps))}"
+            out.append(ids)
+        return ",".join(out)
+
+    def template(self, text: str) -> tuple[str, list[str]]:
+        """Ids joined by commas, with #k in the place of gap k; the pieces of the gaps."""
+        gaps: dict[str, int] = {}
+        if not text:
+            return "", []
+        words = self.cutter.words(text)
+        if words is None:
+            return self.fill(self.cutter.cut(text), gaps), list(gaps)
+        if self.held > KEPT:
+            self.known, self.held = {}, 0
+        known = self.known
+        out = list(map(known.get, words))
+        out[0] = self.fill(self.cutter.cut(words[0]), gaps)
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None and (ids := known.get(words[i])) is None:
+                    before = len(gaps)
+                    ids = self.fill(self.cutter.pieces(words[i]), gaps)
+                    if len(gaps) == before and "#" not in ids:
+                        known[words[i]] = ids
+                        self.held += 180 + len(words[i]) + len(ids)
+                if out[i] is None:
+                    out[i] = ids
+        return ",".join(out), list(gaps)
+
+
+def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, head: int = HEAD) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with keep_ids also ids and decoded."""
-    more = ", ids string, decoded binary" if keep_ids else ""
+    sc = docs.sparkSession.sparkContext
+    frequent = sc.broadcast(head_pieces(textio.cut(count_pieces(docs, pattern)), path, head))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path, pattern)
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path, pattern, frequent.value)
         for batch in textio.slices(batches, 1):
-            n, a, b, ids, decoded = [], [], [], [], []
+            templates, gaps = [], []
             for text in batch.column(1).to_pylist():
-                i, d = encoder.encode(text or "")
-                n.append(i.count(",") + 1 if i else 0)
+                t, g = encoder.template(text or "")
+                templates.append(t)
+                gaps.append(g)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(templates, pa.string()), pa.array(gaps, pa.list_(pa.string()))], ["doc_id", "template", "gaps"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {str(r): t for t, r in load_ranks(path).items()}.__getitem__
+        gap = re.compile("#([0-9]+)")
+        for batch in textio.slices(batches, 1):
+            n, a, b, ids, decoded = [], [], [], [], []
+            for i, gaps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if gaps:
+                    i = gap.sub(lambda m, gaps=gaps: gaps[int(m[1])], i)
+                each = i.split(",") if i else []
+                d = b"".join(map(token, each))
+                n.append(len(each))
                 a.append(hashlib.sha256(i.encode()).hexdigest())
                 b.append(hashlib.sha256(d).hexdigest())
                 if keep_ids:
                     ids.append(i)
                     decoded.append(d)
             extra = [pa.array(ids, pa.string()), pa.array(decoded, pa.binary())] if keep_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *extra], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
-
-    return textio.map_batches(docs.select("doc_id", "text"), run, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *extra], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
-def _encoder(path: str, pattern: str) -> Encoder:
-    if (path, pattern) not in _ENCODERS:
-        _ENCODERS[path, pattern] = Encoder(path, pattern)
-    return _ENCODERS[path, pattern]
+    written = textio.map_batches(docs.select("doc_id", "text"), write, "doc_id long, template string, gaps array<string>")
+    folded = written.withColumn("gaps", F.transform("gaps", lambda piece: F.array_join(merged(piece, path), ",")))
+    more = ", ids string, decoded binary" if keep_ids else ""
+    return textio.map_batches(folded, fill, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
-def rank_literal(path: str, buckets: int = 1 << 15) -> Column:
+def rank_literal(path: str, buckets: int = BUCKETS) -> Column:
     """The ranks as a literal array of small maps from hex text to rank, indexed by crc32 of that text."""
-    import zlib
-
     maps: list[dict[str, int]] = [{} for _ in range(buckets)]
     for token, rank in load_ranks(path).items():
         h = token.hex()
@@ -180,32 +259,49 @@ def rank_literal(path: str, buckets: int = 1 << 15) -> Column:
     return F.from_json(F.lit(json.dumps(maps, separators=(",", ":"))), "array<map<string,int>>")
 
 
-def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
-    """Adds ``ids`` to a table of pieces: ranked merges as a fold of higher-order functions."""
-    buckets = 1 << 15
-    table = rank_literal(path, buckets)
+def merged(piece: Column, path: str) -> Column:
+    """Ids of a piece (string or binary): ranked merges as a fold of higher-order functions."""
+    return _let(rank_literal(path), lambda table: _merged(piece, table))
+
+
+def _let(value: Column, body) -> Column:
+    """body of the value, which stands in the expression once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
+def _merged(piece: Column, table: Column) -> Column:
     def rank(h: Column) -> Column:
-        return F.coalesce(F.try_element_at(F.get(table, (F.crc32(h.cast("binary")) % buckets).cast("int")), h), F.lit(NONE))
+        return F.coalesce(F.try_element_at(F.get(table, (F.crc32(h.cast("binary")) % BUCKETS).cast("int")), h), F.lit(NONE))
 
-    def let(value: Column, body) -> Column:
-        return F.get(F.transform(F.array(value), body), F.lit(0))
+    def step(s: Column, _: Column) -> Column:
+        parts, ranks = s["parts"], s["ranks"]
 
-    def step(parts: Column, _: Column) -> Column:
-        ranks = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts) - 1), lambda a, b: rank(F.concat(a, b)))
+        def merge_at(at: Column) -> Column:
+            """Merges the pair at place ``at``, the leftmost of least rank; only its neighbours' ranks change."""
 
-        def merged(r: Column) -> Column:
-            at = F.array_position(r, F.array_min(r)).cast("int")
-            joined = F.concat(F.slice(parts, 1, at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, F.size(parts)))
-            return F.when(F.array_min(r) < NONE, joined).otherwise(parts)
+            def joined(new: Column) -> Column:
+                before = F.when(at > 1, F.concat(F.slice(ranks, 1, at - 2), F.array(rank(F.concat(F.get(parts, at - 2), new))))).otherwise(F.array().cast("array<int>"))
+                after = F.when(at < F.size(ranks), F.concat(F.array(rank(F.concat(new, F.get(parts, at + 1)))), F.slice(ranks, at + 2, F.size(ranks)))).otherwise(F.array().cast("array<int>"))
+                return F.struct(F.concat(F.slice(parts, 1, at - 1), F.array(new), F.slice(parts, at + 2, F.size(parts))).alias("parts"), F.concat(before, after).alias("ranks"))
 
-        return F.when(F.size(parts) < 2, parts).otherwise(let(ranks, merged))
+            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
 
-    text = F.lower(F.hex(F.col(column).cast("binary")))
-    n = F.octet_length(F.col(column).cast("binary"))
-    parts = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, 2 * i + 1, F.lit(2)))).otherwise(F.array().cast("array<string>"))
-    folded = F.aggregate(F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>")), parts, step)
-    return words.withColumn("ids", F.transform(folded, rank))
+        due = lambda least: F.when(least < NONE, merge_at(F.array_position(ranks, least).cast("int"))).otherwise(s)
+        return F.when(F.size(ranks) == 0, s).otherwise(_let(F.array_min(ranks), due))
+
+    text = F.lower(F.hex(piece.cast("binary")))
+    n = F.octet_length(piece.cast("binary"))
+    parts = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, 2 * i + 1, F.lit(2)))
+    ranks = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.substring(text, 2 * i + 1, F.lit(4))))
+    folded = lambda start: F.transform(F.aggregate(F.sequence(F.lit(1), n - 1), start, step)["parts"], rank)
+    # A piece that is a token is that token, whatever its merges; that of one byte always is.
+    whole = lambda r: F.when(r < NONE, F.array(r)).otherwise(folded(F.struct(parts.alias("parts"), ranks.alias("ranks"))))
+    return F.when(n == 0, F.array().cast("array<int>")).otherwise(_let(rank(text), whole))
+
+
+def encode_words(words: DataFrame, path: str, column: str = "word") -> DataFrame:
+    """Adds ``ids`` to a table of pieces."""
+    return words.withColumn("ids", merged(F.col(column), path))
 
 
 def decode_ids(table: DataFrame, path: str, column: str = "ids") -> DataFrame:

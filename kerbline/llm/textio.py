@@ -128,6 +128,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def heaviest(counts: DataFrame, most: int) -> DataFrame:
+    """The rows of counts (column n) with the largest counts, at most ``most``: those from a class of counts on
+    (classes: eighths of a power of two)."""
+    kind = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(kind.alias("kind")).count().collect() if r[0] is not None), reverse=True)
+    total, least = 0, None
+    for k, n in sizes:
+        if total + n > most:
+            break
+        total, least = total + n, k
+    return counts.where("false") if least is None else counts.where(kind >= least)
+
+
 class Lexicon:
     """Words to token ids of a public tokenizer, learned as words come.
 

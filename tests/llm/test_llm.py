@@ -167,12 +167,16 @@ def test_byte_bpe(spark, odd):
         ids = lib.encode_ordinary(t or "")
         want[(i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest())] += 1
     assert got == want
-    mine, r = byte_bpe.Encoder(path, public_tokenizers.PATTERN, most=20), random.Random(3)
+    # Texts of odd spacing, with a head so small that most pieces are folded in their rows, and with one that holds all.
+    r = random.Random(3)
     alphabet = [*"ab e's 12\n\t\r é中!?.,", " the", "　", "\x85", "\x1c", "  ", "\n\n"]
-    for _ in range(1500):
-        t = "".join(r.choice(alphabet) for _ in range(r.randint(0, 25)))
-        ids, decoded = mine.encode(t)
-        assert ids == ",".join(map(str, lib.encode_ordinary(t))) and decoded == t.encode()
+    texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(1500)] + ["#1 a,#0 b " + "q#2" * 5, "z" * 3000 + " " + "é" * 400]
+    for head in (3, 100_000):
+        rows = byte_bpe.encode(docs(spark, [(k, t, "en") for k, t in enumerate(texts)]), path, public_tokenizers.PATTERN, keep_ids=True, head=head).collect()
+        assert len(rows) == len(texts) and byte_bpe.encode(odd.where("false"), path, public_tokenizers.PATTERN, head=head).count() == 0
+        for row in rows:
+            t = texts[row.doc_id]
+            assert row.ids == ",".join(map(str, lib.encode_ordinary(t))) and bytes(row.decoded) == t.encode()
     words = [" hello", "x", "", "zzzzqqq", " Straße", "!!!", "中文"]
     table = byte_bpe.decode_ids(byte_bpe.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), path), path)
     for row in table.collect():
