@@ -5,12 +5,12 @@ The ranks are a literal map (in hashed buckets, as a map look-up is linear in it
 are carried along, so that a merge looks up two. ``decode_ids`` concatenates binary pieces from a literal array.
 
 A text is cut by the pattern of the public tokenizer into pieces that are encoded separately. Spark counts the distinct
-pieces of all texts; the most frequent ones, at most ``HEAD`` and none above ``SHORT`` bytes (so their size has a
-bound), are folded once and broadcast. Python then only writes each text down as ids of those and numbered gaps. A
-text's other distinct pieces travel in its own row and are folded there, in the same stage: nothing is shuffled but
-the counts, and a piece however rare needs no table of all pieces. A last step fills the gaps, decodes the whole text
-from its ids and hashes both. A fold over arrays is quadratic, so pieces above ``LONG`` bytes are merged by a heap in
-Python.
+words of all texts and folds their distinct pieces, each once. The most frequent pieces (at most ``HEAD``, none above
+``SHORT`` bytes, so their size has a bound) are broadcast as sorted hash arrays (64 bits of one hash, 32 of another)
+with their ids. Python then only writes each text down as ids of those and numbered gaps. Pieces beyond the bound are
+folded by the same functions in the row of each text that has them, in the same stage: nothing is shuffled but the
+counts. A last step fills the gaps, decodes the whole text from its ids and hashes both. A fold over arrays is
+quadratic, so pieces above ``LONG`` bytes are merged by a heap in Python.
 
 Where a text has no two white space characters in a row, its pieces are those of its words, each taken with the
 space or line end before it, so they are kept by word; other texts go through the pattern whole.
@@ -27,13 +27,16 @@ import base64
 import functools
 import hashlib
 import heapq
+import itertools
 import json
 import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,7 +44,7 @@ from . import textio
 
 #: Pieces that are broadcast, bytes of one of them, bytes above which a piece is merged by a heap, buckets of the
 #: literal rank map, bytes of words that a task keeps.
-HEAD, SHORT, LONG, BUCKETS, KEPT = 300_000, 48, 512, 1 << 15, 40 << 20
+HEAD, SHORT, LONG, BUCKETS, KEPT = 3 << 20, 24, 512, 1 << 15, 40 << 20
 #: No rank: larger than any.
 NONE = 2**31 - 1
 #: The characters with the property White_Space, as \s means in the pattern.
@@ -130,17 +133,15 @@ class Cutter:
 def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
     """(piece, n) of all texts, but for pieces above SHORT bytes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter, words, others = Cutter(pattern), Counter(), Counter()
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Distinct words, and pieces of texts that are not cut by word, of a part of the texts."""
+        cutter, counts, others = Cutter(pattern), Counter(), Counter()
 
-        def out() -> pa.RecordBatch:
-            pieces = Counter({p: n for p, n in others.items() if len(p.encode()) <= SHORT})
-            for w, n in words.items():
-                for p in cutter.pieces(w):
-                    if len(p) <= SHORT and len(p.encode()) <= SHORT:
-                        pieces[p] += n
-            words.clear(), others.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(pieces.keys()), pa.string()), pa.array(list(pieces.values()), pa.int64())], ["piece", "n"])
+        def out() -> Iterator[pa.RecordBatch]:
+            for whole, c in ((False, counts), (True, others)):
+                c = {w: n for w, n in c.items() if not whole or len(w.encode()) <= SHORT}
+                yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(np.full(len(c), whole)), pa.array(list(c.values()), pa.int64())], ["word", "whole", "n"])
+            counts.clear(), others.clear()
 
         for batch in textio.slices(batches, 0):
             for text in batch.column(0).to_pylist():
@@ -151,63 +152,103 @@ def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
                     others.update(cutter.cut(text))
                 else:
                     others.update(cutter.cut(got[0]))
-                    words.update(got[1:])
-            if len(words) + len(others) > 200_000:
-                yield out()
-        yield out()
+                    counts.update(got[1:])
+            if len(counts) + len(others) > 300_000:
+                yield from out()
+        yield from out()
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter(pattern)
+        for batch in batches:
+            c: Counter[str] = Counter()
+            for w, whole, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                for p in (w,) if whole else cutter.pieces(w):
+                    if len(p) <= SHORT and len(p.encode()) <= SHORT:
+                        c[p] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["piece", "n"])
+
+    distinct = textio.map_batches(docs.select("text"), words, "word string, whole boolean, n long").groupBy("word", "whole").agg(F.sum("n").alias("n"))
+    return textio.map_batches(distinct, pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+class Head:
+    """Frequent pieces with their ids, found by hash."""
+
+    def __init__(self, hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, at: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.checks = hashes[order], checks[order].astype(np.uint32)
+        self.begin, self.end, self.ids = at[:-1][order].astype(np.int32), at[1:][order].astype(np.int32), ids.astype(np.uint16 if len(ids) == 0 or ids.max() < 1 << 16 else np.uint32)
 
-    return textio.map_batches(docs.select("text"), run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    def find(self, pieces: list[str]) -> list[str | None]:
+        """Ids joined by commas, None for other pieces."""
+        if not len(self.hashes):
+            return [None] * len(pieces)
+        raw = [p.encode() for p in pieces]
+        wanted = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in raw), np.uint64, len(raw))
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        found = (self.hashes[at] == wanted) & (self.checks[at] == np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)))
+        ids, begin, end = self.ids, self.begin[at].tolist(), self.end[at].tolist()
+        return [",".join(map(str, ids[a:b].tolist())) if ok else None for ok, a, b in zip(found.tolist(), begin, end, strict=True)]
 
 
-def head_pieces(counts: DataFrame, path: str, most: int) -> dict[str, str]:
-    """Ids, joined by commas, of the most frequent pieces, at most ``most`` of them."""
+def head_pieces(counts: DataFrame, path: str, most: int) -> Head:
+    """The most frequent pieces, at most ``most`` of them, folded."""
     folded = encode_words(textio.heaviest(counts, most).select("piece"), path, "piece")
-    got = folded.select("piece", F.array_join("ids", ",").alias("ids")).toArrow()
-    return dict(zip(got["piece"].to_pylist(), got["ids"].to_pylist(), strict=True))
+    got = folded.select(F.xxhash64("piece").alias("h"), F.crc32(F.col("piece").cast("binary")).alias("check"), "ids").toArrow()
+    ids = got["ids"].combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
+    ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks)
+    return Head(got["h"].to_numpy().view(np.uint64), got["check"].to_numpy(), ids.flatten().to_numpy(), textio.spans(ids.value_lengths().to_numpy()))
 
 
 class Encoder:
     """Texts to ids of the head's pieces and gaps; what words give is kept up to KEPT bytes."""
 
-    def __init__(self, path: str, pattern: str, head: dict[str, str]):
+    def __init__(self, path: str, pattern: str, head: Head):
         self.ranks, self.head, self.cutter = load_ranks(path), head, Cutter(pattern)
         self.known: dict[str, str] = {}
         self.held = 0
 
-    def fill(self, pieces: list[str], gaps: dict[str, int]) -> str:
-        out = []
-        for p in pieces:
-            ids = self.head.get(p)
-            if ids is None:
-                raw = p.encode()
-                ids = ",".join(map(str, merge(raw, self.ranks))) if len(raw) > LONG else f"#{gaps.setdefault(p, len(gaps))}"
-            out.append(ids)
-        return ",".join(out)
-
-    def template(self, text: str) -> tuple[str, list[str]]:
-        """Ids joined by commas, with #k in the place of gap k; the pieces of the gaps."""
-        gaps: dict[str, int] = {}
-        if not text:
-            return "", []
-        words = self.cutter.words(text)
-        if words is None:
-            return self.fill(self.cutter.cut(text), gaps), list(gaps)
+    def resolve(self, lists: list[list[str]]) -> dict[str, str | None]:
+        """Ids of all these pieces: from the head, by the heap where they are long, or None."""
+        each = list(dict.fromkeys(itertools.chain.from_iterable(lists)))
+        out = dict(zip(each, self.head.find(each), strict=True))
+        for p in each:
+            if len(p) > LONG // 4 and out[p] is None and len(raw := p.encode()) > LONG:
+                out[p] = ",".join(map(str, merge(raw, self.ranks)))
+        return out
+
+    def templates(self, texts: list[str]) -> tuple[list[str], list[list[str]]]:
+        """Of each text its ids joined by commas, with #k in the place of gap k, and the pieces of the gaps."""
         if self.held > KEPT:
             self.known, self.held = {}, 0
         known = self.known
-        out = list(map(known.get, words))
-        out[0] = self.fill(self.cutter.cut(words[0]), gaps)
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None and (ids := known.get(words[i])) is None:
-                    before = len(gaps)
-                    ids = self.fill(self.cutter.pieces(words[i]), gaps)
-                    if len(gaps) == before and "#" not in ids:
-                        known[words[i]] = ids
-                        self.held += 180 + len(words[i]) + len(ids)
-                if out[i] is None:
-                    out[i] = ids
-        return ",".join(out), list(gaps)
+        words = [self.cutter.words(t) if t else [] for t in texts]
+        # What stands by itself: first words, and texts that are not cut by word.
+        alone = [self.cutter.cut(t if w is None else w[0]) if t else [] for t, w in zip(texts, words, strict=True)]
+        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in words if w)) if w not in known]
+        cut = [self.cutter.pieces(w) for w in new]
+        ids_of = self.resolve([*alone, *cut])
+        odd: dict[str, list[str]] = {}
+        for w, pieces in zip(new, cut, strict=True):
+            got = [ids_of[p] for p in pieces]
+            if None in got:
+                odd[w] = pieces
+            else:
+                known[w] = ids = ",".join(got)
+                self.held += 180 + len(w) + len(ids)
+        out, all_gaps = [], []
+        for own, w in zip(alone, words, strict=True):
+            gaps: dict[str, int] = {}
+            fill = lambda pieces, gaps=gaps: ",".join([ids_of[p] if ids_of[p] is not None else f"#{gaps.setdefault(p, len(gaps))}" for p in pieces])
+            parts = [fill(own)] if own else []
+            if w and len(w) > 1:
+                got = list(map(known.get, w[1:]))
+                if None in got:
+                    got = [x if x is not None else fill(odd[y]) for x, y in zip(got, w[1:], strict=True)]
+                parts += got
+            out.append(",".join(parts))
+            all_gaps.append(list(gaps))
+        return out, all_gaps
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, head: int = HEAD) -> DataFrame:
@@ -218,11 +259,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, hea
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, pattern, frequent.value)
         for batch in textio.slices(batches, 1):
-            templates, gaps = [], []
-            for text in batch.column(1).to_pylist():
-                t, g = encoder.template(text or "")
-                templates.append(t)
-                gaps.append(g)
+            templates, gaps = encoder.templates([t or "" for t in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(templates, pa.string()), pa.array(gaps, pa.list_(pa.string()))], ["doc_id", "template", "gaps"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
