@@ -1,17 +1,22 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page is read into blocks of text with the elements around them. A logistic classifier with fixed
-weights on a block's surroundings and text gives its probability of being content; the two negative
-log-probabilities become capacities from the source and to the sink. Neighbouring blocks, and blocks
-next to each other under the same parent, are joined by edges whose capacity grows with their closeness
-in the tree. The minimum cut, found by maximum flow, separates content from boilerplate.
+A page is read into blocks of text with the elements around them. A logistic classifier with fixed weights on a
+block's surroundings (what its elements and their classes, ids and roles are called) and text (words, links, sentence
+ends) gives its probability of being content; the two negative log-probabilities become capacities from the source and
+to the sink. Every weight is moderate, so no single word decides: neighbouring blocks, and blocks next to each other
+under the same parent, are joined by edges whose capacity grows with their closeness in the tree, and a few of these
+outweigh a doubtful block. The minimum cut, found by maximum flow, separates content from boilerplate: a short line
+between paragraphs of the article stays, and so does a paragraph whose class sounds like a widget, while a well-formed
+sentence among the links of a menu goes.
 
 Within a block character references are decoded and white space becomes one space; content blocks are
 joined by line ends in page order. Nothing else is dropped or shortened.
 
 Defined cases: null, empty and tag-free inputs (the last is one block of text) and unclosed or truncated
-mark-up are read like any other page; comments, scripts, styles, templates and the head are never text;
-repeated rows give repeated rows; an empty table gives no rows.
+mark-up are read like any other page; pages of any length are read whole, in time that grows with their length; a
+block that costs the same on either side goes with the sink; comments, scripts, styles, templates and the head are
+never text; repeated rows give repeated rows; an empty table gives no rows; columns that are not asked for are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -60,9 +65,10 @@ class Node:
     tag: str
     parent: Node | None
     depth: int
-    vote: float  # evidence of this element and those around it
+    vote: float  # log odds of this element and those around it
     boiler: bool
     article: bool
+    unseen: bool = False  # hidden, or controls of a form: never text of the article
 
 
 @dataclass
@@ -74,14 +80,23 @@ class Block:
     heading: bool = False
 
 
-def _evidence(tag: str, attributes: str, parent: Node) -> tuple[float, bool, bool]:
-    vote, boiler, article = parent.vote, parent.boiler, parent.article
+#: Log odds: names and elements that speak against content, the first and each further one around a block; elements
+#: and names for it; words of a block, the share of links, a sentence's end, a heading.
+AGAINST_FIRST, AGAINST_MORE, FOR_ELEMENT, FOR_NAME = -5.0, -1.0, 3.0, 2.0
+WORDS, LINKS, SENTENCE, HEADING, NEITHER = 0.6, -4.0, 0.6, 0.5, -0.6
+#: Capacities: of neighbours of like surroundings or of one kind under one parent, of others, of the next under a parent.
+NEAR, ACROSS, UNDER = 1.6, 0.15, 0.8
+
+
+def _evidence(tag: str, attributes: str, parent: Node) -> tuple[float, bool, bool, bool]:
+    vote, boiler, article, unseen = parent.vote, parent.boiler, parent.article, parent.unseen
+    against = False
     if tag in ("article", "main"):
-        vote, article = vote + 3, True
-    elif tag in ("nav", "aside", "form", "menu", "dialog", "button", "fieldset"):
-        boiler = True
-    elif tag == "footer" or (tag == "header" and not article):
-        boiler = True
+        vote, article = vote + FOR_ELEMENT, True
+    elif tag in ("button", "fieldset", "form", "label"):
+        unseen = against = True
+    elif tag in ("nav", "aside", "menu", "dialog", "footer") or (tag == "header" and not article):
+        against = True
     if attributes and tag not in ("html", "body"):
         words: set[str] = set()
         for name, a, b, c in ATTRIBUTE.findall(attributes):
@@ -89,47 +104,80 @@ def _evidence(tag: str, attributes: str, parent: Node) -> tuple[float, bool, boo
             if name in ("class", "id", "role"):
                 words.update(PARTS.findall(CAMEL.sub(" ", value).lower()))
             elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                boiler = True
+                unseen = against = True
         if words:
             # "with-sidebar" tells of a page's layout, and a header of the article holds its title.
-            against = set() if words & LAYOUT else words & AGAINST
+            names = set() if words & LAYOUT else words & AGAINST
             if article and tag == "header" or words & FOR:
-                against -= {"header"}
-            if against:
-                boiler = True
+                names -= {"header"}
+            if names:
+                against = True
             elif words & FOR:
-                vote, article = vote + 2, article or bool(words & {"article", "main", "articlebody", "maincontent"})
-    return vote, boiler, article
+                vote, article = vote + FOR_NAME, article or bool(words & {"article", "main", "articlebody", "maincontent"})
+    if against:
+        # What is inside speaks for the article no longer.
+        vote = min(vote, 0.0) + (AGAINST_MORE if boiler else AGAINST_FIRST)
+    return vote, boiler or against, article, unseen
+
+
+class _Open:
+    """The open elements, with where those of each tag stand, so that a look-up doesn't walk the stack."""
+
+    def __init__(self) -> None:
+        self.root = Node("", None, 0, 0.0, False, False)
+        self.stack = [self.root]
+        self.of: dict[str, list[int]] = {}
+        self.blocks: list[int] = [0]  # places of elements that are not inline
+        self.links = 0
+
+    def push(self, node: Node) -> None:
+        self.of.setdefault(node.tag, []).append(len(self.stack))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.links += node.tag == "a"
+        self.stack.append(node)
+
+    def last(self, *tags: str) -> int:
+        """Place of the innermost open element of these tags, 0 if there is none."""
+        return max((places[-1] for t in tags if (places := self.of.get(t))), default=0)
+
+    def cut(self, to: int) -> bool:
+        """Closes all from place ``to`` on; whether one of them ends a block."""
+        ends = self.blocks[-1] >= to
+        for node in self.stack[to:]:
+            self.of[node.tag].pop()
+            self.links -= node.tag == "a"
+        del self.stack[to:]
+        while self.blocks[-1] >= to:
+            self.blocks.pop()
+        return ends
 
 
 def blocks_of(html: str) -> list[Block]:
     """The page's blocks of text that are not empty, in page order."""
-    root = Node("", None, 0, 0.0, False, False)
-    stack, out = [root], []
-    block, links = Block(root), 0
+    open_, out = _Open(), []
+    block = Block(open_.root)
 
     def flush() -> None:
         nonlocal block
         block.text = " ".join("".join(block.parts).split())
         if block.text:
             out.append(block)
-        block = Block(stack[-1])
+        block = Block(open_.root)
 
     def words(raw: str) -> None:
         if not block.parts:
-            block.node = next(n for n in reversed(stack) if n.tag not in INLINE)
+            block.node = open_.stack[open_.blocks[-1]]
             block.heading = block.node.tag in HEADINGS
         text = html_lib.unescape(raw) if "&" in raw else raw
         block.parts.append(text)
-        if links:
+        if open_.links:
             block.linked += len(text)
 
     def close(to: int) -> None:
-        nonlocal links
-        if any(n.tag not in INLINE for n in stack[to:]):
+        if open_.blocks[-1] >= to:
             flush()
-        links -= sum(n.tag == "a" for n in stack[to:])
-        del stack[to:]
+        open_.cut(to)
 
     at = 0
     for m in TOKEN.finditer(html):
@@ -141,15 +189,12 @@ def blocks_of(html: str) -> list[Block]:
             continue
         tag = tag.lower()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    close(i)
-                    break
-                if tag in INLINE and stack[i].tag not in INLINE:
-                    break
-            else:
-                if tag not in INLINE:
-                    flush()
+            place = open_.last(tag)
+            # An inline element's end does not reach over a block's start.
+            if place and (tag not in INLINE or place > open_.blocks[-1]):
+                close(place)
+            elif tag not in INLINE:
+                flush()
             continue
         if tag == "br":
             words(" ")
@@ -159,29 +204,22 @@ def blocks_of(html: str) -> list[Block]:
         if tag in VOID:
             continue
         if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    close(i)
-                    break
-                if stack[i].tag not in INLINE:
-                    break
+            place = open_.last("p")
+            if place and place == open_.blocks[-1]:
+                close(place)
         elif tag in ENDED_BY:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag or {stack[i].tag, tag} in ({"dt", "dd"}, {"td", "th"}):
-                    close(i)
-                    break
-                if stack[i].tag in ENDED_BY[tag]:
-                    break
-        elif tag == "a" and links:
-            links -= 1
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "a":
-                    del stack[i]
-                    break
+            same = next((g for g in ({"dt", "dd"}, {"td", "th"}) if tag in g), {tag})
+            place = open_.last(*same)
+            if place > open_.last(*ENDED_BY[tag]):
+                close(place)
+        elif tag == "a" and open_.links:
+            place = open_.last("a")
+            if place > open_.blocks[-1]:
+                close(place)
         if not (m[4] or "").endswith("/") or tag in INLINE:
-            parent = stack[-1]
-            stack.append(Node(tag, parent, parent.depth + 1, *_evidence(tag, m[4] or "", parent)))
-            links += tag == "a"
+            parent = open_.stack[-1]
+            vote, boiler, article, unseen = _evidence(tag, m[4] or "", parent)
+            open_.push(Node(tag, parent, parent.depth + 1, vote, boiler, article, unseen))
     if at < len(html):
         words(html[at:])
     flush()
@@ -189,28 +227,28 @@ def blocks_of(html: str) -> list[Block]:
 
 
 def content_probability(block: Block) -> float:
+    if block.node.unseen:
+        return 1e-5
     n = len(block.text)
-    words = block.text.count(" ") + 1
     share = min(1.0, block.linked / n)
-    z = block.node.vote - 0.6 + 0.6 * min(math.log1p(words), 4.0) - 4.0 * share
-    z += 0.6 * (block.text[-1] in ".!?。:;\"'»”)") + 0.5 * block.heading
+    z = block.node.vote + NEITHER + WORDS * min(math.log1p(block.text.count(" ") + 1), 4.0) + LINKS * share
+    z += SENTENCE * (block.text[-1] in ".!?。:;\"'»”)") + HEADING * block.heading
     if block.node.tag == "li" and share > 0.5:
         z -= 1.5
-    if block.node.boiler:
-        z -= 12.0
     return 1 / (1 + math.exp(-max(-12.0, min(12.0, z))))
 
 
 def closeness(a: Node, b: Node) -> float:
     """Capacity of the edge between two blocks: large under one parent, small across the tree."""
-    x, y = a, b
-    while x is not y:
+    x, y, away = a, b, 0
+    while x is not y and away < 40:
         if x.depth >= y.depth:
             x = x.parent
         else:
             y = y.parent
-    away = a.depth + b.depth - 2 * x.depth
-    return (0.2 if a.boiler != b.boiler or a.article != b.article else 1.2) / (1 + 0.5 * max(0, away - 2))
+        away += 1
+    alike = (a.boiler == b.boiler and a.article == b.article) or (a.tag == b.tag and a.parent is b.parent)
+    return (NEAR if alike else ACROSS) / (1 + 0.5 * max(0, away - 2))
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -285,7 +323,7 @@ def label(blocks: list[Block]) -> list[bool]:
             edges.append((i - 1, i, closeness(blocks[i - 1].node, b.node)))
         parent = id(b.node.parent)
         if (j := last.get(parent)) is not None and j < i - 1:
-            edges.append((j, i, 0.5 * closeness(blocks[j].node, b.node)))
+            edges.append((j, i, UNDER * closeness(blocks[j].node, b.node)))
         last[parent] = i
     return minimum_cut([-math.log(max(1 - x, 1e-9)) for x in p], [-math.log(max(x, 1e-9)) for x in p], edges)
 
