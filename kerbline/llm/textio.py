@@ -156,6 +156,7 @@ class Lexicon:
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.ends: np.ndarray | None = None
         self.of: dict[bytes, int] | None = None
+        self.of_ids: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.reset()
@@ -166,7 +167,14 @@ class Lexicon:
             self.of = values
             self.reset()
 
+    def beside(self, of: Callable[[np.ndarray, np.ndarray], np.ndarray] | None) -> None:
+        """From now on a number is kept beside each id: ``of(ids, counts)`` of new words."""
+        if self.of_ids is not of:
+            self.of_ids = of
+            self.reset()
+
     def reset(self) -> None:
+        self.numbers = np.empty(1 << 16, np.float32)
         self.index: dict[bytes, int] = {}
         self.ids = np.empty(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 14, np.int64)
@@ -206,6 +214,10 @@ class Lexicon:
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids) // 2, len(ids)), np.uint32)])
             self.ids[self.used : self.used + len(ids)] = ids
+            if self.of_ids is not None:
+                if len(self.numbers) < len(self.ids):
+                    self.numbers = np.concatenate([self.numbers, np.empty(len(self.ids) - len(self.numbers), np.float32)])
+                self.numbers[self.used : self.used + len(ids)] = self.of_ids(ids, counts)
             self.counts[n : n + m] = counts
             if self.of is not None:
                 self.value[n : n + m] = np.fromiter(map(self.of.get, part, itertools.repeat(0)), np.int64, m)
@@ -260,12 +272,16 @@ class Lexicon:
             rows[missing] = np.fromiter(map(get, new), np.int32, len(new))
         return rows
 
-    def expand(self, rows: np.ndarray) -> np.ndarray:
-        """The ids of these rows, one after the other."""
+    def places(self, rows: np.ndarray) -> np.ndarray:
+        """Where the ids of these rows stand, one after the other."""
         counts = self.counts[rows].astype(np.int64)
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(total) + np.repeat(self.starts[rows] - (ends - counts), counts)]
+        return np.arange(total) + np.repeat(self.starts[rows] - (ends - counts), counts)
+
+    def expand(self, rows: np.ndarray) -> np.ndarray:
+        """The ids of these rows, one after the other."""
+        return self.ids[self.places(rows)]
 
 
 _LEXICONS: dict[str, Lexicon] = {}

@@ -389,18 +389,52 @@ def test_language_model_reads_all_training_text(spark, odd, tokenizer):
         ids.update(of[1:])
         pairs.update(zip(of[:-1], of[1:], strict=True))
         targets += len(of) - 1
-    got = lm_scoring.subword_counts(spans)
+    counted = lm_scoring.count_words(d, F.lit(True)).select("word", F.col("in_train").alias("n"))
+    got = lm_scoring.subword_counts(counted, word_path())
     assert {int(i): int(got[i]) for i in np.flatnonzero(got)} == dict(ids)
     batches = spans.toArrow().combine_chunks().to_batches(max_chunksize=70)
     assert sum((Counter(zip(*(x.tolist() for x in lm_scoring._pairs(*lm_scoring._flat(b))), strict=True)) for b in batches), Counter()) == pairs
     # Every target is trained on once over the rounds; a task with few windows takes all in each.
     row = np.arange(lm_scoring.VOCABULARY, dtype=np.int32)
-    taken = lambda some, r: sum(int((y >= 0).sum()) for _, y in lm_scoring.training_windows(iter(some), row, r))
+    taken = lambda some, r: sum(int((y >= 0).sum()) for _, y, _ in lm_scoring.training_windows(iter(some), row, r))
     assert targets > 18 * lm_scoring.LEAST_STEPS * lm_scoring.BATCH * lm_scoring.ROUNDS
     assert sum(taken(batches, r) for r in range(lm_scoring.ROUNDS)) == targets
     assert taken(batches[:1], 0) == taken(batches[:1], 1) > 0
 
 
+def test_words_so_far(spark, tokenizer):
+    """Probabilities of ids after those of their word sum to one, with all prefixes kept and with few, and leave a word's own count out."""
+    texts = ["the then there they th", "theory of thatching", "éa " * 3 + "the"]
+    counted = lm_scoring.count_words(docs(spark, [(k, t, "en") for k, t in enumerate(texts)]), F.lit(True)).select("word", F.col("in_train").alias("n"))
+    share = lm_scoring.subword_counts(counted, word_path()) + 0.5
+    share /= share.sum()
+    everything = np.arange(lm_scoring.VOCABULARY)
+    for most in (10_000, 4):
+        table = lm_scoring.prefixes(counted, word_path(), share, most)
+        for word in ("the", "theory", "thatching", "zebra"):
+            ids = tokenizer.encode(word, add_special_tokens=False).ids
+            for k in range(len(ids)):
+                flat = np.concatenate([np.tile(np.array(ids[:k], int), (len(everything), 1)), everything[:, None]], 1).reshape(-1)
+                p = table.probabilities(flat, np.full(len(everything), k + 1))[k :: k + 1]
+                assert abs(p.sum(dtype=float) - 1) < 1e-3, (word, k, most)
+    table = lm_scoring.prefixes(counted, word_path(), share)
+    ids = np.array(tokenizer.encode("thatching", add_special_tokens=False).ids)
+    assert (table.training(ids, np.array([len(ids)])) <= table.scoring(ids, np.array([len(ids)]))).all()
+
+
+def test_language_model_beats_the_base_on_texts_outside_training(spark):
+    got = lm_scoring.op1_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert got.score > got.base
+
+
+def test_sums_in_two_levels(spark, monkeypatch):
+    df = spark.range(1000).select("id").repartition(13)
+    total = lambda: lm_scoring.add_up(df, lambda batches: np.array([float(sum(b.column(0).to_numpy().sum() for b in batches)), 1.0, 0.0]))
+    assert total().tolist() == [499_500, 13, 0]
+    monkeypatch.setattr(lm_scoring, "GROUPS", 3)
+    assert total().tolist() == [499_500, 13, 0]
+
+
 def test_attention_probabilities_and_gradients():
     r = np.random.default_rng(0)
     k, vocabulary, rows = 5, 12, 9
@@ -417,29 +451,40 @@ def test_attention_probabilities_and_gradients():
     book = attention.Book(table, kind, own, column, np.full(4, 1e9, np.float32))
     p = attention.init(rows, k, kind[:rows], np.ones(k) / k)
     p["near"] = r.standard_normal(attention.LENGTH).astype(np.float32)
+    p["W"] += r.standard_normal(p["W"].shape).astype(np.float32)
     ids = r.integers(0, rows, 70)
-    x, _, text = attention.windows(ids, np.array([0, 1, 30, 70]))
+    ends = np.array([0, 1, 30, 70])
+    x, _, _, text = attention.windows(ids, ends, np.ones(70, np.float32))
     assert sorted(set(text)) == [1, 2]
-    total = sum(np.exp(attention.log_probabilities(p, book, x, np.full((len(x), attention.STRIDE), y))) for y in range(vocabulary))
+    share = r.random(vocabulary)
+    share /= share.sum()
+    even = lambda y: np.full((len(x), attention.STRIDE), y)
+    total = sum(np.exp(attention.log_probabilities(p, book, x, even(y), even(np.float32(share[y])))) for y in range(vocabulary))
     used = x[:, attention.CONTEXT :] >= 0
     assert np.allclose(total[used], 1, atol=1e-4)
     # No token sees what follows it, and windows agree on a token whatever comes later.
-    _, y, _ = attention.windows(ids, np.array([0, 1, 30, 70]))
+    beside = r.random(70).astype(np.float32)
+    _, y, word, _ = attention.windows(ids, ends, beside)
     later = ids.copy()
     later[60:] = 0
-    a = attention.log_probabilities(p, book, x, y)
-    x2, y2, _ = attention.windows(later, np.array([0, 1, 30, 70]))
-    b = attention.log_probabilities(p, book, x2, y2)
+    a = attention.log_probabilities(p, book, x, y, word)
+    x2, y2, word2, _ = attention.windows(later, ends, beside)
+    b = attention.log_probabilities(p, book, x2, y2, word2)
     same = (x == x2).all(1) & (y == y2).all(1)
     assert np.allclose(a[same], b[same]) and (y >= 0).sum() == 28 + 39
-    loss, g = attention.gradients(p, book, x, y)
-    for name in ("W", "Wq", "Wo", "near"):
+    # Scoring is the same function as training's forward pass, without own counts left out.
+    w, _ = attention.forward(p, x)
+    u, alone = book.after(np.maximum(x[:, attention.CONTEXT :], 0).reshape(-1), np.maximum(y, 0).reshape(-1))
+    want = np.log((w.reshape(-1, k + 2) * np.concatenate([u, alone[:, None], word.reshape(-1, 1)], 1)).sum(1)).reshape(y.shape)
+    assert np.allclose(np.where(y < 0, 0, want), a, atol=1e-4)
+    loss, g = attention.gradients(p, book, x, y, word)
+    for name in ("W", "Wq", "Wo", "near", "E"):
         at = tuple(r.integers(0, n) for n in p[name].shape)
         moved = []
         for step in (1e-2, -1e-2):
             q = {n: v.copy() for n, v in p.items()}
             q[name][at] += step
-            moved.append(attention.gradients(q, book, x, y)[0])
+            moved.append(attention.gradients(q, book, x, y, word)[0])
         assert abs((moved[0] - moved[1]) / 2e-2 - g[name][at]) < 2e-3, name
 
 
