@@ -5,16 +5,20 @@ features of the text alone minimises the non-negative unbiased risk
 
     prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)])
 
-(logistic loss). The class prior is estimated from the two samples: a classifier of positives against
-unlabelled text ranks both, and the smallest ratio of unlabelled to positive mass over the tails of
-that ranking, with a margin for sampling error, bounds the share of positives among the unlabelled.
-
-The fit is on bounded samples (``sample`` rows of each kind, chosen by a hash of the id, so at
-random and the same in every run); scoring reads every whole text.
-
-Defined cases: null and empty texts get the score of a text without any bytes; null ids fall into fold
-0; repeated rows give repeated rows; without any positives, or without unlabelled text, every score is
-0.5; an empty table gives no rows.
+(logistic loss). The unlabelled part is all text outside the held-out fold: its features are worked out once into a
+table, and in each of ``ROUNDS`` every task descends from the shared weights over its own rows, some at a time, after
+which the weights are averaged by rows. The class prior is estimated likewise: a classifier of positives against
+unlabelled text ranks both, and the smallest ratio of unlabelled to positive mass over the tails of that ranking (of
+all unlabelled rows, from a histogram of fixed bins), with a margin for sampling error, bounds the share of positives
+among the unlabelled.
+
+Only the labelled positives are a bounded sample (``sample`` rows, chosen by a hash of the id, so at random and the
+same in every run); scoring reads every whole text.
+
+Defined cases: null and empty texts get the score of a text without any bytes; texts of any length are read whole; a
+score of exactly 0.5 counts as 1; null ids fall into fold 0; repeated rows give repeated rows; without any positives,
+or without unlabelled text, every score is 0.5; an empty table gives no rows; columns that are not asked for are not
+read, and those that are must not be named score.
 """
 
 from __future__ import annotations
@@ -23,13 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textio
 
-#: Most rows of each kind that the fit sees.
+#: Most labelled rows that the fit sees.
 SAMPLE = 6000
+#: Rounds of averaged descent, rows of a step, least steps of a task in a round, bins of the histogram of ranks.
+ROUNDS, ROWS, LEAST_STEPS, BINS = 6, 2048, 400, 4096
 
 
 def _classes() -> np.ndarray:
@@ -91,43 +98,123 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 300) -> float:
-    """Share of positives among the rows of u: min over tails of mass(u) / mass(p), with a margin."""
-
-    def gradient(w: np.ndarray) -> np.ndarray:
-        return (u.T @ sigmoid(u @ w)) / len(u) - (p.T @ sigmoid(-(p @ w))) / len(p) + 1e-3 * w
-
-    w = _descend(gradient, p.shape[1], steps, 0.05)
-    sp, su = np.sort(p @ w), np.sort(u @ w)
+def tail_bound(sp: np.ndarray, below, n: int) -> float:
+    """min over tails of mass(unlabelled) / mass(positive), with a margin. sp: sorted ranks of the positives;
+    below(t): share of the n unlabelled ones under t."""
     best = 1.0
     for q in np.linspace(0, 0.9, 46):
         t = sp[int(q * len(sp))]
-        fp, fu = 1 - np.searchsorted(sp, t) / len(sp), 1 - np.searchsorted(su, t) / len(su)
-        margin = np.sqrt(fp * (1 - fp) / len(sp)) + np.sqrt(fu * (1 - fu) / len(su)) + 1 / len(su)
+        fp, fu = 1 - np.searchsorted(sp, t) / len(sp), 1 - below(t)
+        margin = np.sqrt(fp * (1 - fp) / len(sp)) + np.sqrt(max(0.0, fu * (1 - fu)) / n) + 1 / n
         best = min(best, (fu + margin) / max(fp - margin, 1e-6) if fp > margin else 1.0)
     return float(np.clip(best, 0.01, 0.99))
 
 
-def fit_pu(p: np.ndarray, u: np.ndarray, steps: int = 800) -> dict[str, np.ndarray | float]:
-    """Weights for standardised features, minimising the non-negative risk."""
-    if not len(p) or not len(u):
-        d = N_FEATURES
+def rank_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Of the logistic loss of positives against unlabelled rows."""
+    return (u.T @ sigmoid(u @ w)) / len(u) - (p.T @ sigmoid(-(p @ w))) / len(p) + 1e-3 * w
+
+
+def risk_gradient(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """Of the non-negative risk: its unlabelled part is descended where it is not negative, ascended where it is."""
+    fp, fu = p @ w, u @ w
+    negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
+    g = (u.T @ sigmoid(fu)) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
+    return -prior * (p.T @ sigmoid(-fp)) / len(p) + (g if negative >= 0 else -g) + 1e-4 * w
+
+
+def estimate_prior(p: np.ndarray, u: np.ndarray, steps: int = 300) -> float:
+    """Share of positives among the rows of u, all at once."""
+    w = _descend(lambda w: rank_gradient(w, p, u), p.shape[1], steps, 0.05)
+    sp, su = np.sort(p @ w), np.sort(u @ w)
+    return tail_bound(sp, lambda t: np.searchsorted(su, t) / len(su), len(su))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int = 1 << 15) -> Iterator[np.ndarray]:
+    """Feature rows of a task, some at a time."""
+    held: list[np.ndarray] = []
+    for batch in batches:
+        held += [np.frombuffer(x, np.float32) for x in batch.column(0).to_pylist()]
+        if len(held) >= most:
+            yield np.stack(held)
+            held = []
+    if held:
+        yield np.stack(held)
+
+
+def standard(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))], 1)
+
+
+def _averaged(table: DataFrame, model: dict, positives: np.ndarray, gradient, rounds: int) -> np.ndarray:
+    """Weights after rounds of descent over all rows of the table, averaged by rows after each."""
+    w = np.zeros(positives.shape[1])
+    for r in range(rounds):
+        now = table.sparkSession.sparkContext.broadcast((w, model["mean"], model["scale"], positives))
+
+        def make(batches: Iterator[pa.RecordBatch], now=now, r: int = r) -> np.ndarray | None:
+            w, mean, scale, p = now.value
+            w, rng, rows, done = w.copy(), np.random.default_rng([r, TaskContext.get().partitionId()]), 0, 0
+            m, v = np.zeros(len(w)), np.zeros(len(w))
+
+            def step(u: np.ndarray) -> None:
+                nonlocal w, m, v, done
+                done += 1
+                g = gradient(w, p[rng.integers(0, len(p), min(len(p), ROWS))], u)
+                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+                w = w - 0.05 * 0.6**r * (m / (1 - 0.9**done)) / (np.sqrt(v / (1 - 0.999**done)) + 1e-8)
+
+            for x in _chunks(batches):
+                x = standard(x, mean, scale)
+                rows += len(x)
+                order = rng.permutation(len(x))
+                for s in range(0, len(x), ROWS):
+                    step(x[order[s : s + ROWS]])
+            while rows and done < LEAST_STEPS:
+                step(x[rng.integers(0, len(x), min(len(x), ROWS))])
+            return np.concatenate([rows * w, [rows]]) if rows else None
+
+        got = textio.add_up(table, make)
+        w = got[:-1] / got[-1]
+    return w
+
+
+def fit_pu(table: DataFrame, positives: np.ndarray) -> dict[str, np.ndarray | float]:
+    """Weights for standardised features, minimising the non-negative risk. table: one column of features (bytes) of
+    all unlabelled rows; positives: features of the trusted rows."""
+    d = N_FEATURES
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        out = np.zeros(2 * d + 1)
+        for x in _chunks(batches):
+            x = x.astype(np.float64)
+            out += np.concatenate([x.sum(0), (x * x).sum(0), [len(x)]])
+        return out
+
+    got = textio.add_up(table, moments)
+    n = 0 if got is None else int(got[-1])
+    if not len(positives) or not n:
         return {"mean": np.zeros(d), "scale": np.ones(d), "w": np.zeros(d + 1), "prior": 0.5}
-    both = np.concatenate([p, u]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0)
+    x = positives.astype(np.float64)
+    mean = (got[:d] + x.sum(0)) / (n + len(x))
+    scale = np.sqrt(np.maximum((got[d:-1] + (x * x).sum(0)) / (n + len(x)) - mean * mean, 0))
     scale[scale < 1e-3] = 1.0
-    one = lambda x: np.concatenate([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))], 1)
-    p, u = one(p), one(u)
-    prior = estimate_prior(p, u)
+    model = {"mean": mean, "scale": scale}
+    p = standard(x, mean, scale)
+    ranks = _averaged(table, model, p, rank_gradient, 2)
+    edges = np.linspace(-40, 40, BINS + 1)
+    shipped = table.sparkSession.sparkContext.broadcast((ranks, mean, scale))
 
-    def gradient(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w, u @ w
-        g_pos = -(p.T @ sigmoid(-fp)) / len(p)
-        negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        g_neg = (u.T @ sigmoid(fu)) / len(u) - prior * (p.T @ sigmoid(fp)) / len(p)
-        return prior * g_pos + (g_neg if negative >= 0 else -g_neg) + 1e-4 * w
+    def histogram(batches: Iterator[pa.RecordBatch]) -> np.ndarray | None:
+        out, (w, mean, scale) = np.zeros(BINS), shipped.value
+        for x in _chunks(batches):
+            out += np.histogram(np.clip(standard(x, mean, scale) @ w, -39.9, 39.9), edges)[0]
+        return out
 
-    return {"mean": mean, "scale": scale, "w": _descend(gradient, p.shape[1], steps, 0.05), "prior": prior}
+    under = np.concatenate([[0], np.cumsum(textio.add_up(table, histogram))]) / n
+    place = lambda z: np.searchsorted(edges, np.clip(z, -39.9, 39.9), "right") - 1
+    prior = tail_bound(np.sort(place(p @ ranks)), lambda t: under[t], n)
+    return model | {"w": _averaged(table, model, p, lambda w, p, u: risk_gradient(w, p, u, prior), ROUNDS), "prior": prior}
 
 
 def apply(model: dict, x: np.ndarray) -> np.ndarray:
@@ -139,22 +226,18 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, sam
     """Model from positives labelled outside the held-out fold and from unlabelled documents outside it."""
     mark = F.xxhash64("doc_id")
     outside = textio.fold("doc_id", folds) != held
-    pool = docs.where(outside).select("doc_id", "text")
-    # Ids are chosen first, so that only the chosen rows' texts are moved. Both id tables have at most ``sample`` rows.
-    trusted = labels.where((F.col("quality") == 1) & outside).select("doc_id").distinct().orderBy(mark).limit(sample)
-    chosen = pool.select("doc_id").distinct().orderBy(mark).limit(sample)
-    positive, unlabelled = (pool.join(F.broadcast(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]) for ids in (trusted, chosen))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textio.slices(batches, 0):
             x = features(textio.as_bytes(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(list(x), pa.list_(pa.float32()))], ["kind", "x"])
-
-    both = positive.select("text", F.lit(1).alias("kind")).unionByName(unlabelled.select("text", F.lit(0).alias("kind")))
-    got = textio.map_batches(both, run, "kind int, x array<float>").toPandas()
-    x = np.stack(got["x"].to_numpy()) if len(got) else np.zeros((0, N_FEATURES), np.float32)
-    kind = got["kind"].to_numpy() if len(got) else np.zeros(0, int)
-    return fit_pu(x[kind == 1], x[kind == 0])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([row.tobytes() for row in x], pa.binary())], ["doc_id", "x"])
+
+    table = textio.cut(textio.map_batches(docs.where(outside).select("text", F.col("doc_id").cast("long").alias("doc_id")), run, "doc_id long, x binary"))
+    # At most ``sample`` ids.
+    trusted = labels.where((F.col("quality") == 1) & outside).select(F.col("doc_id").cast("long").alias("doc_id")).distinct().orderBy(mark).limit(sample)
+    found = table.join(F.broadcast(trusted), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("x").alias("x")).orderBy("doc_id").select("x").toArrow()
+    positives = np.stack([np.frombuffer(x, np.float32) for x in found["x"].to_pylist()]) if len(found) else np.zeros((0, N_FEATURES), np.float32)
+    return fit_pu(table.select("x"), positives)
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:

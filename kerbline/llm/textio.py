@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -128,6 +129,33 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Blocks of an added-up vector, groups of tasks in the first level of sums.
+BLOCKS, GROUPS = 16, 256
+
+
+def add_up(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], np.ndarray | None]) -> np.ndarray | None:
+    """Sum over tasks of the float64 vector that ``make`` gives for each; added up block by block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = make(batches)
+        if v is not None:
+            parts = np.array_split(v, BLOCKS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], ["block", "v"])
+
+    def total(key: tuple, rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = None
+        for part in rows:
+            for x in part["v"]:
+                s = np.frombuffer(x) + (0 if s is None else s)
+        yield pd.DataFrame({"block": [key[0]], "v": [s.tobytes()]})
+
+    # Two levels, so that no group has a row of every task.
+    parts = map_batches(df, run, "block int, v binary").withColumn("at", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    some = parts.groupBy("block", "at").applyInPandas(total, "block int, v binary")
+    whole = some.groupBy("block").applyInPandas(total, "block int, v binary").collect()
+    return np.concatenate([np.frombuffer(r["v"]) for r in sorted(whole, key=lambda r: r["block"])]) if whole else None
+
+
 def heaviest(counts: DataFrame, most: int) -> DataFrame:
     """The rows of counts (column n) with the largest counts, at most ``most``: those from a class of counts on
     (classes: eighths of a power of two)."""

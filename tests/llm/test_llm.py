@@ -429,9 +429,9 @@ def test_language_model_beats_the_base_on_texts_outside_training(spark):
 
 def test_sums_in_two_levels(spark, monkeypatch):
     df = spark.range(1000).select("id").repartition(13)
-    total = lambda: lm_scoring.add_up(df, lambda batches: np.array([float(sum(b.column(0).to_numpy().sum() for b in batches)), 1.0, 0.0]))
+    total = lambda: textio.add_up(df, lambda batches: np.array([float(sum(b.column(0).to_numpy().sum() for b in batches)), 1.0, 0.0]))
     assert total().tolist() == [499_500, 13, 0]
-    monkeypatch.setattr(lm_scoring, "GROUPS", 3)
+    monkeypatch.setattr(textio, "GROUPS", 3)
     assert total().tolist() == [499_500, 13, 0]
 
 
