@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 from . import textio
 
 DEGREE, BEAM, WIDE, ALPHA = 32, 128, 4, 1.2
-#: Rows of a shard, shards at least (of 1024 rows), queries searched in lockstep.
-SHARD_ROWS, TASKS, BLOCK = 1 << 16, 8, 512
+#: Rows of a shard, shards at least (of 1024 rows), queries searched in lockstep, marks of seen nodes at once.
+SHARD_ROWS, TASKS, BLOCK, CELLS = 1 << 16, 8, 512, 1 << 23
 
 
 def clean(table: DataFrame, id_column: str, vector: str) -> DataFrame:
@@ -67,12 +67,12 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
     ids = np.full((nq, beam), -1, np.int32)
     dist = np.full((nq, beam), np.inf, np.float32)
     done = np.ones((nq, beam), bool)
-    seen = np.zeros((nq, n + 1), bool)  # the last column stands for no node
-    seen[:, n] = True
+    seen = np.zeros(nq * (n + 1), np.int32)  # 0 for not seen; the last column stands for no node
+    seen[n :: n + 1] = 1
     qq = (queries * queries).sum(1)
     ids[:, 0], done[:, 0] = entry, False
     dist[:, 0] = qq + sq[entry] - 2 * queries @ x[entry]
-    seen[:, entry] = True
+    seen[entry :: n + 1] = 1
     active = np.arange(nq)
     while True:
         open_ = ~done[active]
@@ -84,15 +84,16 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarra
         r, slot = np.nonzero(expand)
         done[active[r], slot] = True
         near = graph[ids[active[r], slot]]
-        rows = np.repeat(active[r], near.shape[1])
-        nodes = near.reshape(-1)
-        fresh = ~seen[rows, nodes]
-        rows, nodes = rows[fresh], nodes[fresh]
-        key = np.unique(rows.astype(np.int64) * (n + 1) + nodes)  # two expanded nodes may share a neighbour
-        rows, nodes = key // (n + 1), (key % (n + 1)).astype(np.int32)
-        if not len(rows):
+        place = (active[r].astype(np.int64) * (n + 1))[:, None] + np.where(near < 0, n, near)
+        place = place.reshape(-1)
+        place = place[seen[place] == 0]
+        if not len(place):
             continue
-        seen[rows, nodes] = True
+        # Two expanded nodes may share a neighbour: of equal places the one written last stays.
+        tick = np.arange(1, len(place) + 1, dtype=np.int32)
+        seen[place] = tick
+        place = place[seen[place] == tick]
+        rows, nodes = place // (n + 1), (place % (n + 1)).astype(np.int32)
         d = qq[rows] + sq[nodes] - 2 * np.einsum("ij,ij->i", x[nodes], queries[rows])
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         size = np.diff([*first, len(rows)])
@@ -171,7 +172,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = AL
         if (~fits).any():
             graph[nodes[~fits]] = robust_prune(x, nodes[~fits], joined[~fits], degree, alpha)
         at += len(batch)
-        size = min(256, 2 * size)
+        size = max(16, min(256, 2 * size, CELLS // n))
     return graph, entry
 
 
@@ -259,8 +260,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int, id_column: str = "id",
                 index_rows.clear()
             if block and shard is not None:
                 ids, q = (np.concatenate(z) for z in zip(*block, strict=True))
-                for s in range(0, len(ids), BLOCK):
-                    found = shard.search(ids[s : s + BLOCK], q[s : s + BLOCK], k)
+                # As many at a time as keep the marks of seen nodes within CELLS.
+                step = max(1, min(BLOCK, CELLS // len(shard.distinct)))
+                for s in range(0, len(ids), step):
+                    found = shard.search(ids[s : s + step], q[s : s + step], k)
                     yield pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1]), pa.array(found[2])], ["query_id", "vec_id", "score"])
             block.clear()
             held = 0
