@@ -164,15 +164,26 @@ def nominal_size(c: Column) -> Column:
     return F.when(s.isin("stop", "yield") | large_info, LARGE).when(s == "danger", WARNING).otherwise(DEFAULT)
 
 
+#: Real widths in metres of classes that are not of the usual 0.60.
+WIDTHS = {
+    0.90: ["regulatory--yield", "regulatory--yield-to-oncoming-traffic", "regulatory--stop"],
+    0.70: """regulatory--height-limit regulatory--weight-limit regulatory--axel-mass-limit warning--roadworks warning--roundabout warning--road-bump
+warning--uneven-road warning--slippery-road-surface warning--curve-right warning--curve-left warning--double-curve-first-right warning--double-curve-first-left
+warning--pedestrians-crossing warning--children warning--crossroads warning--junction-with-a-side-road-perpendicular-right
+warning--junction-with-a-side-road-perpendicular-left warning--road-narrows warning--road-narrows-right warning--road-narrows-left warning--other-danger
+warning--traffic-signals warning--railroad-crossing-with-barriers warning--railroad-crossing-without-barriers warning--falling-rocks-or-debris-right
+warning--falling-rocks-or-debris-left warning--wild-animals warning--domestic-animals warning--traffic-merges-right warning--traffic-merges-left
+warning--road-slope-right warning--road-slope-left warning--road-dip warning--bicycles-crossing""".split(),
+    0.40: "warning--delineator warning--delineator--right warning--delineator--left complementary--chevron-left complementary--chevron-right complementary--distance".split(),
+}
+
+
 def real_width(c: Column) -> Column:
-    """Width for distances from single images."""
-    return (
-        F.when(c.startswith("warning--delineator") | c.startswith("complementary--"), SMALL)
-        .when(c.startswith("warning--"), WARNING)
-        .when(c.rlike("^regulatory--(stop|yield)"), LARGE)
-        .when(c.rlike("^regulatory--(height-limit|weight-limit|axel-mass-limit)$"), WARNING)
-        .otherwise(DEFAULT)
-    )
+    """Width for distances from single images; 0.60 for all classes that are not listed, unknown ones too."""
+    out = F.lit(DEFAULT)
+    for width, names in WIDTHS.items():
+        out = F.when(c.isin(*names), width).otherwise(out)
+    return out
 
 
 def is_triangular(c: Column) -> Column:

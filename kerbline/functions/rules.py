@@ -12,13 +12,32 @@ def box_gates(min_w: float, min_h: float, image_h: float, max_cy: float, low: fl
     return (w >= min_w) & (h >= min_h) & ((F.col("y1") + F.col("y2")) / 2.0 <= max_cy * image_h) & (w / h.cast("double")).between(low, high) & (F.col("score") >= score)
 
 
-def status_colour(kind: Column, score: Column) -> Column:
-    """Colour of an object's points by kind and confidence."""
-    return F.when(kind == "light", "red").when(score >= 0.8, "purple").when(score >= 0.5, "orange").otherwise("yellow")
-
-
-def back_face(hx: Column, hy: Column, rx: Column, ry: Column, limit: float = -0.3) -> Column:
-    return hx * rx + hy * ry < limit
+def status_colour(kind: Column, back_face: Column, source: Column, status: Column) -> Column:
+    """Colour of an object's points: poles by their verification status, signs and lights by how they were found."""
+    pole = F.when(status == "probable_sign", "pink").when(status == "adjacent_to_detection", "amber").otherwise("cyan")
+    found = F.when(source == "camera_only_unverified", "orange")
+    sign = F.when(back_face, "purple").otherwise(F.coalesce(found, F.lit("red")))
+    return F.when(kind == "pole", pole).when(kind == "sign", sign).when(kind == "light", F.coalesce(found, F.lit("yellow")))
+
+
+def detection_filter(kind: Column, score: Column, n: Column, width: Column, height: Column, away: Column, unverified: Column, limits: tuple[int, float, float, float, float, float], strict: bool) -> Column:
+    """The first rule that drops a localised detection, or 'kept'. limits: points, least and largest width, height,
+    distance from the first estimate, confidence of signs.
+
+    Unverified detections are exempt from all rules of geometry, or with ``strict`` only from those of points and
+    width; a cluster without points has no width to judge there. A distance of zero is none."""
+    points, narrow, wide, low, far, sure = limits
+    seen = ~unverified
+    judged = F.lit(True) if strict else seen
+    off = seen & ~width.between(narrow, wide)
+    return (
+        F.when(seen & (n < points), "points")
+        .when(off & (n > 0) if strict else off, "width")
+        .when(judged & (height < low), "height")
+        .when(judged & (away > far) & (away > 0), "distance")
+        .when((kind == "sign") & (F.coalesce(score, F.lit(0.0)) < sure), "confidence")
+        .otherwise("kept")
+    )
 
 
 def tire_like(mean_aspect: Column, best_confidence: Column) -> Column:
@@ -27,8 +46,8 @@ def tire_like(mean_aspect: Column, best_confidence: Column) -> Column:
 
 
 def plausible_range(measured: Column, assumed: Column, span: Column) -> Column:
-    """Whether a measured distance may replace one assumed from the size."""
-    return (measured <= 2.5 * assumed) & (assumed <= 2.5 * measured) & (span <= 2.0)
+    """Whether a measured distance may replace one assumed from the size: of a compact object, and not far beyond it."""
+    return (measured <= 2.5 * assumed) & (span <= 2.0)
 
 
 def localised(kind: Column, height: Column, width: Column, gap: Column, light: tuple[float, float, float], sign: tuple[float, float, float, float]) -> Column:

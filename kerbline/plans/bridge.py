@@ -40,13 +40,8 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").selectExpr(*_split(_BOXES))
 
 
-def all_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "customer").selectExpr(*_split(_ENTITIES))
-
-
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Those of the view ``v_entities``; ``all_entities`` has the whole table."""
-    return read(spark, sf_dir, "customer").where("c_custkey % 20 = 0").selectExpr(*_split(_ENTITIES))
+    return read(spark, sf_dir, "customer").selectExpr(*_split(_ENTITIES))
 
 
 def poles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +72,7 @@ def with_views(sql: str) -> str:
         "v_recipient": "SELECT * FROM v_points WHERE cls NOT IN ('view', 'click')",
         "v_shots": "SELECT pid AS image, user_id % 4 AS serial, us AS t, x, y, z FROM v_points WHERE cls = 'error'",
         "v_boxes": f"SELECT {_BOXES} FROM orders",
-        "v_entities": f"SELECT {_ENTITIES} FROM customer WHERE c_custkey % 20 = 0",
+        "v_entities": f"SELECT {_ENTITIES} FROM customer",
         "v_poles": f"SELECT {_POLES} FROM supplier JOIN nation ON n_nationkey = s_nationkey",
         "v_bulk": f"SELECT {_BULK} FROM lineitem",
     }

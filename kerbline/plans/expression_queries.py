@@ -53,14 +53,9 @@ def slerp_about_up(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH e AS (SELECT osm_id, radians(lat) AS p, radians(lon) AS l, 6378137.0::DOUBLE / sqrt(1 - 0.0066943799901413165 * sin(radians(lat)) ** 2) AS n FROM v_entities)
 SELECT osm_id, round((n + 60.0) * cos(p) * cos(l), 3) AS x, round((n + 60.0) * cos(p) * sin(l), 3) AS y, round((n * (1 - 0.0066943799901413165) + 60.0) * sin(p), 3) AS z FROM e""")
-def geocentric(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
+def geocentric(spark: SparkSession, d: str) -> DataFrame:
     x, y, z = G.to_geocentric(F.col("lon"), F.col("lat"), F.lit(60.0))
-    return entities(spark, d).select("osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
-
-
-@query()
-def geocentric_all(spark: SparkSession, d: str) -> DataFrame:
-    return geocentric(spark, d, B.all_entities)
+    return B.entities(spark, d).select("osm_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"), F.round(z, 3).alias("z"))
 
 
 @query("SELECT id, round(greatest(1.5, least(40.0, 800.0 * 0.6 / (x2 - x1))), 6) AS depth, round(-radians(image * 7) + atan2((x1 + x2) / 2.0::DOUBLE - 480.0, 800.0), 9) AS bearing FROM v_boxes")
@@ -71,24 +66,44 @@ def monocular_depth(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT id, CASE WHEN kind = 'light' THEN 'Traffic Light' WHEN id % 5 = 0 THEN 'STOP' WHEN score >= 0.5 THEN 'STOP (REVIEW)' ELSE 'Sign' END AS tag,
-CASE WHEN kind = 'light' THEN 'red' WHEN score >= 0.8 THEN 'purple' WHEN score >= 0.5 THEN 'orange' ELSE 'yellow' END AS colour FROM v_boxes""")
+CASE WHEN id % 7 = 0 THEN CASE WHEN id % 3 = 0 THEN 'pink' WHEN id % 3 = 1 THEN 'amber' ELSE 'cyan' END
+WHEN kind = 'sign' AND id % 11 = 0 THEN 'purple' WHEN id % 4 = 0 THEN 'orange' WHEN kind = 'sign' THEN 'red' ELSE 'yellow' END AS colour FROM v_boxes""")
 def tag_text_and_colour(spark: SparkSession, d: str) -> DataFrame:
     code = F.when(F.col("id") % 5 == 0, "DE:206")
-    return B.boxes(spark, d).select("id", CLS.tag_text(code, F.lit("STOP"), F.col("score"), F.col("kind")).alias("tag"), rules.status_colour(F.col("kind"), F.col("score")).alias("colour"))
+    kind = F.when(F.col("id") % 7 == 0, "pole").otherwise(F.col("kind"))
+    source = F.when(F.col("id") % 4 == 0, "camera_only_unverified").otherwise("lidar")
+    status = F.get(F.array(*map(F.lit, ("probable_sign", "adjacent_to_detection", "unclassified_pole"))), (F.col("id") % 3).cast("int"))
+    colour = rules.status_colour(kind, F.col("id") % 11 == 0, source, status)
+    return B.boxes(spark, d).select("id", CLS.tag_text(code, F.lit("STOP"), F.col("score"), F.col("kind")).alias("tag"), colour.alias("colour"))
 
 
-@query("""WITH m AS (SELECT p.pid, s.image, row_number() OVER (PARTITION BY p.pid ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.image) AS rn FROM v_points p, v_shots s WHERE p.pid % 50 = 0)
-SELECT pid, image FROM m WHERE rn = 1""")
-def nearest_camera(spark: SparkSession, d: str, objects: str = "pid % 50 = 0") -> DataFrame:
-    """Every fiftieth point is an object (the stated query set), against all shots."""
-    shots = B.shots(spark, d).select(F.col("image").alias("pid"), "x", "y")
-    return S.nearest(B.points(spark, d).where(objects), shots, 2.0).select("pid", F.col("near").alias("image"))
+@query("SELECT id, depth <= 2.5 * assumed AND width <= 2.0 AS replaces FROM (SELECT id, 1.0 + (id % 97) / 2.0::DOUBLE AS depth, greatest(1.5, least(40.0, 800.0 * 0.6 / (x2 - x1))) AS assumed, (y2 - y1) / 25.0::DOUBLE AS width FROM v_boxes)")
+def plausible_range(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a measured distance may replace the one assumed from the size: much nearer ones may, much farther ones not."""
+    depth, width = 1.0 + (F.col("id") % 97) / F.lit(2.0), (F.col("y2") - F.col("y1")) / F.lit(25.0)
+    assumed = CAM.size_depth(800.0, F.lit(0.6), F.col("x2") - F.col("x1"), 1.5, 40.0)
+    return B.boxes(spark, d).select("id", rules.plausible_range(depth, assumed, width).alias("replaces"))
+
+
+_DETECTIONS = "SELECT id, kind, score, image % 13 AS n, (x2 - x1) / 40.0::DOUBLE AS w, (id % 60) / 10.0::DOUBLE AS h, (id % 23)::DOUBLE AS away, id % 4 = 0 AS unverified FROM v_boxes"
+
 
+@query(f"""SELECT id, CASE WHEN NOT unverified AND n < 3 THEN 'points' WHEN NOT unverified AND NOT (w BETWEEN 0.6 AND 1.8) THEN 'width' WHEN NOT unverified AND h < 1.0 THEN 'height'
+WHEN NOT unverified AND away > 15.0 THEN 'distance' WHEN kind = 'sign' AND score < 0.4 THEN 'confidence' ELSE 'kept' END AS loose,
+CASE WHEN NOT unverified AND n < 3 THEN 'points' WHEN NOT unverified AND n > 0 AND NOT (w BETWEEN 0.6 AND 1.8) THEN 'width' WHEN h < 1.0 THEN 'height'
+WHEN away > 15.0 THEN 'distance' WHEN kind = 'sign' AND score < 0.4 THEN 'confidence' ELSE 'kept' END AS strict FROM ({_DETECTIONS})""")
+def detection_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Why a localised detection is dropped, or 'kept', by both producers' exemptions of unverified camera-only ones."""
+    b = B.boxes(spark, d).select("id", "kind", "score", (F.col("image") % 13).alias("n"), ((F.col("x2") - F.col("x1")) / F.lit(40.0)).alias("w"), ((F.col("id") % 60) / F.lit(10.0)).alias("h"), (F.col("id") % 23).cast("double").alias("away"), (F.col("id") % 4 == 0).alias("unverified"))
+    why = lambda strict: rules.detection_filter(*(F.col(c) for c in ("kind", "score", "n", "w", "h", "away", "unverified")), (3, 0.6, 1.8, 1.0, 15.0, 0.4), strict)
+    return b.select("id", why(False).alias("loose"), why(True).alias("strict"))
 
-@query()
-def nearest_camera_all(spark: SparkSession, d: str) -> DataFrame:
-    """``nearest_camera`` of every point."""
-    return nearest_camera(spark, d, "true")
+
+@query("""WITH m AS (SELECT p.pid, s.image, row_number() OVER (PARTITION BY p.pid ORDER BY (p.x - s.x) * (p.x - s.x) + (p.y - s.y) * (p.y - s.y), s.image) AS rn FROM v_points p, v_shots s)
+SELECT pid, image FROM m WHERE rn = 1""")
+def nearest_camera(spark: SparkSession, d: str) -> DataFrame:
+    shots = B.shots(spark, d).select(F.col("image").alias("pid"), "x", "y")
+    return S.nearest(B.points(spark, d), shots, 2.0).select("pid", F.col("near").alias("image"))
 
 
 @query("""WITH l AS (SELECT s.pid, p.pid AS light, p.z FROM v_donor s JOIN v_recipient p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 < 4.0 AND p.cls = 'error' WHERE s.cls = 'view')
@@ -100,21 +115,15 @@ def colocation(spark: SparkSession, d: str) -> DataFrame:
     return met.groupBy("pid").agg(F.max("r_pid").alias("light"), F.max_by("r_z", "r_pid").alias("z"))
 
 
-@query("""SELECT image, pid FROM (SELECT s.image, p.pid, 900.0 * (p.x - s.x) / (p.y - s.y) AS u FROM v_shots s JOIN v_points p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 <= 100.0 AND p.y - s.y > 0.01 WHERE s.image % 5 = 0)
+@query("""SELECT image, pid FROM (SELECT s.image, p.pid, 900.0 * (p.x - s.x) / (p.y - s.y) AS u FROM v_shots s JOIN v_points p ON (s.x - p.x) ** 2 + (s.y - p.y) ** 2 <= 100.0 AND p.y - s.y > 0.01)
 WHERE abs(u) <= 150.0""")
-def observation_gate(spark: SparkSession, d: str, queries: str = "image % 5 = 0") -> DataFrame:
-    """Points near a shot, ahead of it, that would be seen within 150 pixels of its axis; every fifth shot is a query."""
-    met = S.radius_join(B.shots(spark, d).where(queries).select("image", "x", "y"), B.points(spark, d).select("pid", "x", "y"), 10.0)
+def observation_gate(spark: SparkSession, d: str) -> DataFrame:
+    """Points near a shot, ahead of it, that would be seen within 150 pixels of its axis."""
+    met = S.radius_join(B.shots(spark, d).select("image", "x", "y"), B.points(spark, d).select("pid", "x", "y"), 10.0)
     ahead = F.col("r_y") - F.col("y")
     return met.where(ahead > 0.01).where(F.abs(900.0 * (F.col("r_x") - F.col("x")) / ahead) <= 150.0).select("image", F.col("r_pid").alias("pid"))
 
 
-@query()
-def observation_gate_all(spark: SparkSession, d: str) -> DataFrame:
-    """``observation_gate`` of every shot."""
-    return observation_gate(spark, d, "true")
-
-
 @query("""WITH o AS (SELECT image AS ord, x, y, z, least(1.2, greatest(0.3, z)) AS r, CASE WHEN image % 2 = 0 THEN 'red' ELSE 'amber' END AS colour FROM v_shots),
 h AS (SELECT p.pid, arg_max(colour, ord) AS colour FROM v_points p JOIN o ON (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) + (p.z - o.z) * (p.z - o.z) <= o.r * o.r GROUP BY 1)
 SELECT pid, coalesce(colour, 'grey') AS colour FROM v_points LEFT JOIN h USING (pid)""")
@@ -123,24 +132,18 @@ def radius_tint(spark: SparkSession, d: str) -> DataFrame:
     return O.tint(B.points(spark, d), o, "grey")
 
 
-@query("""WITH w AS (SELECT user_id AS way, x AS ax, y AS ay, lead(x) OVER t AS bx, lead(y) OVER t AS by_ FROM v_points WHERE user_id % 40 = 0 WINDOW t AS (PARTITION BY user_id ORDER BY us, pid)),
+@query("""WITH w AS (SELECT user_id AS way, x AS ax, y AS ay, lead(x) OVER t AS bx, lead(y) OVER t AS by_ FROM v_points WINDOW t AS (PARTITION BY user_id ORDER BY us, pid)),
 s AS (SELECT p.pid, way, sqrt((p.x - ax - f * (bx - ax)) ** 2 + (p.y - ay - f * (by_ - ay)) ** 2) AS d FROM (SELECT p.pid, p.x, p.y, w.*, greatest(0.0, least(1.0, ((p.x - ax) * (bx - ax) + (p.y - ay) * (by_ - ay)) / ((bx - ax) ** 2 + (by_ - ay) ** 2))) AS f FROM v_points p, w WHERE bx IS NOT NULL AND p.cls = 'error' AND (bx - ax) ** 2 + (by_ - ay) ** 2 > 0) p)
 SELECT pid, way, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY round(d, 9), way) AS rn FROM s WHERE d <= 3.0) WHERE rn = 1""")
-def way_corridor(spark: SparkSession, d: str, users: str = "user_id % 40 = 0") -> DataFrame:
-    """Shots within 3 m of a way (the tracks of every fortieth user) and the nearest one."""
+def way_corridor(spark: SparkSession, d: str) -> DataFrame:
+    """Shots within 3 m of a way (the users' tracks) and the nearest one."""
     from ..operators.temporal import look_ahead
 
-    t = look_ahead(B.points(spark, d).where(users).select("user_id", "us", "pid", "x", "y"), "user_id", ("us", "pid"), 1, ("pid", "x", "y")).where("ahead_pid <> pid")
+    t = look_ahead(B.points(spark, d).select("user_id", "us", "pid", "x", "y"), "user_id", ("us", "pid"), 1, ("pid", "x", "y")).where("ahead_pid <> pid")
     ways = t.select(F.col("user_id").alias("way"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ahead_x").alias("bx"), F.col("ahead_y").alias("by")).where("ax <> bx OR ay <> by")
     return O.point_to_paths(B.points(spark, d).where("cls = 'error'"), ways, 3.0).select("pid", "way", F.round("distance", 6).alias("distance"))
 
 
-@query()
-def way_corridor_all(spark: SparkSession, d: str) -> DataFrame:
-    """``way_corridor`` with the tracks of all users."""
-    return way_corridor(spark, d, "true")
-
-
 @query("SELECT floor(x / 2.0)::BIGINT AS vx, floor(y / 2.0)::BIGINT AS vy, floor(z / 2.0)::BIGINT AS vz, round(avg(x), 6) AS x, round(avg(z), 6) AS z, count(*) AS n FROM v_points GROUP BY 1, 2, 3")
 def voxel_mean(spark: SparkSession, d: str) -> DataFrame:
     return S.voxel_mean(B.points(spark, d), 2.0).select("vx", "vy", "vz", F.round("x", 6).alias("x"), F.round("z", 6).alias("z"), "n")

@@ -165,8 +165,8 @@ def rigid_transform(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT c_custkey AS k, round(2 * 6371000.0 * asin(sqrt(sin(radians(b.lat - a.lat) / 2) ** 2 + cos(radians(a.lat)) * cos(radians(b.lat)) * sin(radians(b.lon - a.lon) / 2) ** 2)), 4) AS metres FROM (SELECT osm_id AS c_custkey, lon, lat FROM v_entities) a JOIN v_entities b ON b.osm_id = a.c_custkey + 20")
-def haversine_chain(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    a = entities(spark, d)
+def haversine_chain(spark: SparkSession, d: str) -> DataFrame:
+    a = B.entities(spark, d)
     b = a.select((F.col("osm_id") - 20).alias("k"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     return a.withColumnRenamed("osm_id", "k").join(b, "k").select("k", F.round(G.haversine(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")), 4).alias("metres"))
 
@@ -177,25 +177,25 @@ n AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pole
 """
 
 
-def _near(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    e = entities(spark, d)
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    e = B.entities(spark, d)
     m = V.nearest_entity(B.poles(spark, d), e)
     return B.poles(spark, d).join(m, "pole_id").join(e.select("osm_id", "osm_type"), "osm_id")
 
 
 @query(_NEAR + "SELECT pole_id, osm_id, round(d, 4) AS distance FROM n")
-def haversine_nearest_entity(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    return V.nearest_entity(B.poles(spark, d), entities(spark, d)).select("pole_id", "osm_id", F.round("distance", 4).alias("distance"))
+def haversine_nearest_entity(spark: SparkSession, d: str) -> DataFrame:
+    return V.nearest_entity(B.poles(spark, d), B.entities(spark, d)).select("pole_id", "osm_id", F.round("distance", 4).alias("distance"))
 
 
 @query(_NEAR + "SELECT osm_type, osm_id, count(*) AS n_poles, bool_or(dual_pass) AS any_dual, count(DISTINCT pair) AS n_pairs, round(min(d), 4) AS d_min, round(max(d), 4) AS d_max FROM n GROUP BY 1, 2")
-def entity_groups(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    return V.entity_groups(_near(spark, d, entities), ["osm_type", "osm_id"]).select("osm_type", "osm_id", "n_poles", "any_dual", "n_pairs", F.round("d_min", 4).alias("d_min"), F.round("d_max", 4).alias("d_max"))
+def entity_groups(spark: SparkSession, d: str) -> DataFrame:
+    return V.entity_groups(_near(spark, d), ["osm_type", "osm_id"]).select("osm_type", "osm_id", "n_poles", "any_dual", "n_pairs", F.round("d_min", 4).alias("d_min"), F.round("d_max", 4).alias("d_max"))
 
 
 @query(_NEAR + "SELECT tier, count(*) AS n, round(avg(d), 4) AS mean, round(min(d), 4) AS lo, round(max(d), 4) AS hi FROM (SELECT 'all' AS tier, d FROM n UNION ALL SELECT 'dual', d FROM n WHERE dual_pass UNION ALL SELECT 'trusted', d FROM n WHERE n_observations >= 4) GROUP BY 1")
-def entity_tiers(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    t = V.tiers(_near(spark, d, entities), {"all": F.lit(True), "dual": F.col("dual_pass"), "trusted": F.col("n_observations") >= 4})
+def entity_tiers(spark: SparkSession, d: str) -> DataFrame:
+    t = V.tiers(_near(spark, d), {"all": F.lit(True), "dual": F.col("dual_pass"), "trusted": F.col("n_observations") >= 4})
     return t.groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("distance"), 4).alias("mean"), F.round(F.min("distance"), 4).alias("lo"), F.round(F.max("distance"), 4).alias("hi"))
 
 
@@ -239,28 +239,25 @@ def ray_intersection_2d(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS (SELECT pid, 1.5 + i * 0.25 AS d, x + (1.5 + i * 0.25) * dx AS x, y + (1.5 + i * 0.25) * dy AS y FROM ({_RAYS}), (SELECT unnest(range(95)) AS i) WHERE pid % 7 = 0),
-m AS (SELECT s.pid, s.d::DOUBLE AS d, count(*) AS n, median(p.z) AS z FROM s JOIN v_points p ON (p.x - s.x) ** 2 + (p.y - s.y) ** 2 <= 0.36 AND p.cls <> 'error' GROUP BY 1, 2 HAVING count(*) >= 2)
+WITH s AS (SELECT pid, 1.5 + i * 0.25 AS d, x + (1.5 + i * 0.25) * dx AS x, y + (1.5 + i * 0.25) * dy AS y FROM ({_RAYS}), (SELECT unnest(range(95)) AS i)),
+c AS (SELECT *, floor(x) + i AS cx, floor(y) + j AS cy FROM s, (SELECT unnest([-1, 0, 1]) AS i), (SELECT unnest([-1, 0, 1]) AS j)),
+m AS (SELECT c.pid, c.d::DOUBLE AS d, count(*) AS n, median(p.z) AS z FROM c JOIN v_points p ON floor(p.x) = cx AND floor(p.y) = cy WHERE (p.x - c.x) ** 2 + (p.y - c.y) ** 2 <= 0.36 AND p.cls <> 'error' GROUP BY 1, 2 HAVING count(*) >= 2)
 SELECT pid, d, n, round(z, 6) AS z FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY n DESC, d) AS rn FROM m) WHERE rn = 1
 """)
-def ray_march_peak(spark: SparkSession, d: str, rays: str = "pid % 7 = 0") -> DataFrame:
-    """Every seventh shot is a ray (the stated query set), against all other points."""
-    return O.ray_march(_rays(spark, d).where(rays), B.points(spark, d).where("cls <> 'error'"), 0.6, 2).select("pid", "d", "n", F.round("z", 6).alias("z"))
-
-
-@query()
-def ray_march_peak_all(spark: SparkSession, d: str) -> DataFrame:
-    """``ray_march_peak`` of every shot."""
-    return ray_march_peak(spark, d, "true")
+def ray_march_peak(spark: SparkSession, d: str) -> DataFrame:
+    """Every shot is a ray, against all other points."""
+    return O.ray_march(_rays(spark, d), B.points(spark, d).where("cls <> 'error'"), 0.6, 2).select("pid", "d", "n", F.round("z", 6).alias("z"))
 
 
 @query("""
-WITH dt AS (SELECT pid, user_id AS g, cls AS label, (pid % 100) / 100.0::DOUBLE AS conf, (pid * 7) % 500 AS quality FROM v_points),
+WITH dt AS (SELECT pid, pid // 4 AS g, cls AS label, (pid % 100) / 100.0::DOUBLE AS conf, (pid * 7) % 500 AS quality FROM v_points),
+every AS (SELECT g, label, pid AS best FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY conf * (1 + quality / 1000.0::DOUBLE) DESC, pid) AS rk FROM dt) WHERE rk = 1),
 c AS (SELECT g, label, count(*) AS votes, min(pid) AS f FROM dt WHERE conf > 0.7 GROUP BY 1, 2), t AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY votes DESC, f) AS rn FROM c) WHERE rn = 1)
 SELECT g, label, votes, pid AS best FROM (SELECT t.g, t.label, votes, pid, row_number() OVER (PARTITION BY t.g ORDER BY conf * (1 + quality / 1000.0::DOUBLE) DESC, pid) AS rk FROM t JOIN dt ON dt.g = t.g AND dt.label = t.label) WHERE rk = 1
+UNION ALL SELECT g, label, 0, best FROM every WHERE g NOT IN (SELECT g FROM t)
 """)
 def vote_majority(spark: SparkSession, d: str) -> DataFrame:
-    dt = B.points(spark, d).select("pid", F.col("user_id").alias("g"), F.col("cls").alias("label"), ((F.col("pid") % 100) / F.lit(100.0)).alias("conf"), ((F.col("pid") * 7) % 500).alias("quality"))
+    dt = B.points(spark, d).select("pid", F.floor(F.col("pid") / 4).alias("g"), F.col("cls").alias("label"), ((F.col("pid") % 100) / F.lit(100.0)).alias("conf"), ((F.col("pid") * 7) % 500).alias("quality"))
     return O.majority_vote(dt, "g", "label", "conf", "quality")
 
 
@@ -281,19 +278,22 @@ def pearson_narrow_wide(spark: SparkSession, d: str) -> DataFrame:
     return B.points(spark, d).agg(F.round(F.corr("x", "z"), 6).alias("r"), F.round(F.avg(narrow), 6).alias("narrow_mean"), F.round(F.avg(wide), 6).alias("wide_mean"), F.round(F.percentile(narrow, F.lit(0.5)), 6).alias("narrow_median"), F.round(F.percentile(wide, F.lit(0.5)), 6).alias("wide_median"))
 
 
-_CLS = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CLS._pairs(CLS.MAP_CODES)))
+#: Names that only begin like known classes.
+_STRANGE = ["warning--unheard-of", "regulatory--stop-ahead", "complementary--unheard-of"]
+_CLS = " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate([*CLS._pairs(CLS.MAP_CODES), *_STRANGE]))
 _MAP = ", ".join(f"('{c}', '{m}', '{CLS._pairs(CLS.LABEL_NUMBERS).get(c, '???')}')" for c, m in CLS._pairs(CLS.MAP_CODES).items())
+_WIDTHS = " ".join(f"WHEN c IN ({', '.join(repr(c) for c in names)}) THEN {w}" for w, names in CLS.WIDTHS.items())
 
 
 @query(f"""
 WITH k(c, map_code, label_number) AS (VALUES {_MAP}), p AS (SELECT p_partkey, CASE p_partkey % 80 {_CLS} ELSE 'unknown' END AS c FROM part)
 SELECT p_partkey, coalesce(map_code, 'DE:999') AS map_code, coalesce(label_number, '???') AS label_number, upper(replace(regexp_replace(c, '^.*?--', ''), '-', ' ')) AS label,
  CASE WHEN c LIKE 'regulatory--no-%' OR c LIKE 'regulatory--maximum-speed%' THEN 'prohibitory' WHEN c LIKE 'regulatory--yield%' THEN 'yield' WHEN c LIKE 'regulatory--stop%' THEN 'stop' WHEN c LIKE 'regulatory--%' THEN 'mandatory' WHEN c LIKE 'warning--%' THEN 'danger' WHEN c LIKE 'information--%' THEN 'info' WHEN c LIKE 'complementary--%' THEN 'complementary' ELSE 'other' END AS shape,
- CASE WHEN c LIKE 'warning--delineator%' OR c LIKE 'complementary--%' THEN 0.4 WHEN c LIKE 'warning--%' THEN 0.7 WHEN c LIKE 'regulatory--stop%' OR c LIKE 'regulatory--yield%' THEN 0.9 WHEN c IN ('regulatory--height-limit', 'regulatory--weight-limit', 'regulatory--axel-mass-limit') THEN 0.7 ELSE 0.6 END::DOUBLE AS width_m
+ CASE {_WIDTHS} ELSE 0.6 END::DOUBLE AS width_m
 FROM p LEFT JOIN k USING (c)
 """)
 def stvo_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = F.array(*map(F.lit, CLS._pairs(CLS.MAP_CODES)))
+    names = F.array(*map(F.lit, [*CLS._pairs(CLS.MAP_CODES), *_STRANGE]))
     p = B.read(spark, d, "part").select("p_partkey", F.coalesce(F.get(names, (F.col("p_partkey") % 80).cast("int")), F.lit("unknown")).alias("class"))
     c = F.col("class")
     return p.join(CLS.sign_classes(spark), "class", "left").select("p_partkey", F.coalesce("map_code", F.lit(CLS.UNKNOWN_CODE)).alias("map_code"), F.coalesce("label_number", F.lit(CLS.UNKNOWN_NUMBER)).alias("label_number"), CLS.label(c).alias("label"), CLS.shape(c).alias("shape"), CLS.real_width(c).alias("width_m"))
@@ -324,42 +324,17 @@ def kabsch_moments(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("SELECT osm_id, osm_type, '{\"type\":\"Feature\",\"geometry\":{\"type\":\"Point\",\"coordinates\":[' || printf('%.5f', lon) || ',' || printf('%.5f', lat) || ']},\"properties\":{\"id\":' || osm_id || ',\"kind\":\"' || osm_type || '\"}}' AS feature FROM v_entities")
-def geojson_rows(spark: SparkSession, d: str, entities=B.entities) -> DataFrame:
-    e = entities(spark, d)
+def geojson_rows(spark: SparkSession, d: str) -> DataFrame:
+    e = B.entities(spark, d)
     at = lambda c: F.format_string("%.5f", F.col(c))
     props = F.to_json(F.struct(F.col("osm_id").alias("id"), F.col("osm_type").alias("kind")))
     return e.select("osm_id", "osm_type", F.concat(F.lit('{"type":"Feature","geometry":{"type":"Point","coordinates":['), at("lon"), F.lit(","), at("lat"), F.lit(']},"properties":'), props, F.lit("}")).alias("feature"))
 
 
-@query()
-def haversine_chain_all(spark: SparkSession, d: str) -> DataFrame:
-    return haversine_chain(spark, d, B.all_entities)
-
-
-@query()
-def haversine_nearest_entity_all(spark: SparkSession, d: str) -> DataFrame:
-    return haversine_nearest_entity(spark, d, B.all_entities)
-
-
-@query()
-def entity_groups_all(spark: SparkSession, d: str) -> DataFrame:
-    return entity_groups(spark, d, B.all_entities)
-
-
-@query()
-def entity_tiers_all(spark: SparkSession, d: str) -> DataFrame:
-    return entity_tiers(spark, d, B.all_entities)
-
-
-@query()
-def geojson_rows_all(spark: SparkSession, d: str) -> DataFrame:
-    return geojson_rows(spark, d, B.all_entities)
-
-
 @query()
 def utm_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Entities in zone 32 and back, with the errors in metres."""
-    e = B.all_entities(spark, d)
+    e = B.entities(spark, d)
     x, y = G.to_utm(F.col("lon"), F.col("lat"), 32)
     e = e.withColumn("e", x).withColumn("n", y)
     lon, lat = G.from_utm(F.col("e"), F.col("n"), 32)

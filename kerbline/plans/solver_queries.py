@@ -32,13 +32,17 @@ def gap_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT cls, count(*) AS n, regr_count(z, x) AS k FROM v_points GROUP BY 1) SELECT cls, n, true AS unit, true AS level FROM m
+WITH c AS (SELECT cls, count(*) AS n, covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(x, z) AS xz, covar_pop(y, y) AS yy, covar_pop(y, z) AS yz, covar_pop(z, z) AS zz, avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM v_points GROUP BY 1),
+q AS (SELECT *, (xx + yy + zz) / 3 AS q, sqrt(((xx - (xx + yy + zz) / 3) ** 2 + (yy - (xx + yy + zz) / 3) ** 2 + (zz - (xx + yy + zz) / 3) ** 2 + 2 * (xy * xy + xz * xz + yz * yz)) / 6) AS p FROM c),
+t AS (SELECT *, ((xx - q) * ((yy - q) * (zz - q) - yz * yz) - xy * (xy * (zz - q) - yz * xz) + xz * (xy * yz - (yy - q) * xz)) / p ** 3 / 2 AS r FROM q),
+e AS (SELECT *, q + 2 * p * cos(acos(greatest(-1, least(1, r))) / 3 + 2.0943951023931953) AS l FROM t),
+v AS (SELECT *, xy * yz - xz * (yy - l) AS vx, xy * xz - (xx - l) * yz AS vy, (xx - l) * (yy - l) - xy * xy AS vz FROM e)
+SELECT cls, n, round(abs(vx) / sqrt(vx * vx + vy * vy + vz * vz), 5) AS a, round(abs(vy) / sqrt(vx * vx + vy * vy + vz * vz), 5) AS b, round(abs(vz) / sqrt(vx * vx + vy * vy + vz * vz), 5) AS c, round(abs(vx * mx + vy * my + vz * mz) / sqrt(vx * vx + vy * vy + vz * vz), 4) AS d, round(sqrt(greatest(0, l)), 5) AS rmse FROM v
 """)
 def plane_patches(spark: SparkSession, d: str) -> DataFrame:
-    """Plane of each class's points; checked by properties: unit normal, mostly level."""
+    """Plane of each class's points (without signs) and the distance to it."""
     p = solve.plane_patches(B.points(spark, d).select("cls", "x", "y", "z"), "cls")
-    size = F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c")
-    return p.select("cls", "n", (F.abs(size - 1) < 1e-9).alias("unit"), (F.col("c") > 0.9).alias("level"))
+    return p.select("cls", "n", *(F.round(F.abs(c), 5).alias(c) for c in "abc"), F.round(F.abs("d"), 4).alias("d"), F.round("rmse", 5).alias("rmse"))
 
 
 @query()
@@ -50,17 +54,16 @@ def marking_polylines(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT c_custkey AS object_id, count(*) AS n FROM customer, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j) WHERE c_custkey % 10 = 0 AND (i * 40 + j * 3 + (c_custkey // 10) % 2 * 7) % 256 >= 10 GROUP BY 1
+WITH t AS (SELECT c_custkey AS id, (c_custkey % 200)::DOUBLE AS x, (c_custkey % 100)::DOUBLE AS y, i / 7.0::DOUBLE AS i, j / 7.0::DOUBLE AS j, (i * 40 + j * 3 + (c_custkey // 10) % 2 * 7) % 256 AS level
+  FROM customer, (SELECT unnest(range(8)) AS i), (SELECT unnest(range(8)) AS j))
+SELECT id AS object_id, count(*) AS n, sum(level)::BIGINT AS r, round(sum(x + (i - 0.5) * 0.6 * cos(0.3::DOUBLE)), 4) AS x, round(sum(y - (i - 0.5) * 0.6 * sin(0.3::DOUBLE)), 4) AS y, round(sum(3.0 + (0.5 - j) * 0.6), 4) AS z
+FROM t WHERE level >= 10 GROUP BY 1
 """)
-def billboard_points(spark: SparkSession, d: str, objects: str = "c_custkey % 10 = 0") -> DataFrame:
-    o = B.read(spark, d, "customer").where(objects).select(F.col("c_custkey").alias("object_id"), (F.floor(F.col("c_custkey") / 10) % 2).alias("texture"), (F.col("c_custkey") % 200).cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), F.lit(3.0).alias("z"), F.lit(0.6).alias("size"), F.lit(0.3).alias("heading"))
+def billboard_points(spark: SparkSession, d: str) -> DataFrame:
+    """Sums of the generated points' coordinates and levels for each object."""
+    o = B.read(spark, d, "customer").select(F.col("c_custkey").alias("object_id"), (F.floor(F.col("c_custkey") / 10) % 2).alias("texture"), (F.col("c_custkey") % 200).cast("double").alias("x"), (F.col("c_custkey") % 100).cast("double").alias("y"), F.lit(3.0).alias("z"), F.lit(0.6).alias("size"), F.lit(0.3).alias("heading"))
     k = spark.range(128).select((F.col("id") % 2).alias("texture"), F.floor(F.col("id") / 16).alias("i"), (F.floor(F.col("id") / 2) % 8).alias("j"))
     level = ((F.col("i") * 40 + F.col("j") * 3 + F.col("texture") * 7) % 256).alias("r")
     t = k.select("texture", (F.col("i") / 7.0).alias("i"), (F.col("j") / 7.0).alias("j"), level, level.alias("g"), level.alias("b"))
-    return generate.billboards(o, t).groupBy("object_id").agg(F.count("*").alias("n"))
-
-
-@query()
-def billboard_points_all(spark: SparkSession, d: str) -> DataFrame:
-    """``billboard_points`` of every customer."""
-    return billboard_points(spark, d, "true")
+    total = lambda c: F.round(F.sum(c), 4).alias(c)
+    return generate.billboards(o, t).groupBy("object_id").agg(F.count("*").alias("n"), F.sum("r").alias("r"), total("x"), total("y"), total("z"))

@@ -180,10 +180,14 @@ def header_extent(spark: SparkSession, d: str) -> DataFrame:
     return p.agg((F.min("x") - 20.0).alias("x1"), (F.max("x") + 20.0).alias("x2"), (F.min("y") - 20.0).alias("y1"), (F.max("y") + 20.0).alias("y2"), F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n_a, count(*) AS n_b, true AS aligned FROM v_points")
+@query("""WITH c AS (SELECT count(*) AS n, count(*) FILTER (WHERE pid % 10 <> 3) AS m FROM v_points)
+SELECT 'near' AS pair, n AS n_a, n AS n_b, true AS aligned FROM c UNION ALL SELECT 'far', n, n, false FROM c UNION ALL SELECT 'missing', n, m, n = m FROM c""")
 def cloud_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """A cloud against itself moved a little, moved too far, and with rows missing."""
     p = B.points(spark, d).select("pid", "x", "y", "z")
-    return S.aligned(p, p.withColumn("x", F.col("x") + 0.01))
+    pairs = {"near": p.withColumn("x", F.col("x") + 0.01), "far": p.withColumn("y", F.when(F.col("pid") % 100 == 7, F.col("y") + 0.06).otherwise(F.col("y"))), "missing": p.where("pid % 10 <> 3")}
+    each = [S.aligned(p, q).select(F.lit(name).alias("pair"), "*") for name, q in pairs.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2])
 
 
 @query()
