@@ -358,3 +358,26 @@ def test_imports_without_llm(monkeypatch):
     monkeypatch.setattr(importlib.util, "find_spec", lambda n, *a: None if n.startswith(("kerbline.llm", "corpus_pipeline")) else find(n, *a))
     assert not any(k.startswith("op1_") or k == "pipeline" for k in entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_greedy_rounds_equal_the_scan(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, float(x), float(y), float(k)) for i, (x, y, k) in enumerate(zip(r.uniform(0, 12, 400), r.uniform(0, 12, 400), r.integers(0, 40, 400), strict=True))]
+    rows += [(1000 + i, 100.0 + i, 0.0, float(i)) for i in range(12)]  # each waits for the one before
+    for strict in (False, True):
+        anchors, want = [], {}
+        for pid, x, y, _ in sorted(rows, key=lambda q: (q[3], q[0])):
+            near = [a for a, ax, ay in anchors if ((ax - x) ** 2 + (ay - y) ** 2 < 1.0 if strict else (ax - x) ** 2 + (ay - y) ** 2 <= 1.0)]
+            want[pid] = near[0] if near else pid
+            anchors += [] if near else [(pid, x, y)]
+        got = objects.greedy_dedup(spark.createDataFrame(rows, "pid long, x double, y double, rank double"), 1.0, strict).collect()
+        assert {q.pid: q.anchor for q in got} == want and len(got) == len(rows)
+    assert objects.greedy_dedup(spark.createDataFrame([], "pid long, x double, y double, rank double"), 1.0).count() == 0
+
+
+def test_tint_reaches_as_far_as_the_radius(spark):
+    p = spark.createDataFrame([(i, float(i), 0.0, 0.0) for i in range(30)], "pid long, x double, y double, z double")
+    o = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 12.0, "red"), (2, 20.0, 0.0, 0.0, 0.5, "blue"), (3, 10.0, 0.0, 0.0, 3.0, "green"), (4, 25.0, 0.0, 0.0, 0.0, "dot")], "ord long, x double, y double, z double, r double, colour string")
+    got = {q.pid: q.colour for q in objects.tint(p, o, "grey").collect()}
+    assert got == {i: "dot" if i == 25 else "blue" if i == 20 else "green" if 7 <= i <= 13 else "red" if i <= 12 else "grey" for i in range(30)}
+    assert {q.colour for q in objects.tint(p, o.where("false"), "grey").collect()} == {"grey"}
