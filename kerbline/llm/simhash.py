@@ -12,8 +12,9 @@ link, those at two bits link if one of them met without a flip, those at three i
 bucket the partners are looked up by flipping at most three of the masked bits, of which there are 22.
 
 Defined cases: texts without words (null and empty ones too) have fingerprint zero and link like any
-other; repeated rows share their fingerprint and component; rows with a null id are fingerprinted but
-do not name a component; an empty table gives no rows.
+other; texts of any length are read whole; repeated rows share their fingerprint and component; rows with a null id
+are fingerprinted but do not name a component; an empty table gives no rows; other columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -179,20 +180,25 @@ def links(dealt: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(e[:, 0])), pa.array(np.ascontiguousarray(e[:, 1]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # parts of the bucket that is still open
+
+        def whole() -> list[np.ndarray]:
+            return [np.concatenate(z) for z in zip(*held, strict=True)]
+
         for batch in batches:
             now = [batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)]
             if not len(now[0]):
                 continue
-            if held is not None:
-                now = [np.concatenate([h, x]) for h, x in zip(held, now, strict=True)]
-            last = np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))
-            done = int(last[-1]) + 1 if len(last) else 0
-            if done:
-                yield edges(*(x[:done] for x in now))
-            held = [x[done:] for x in now]
-        if held is not None and len(held[0]):
-            yield edges(*held)
+            held.append(now)
+            first, last = held[0], now
+            if first[0][0] == last[0][-1] and first[1][0] == last[1][-1]:
+                continue  # one bucket so far
+            now = whole()
+            done = int(np.flatnonzero((now[1] != now[1][-1]) | (now[0] != now[0][-1]))[-1]) + 1
+            yield edges(*(x[:done] for x in now))
+            held = [[x[done:] for x in now]]
+        if held:
+            yield edges(*whole())
 
     return textio.map_batches(dealt, run, "a long, b long")
 
@@ -202,7 +208,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     give two components one id) of every row of docs (doc_id, text)."""
     table = textio.cut(fingerprint_table(docs))
     distinct = textio.cut(table.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    dealt = variants(distinct).repartition("block", "key").sortWithinPartitions("block", "key")
+    # Every row becomes 131, so they are dealt out over all cores first, however few partitions hold them.
+    spread = distinct.repartition(max(distinct.sparkSession.sparkContext.defaultParallelism, distinct.rdd.getNumPartitions()))
+    dealt = variants(spread).repartition("block", "key").sortWithinPartitions("block", "key")
     roots = components(links(dealt))
     by_fp = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = by_fp.groupBy("root").agg(F.min("first_id").alias("component_id"))
