@@ -13,6 +13,7 @@ from __future__ import annotations
 import glob
 import os
 import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -130,13 +131,27 @@ class HeaderReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
+    own: str
     path: str
     n: int
 
 
 class LasWriter(DataSourceArrowWriter):
+    """One file for each task, in a folder that driver and executors share. A task writes under the name of its attempt;
+    the driver gives the files of successful tasks their names, which are new in every job, and removes those of a
+    failed job. Coordinates that do not fit the format's 32 bits at the scale are an error."""
+
     def __init__(self, options: dict):
-        self.options = options
+        self.options, self.job = options, uuid.uuid4().hex[:12]
+
+    def commit(self, messages: list[Written | None]) -> None:
+        for m in messages:
+            if m is not None:
+                os.replace(m.own, m.path)
+
+    def abort(self, messages: list[Written | None]) -> None:
+        for path in glob.glob(os.path.join(glob.escape(self.options["path"]), f".part-{self.job}-*")):
+            os.remove(path)
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -144,8 +159,8 @@ class LasWriter(DataSourceArrowWriter):
         context = TaskContext.get()
         folder, step, rgb = self.options["path"], float(self.options.get("scale", 0.001)), int(self.options.get("rgb_scale", 256))
         os.makedirs(folder, exist_ok=True)
-        path = os.path.join(folder, f"part-{context.partitionId():05d}.las")
-        own = f"{path}.{context.taskAttemptId()}"
+        name = f"part-{self.job}-{context.partitionId():05d}.las"
+        path, own = os.path.join(folder, name), os.path.join(folder, f".{name}.{context.taskAttemptId()}")
         shift, low, high, n = None, np.full(3, np.inf), np.full(3, -np.inf), 0
         with open(own, "wb") as f:
             f.write(bytes(227))
@@ -158,7 +173,10 @@ class LasWriter(DataSourceArrowWriter):
                 get = lambda c, kind: np.nan_to_num(b.column(c).to_numpy(zero_copy_only=False).astype(float)).astype(kind) if c in b.schema.names else np.zeros(b.num_rows, kind)  # noqa: E731, B023
                 p = np.zeros(b.num_rows, FORMATS[3])
                 for i, c in enumerate("XYZ"):
-                    p[c] = np.rint((xyz[:, i] - shift[i]) / step)
+                    units = np.rint((xyz[:, i] - shift[i]) / step)
+                    if not (np.abs(units) < 1 << 31).all():
+                        raise ValueError(f"{c.lower()} does not fit 32 bits at a scale of {step}")
+                    p[c] = units
                 p["intensity"], p["classification"], p["angle"], p["gps_time"] = get("intensity", "<u2"), get("classification", "u1"), get("scan_angle", "i1"), get("gps_time", "<f8")
                 p["flags"] = get("return_number", "u1") & 7 | (get("num_returns", "u1") & 7) << 3
                 for c in "rgb":
@@ -177,8 +195,7 @@ class LasWriter(DataSourceArrowWriter):
             struct.pack_into("<12d", head, 131, *[step] * 3, *shift, *(v for i in range(3) for v in (high[i], low[i])))
             f.seek(0)
             f.write(head)
-        os.replace(own, path)
-        return Written(path, n)
+        return Written(own, path, n)
 
 
 class LasSource(DataSource):

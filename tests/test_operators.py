@@ -381,3 +381,14 @@ def test_tint_reaches_as_far_as_the_radius(spark):
     got = {q.pid: q.colour for q in objects.tint(p, o, "grey").collect()}
     assert got == {i: "dot" if i == 25 else "blue" if i == 20 else "green" if 7 <= i <= 13 else "red" if i <= 12 else "grey" for i in range(30)}
     assert {q.colour for q in objects.tint(p, o.where("false"), "grey").collect()} == {"grey"}
+
+
+def test_las_append_keeps_both_and_failures_leave_nothing(spark, tmp_path):
+    p = spark.range(6).selectExpr("id AS pid", "CAST(id AS DOUBLE) AS x", "CAST(2 AS DOUBLE) AS y", "CAST(3 AS DOUBLE) AS z").repartition(2)
+    for _ in range(2):
+        las.write_las(p, str(tmp_path / "a"))
+    assert las.read_las(spark, str(tmp_path / "a")).count() == 12
+    far = p.selectExpr("pid", "CASE WHEN pid = 5 THEN 1e9 ELSE x END AS x", "y", "z").coalesce(1)
+    with pytest.raises(Exception, match="32 bits"):
+        las.write_las(far, str(tmp_path / "b"))
+    assert not [f for f in (tmp_path / "b").iterdir()] if (tmp_path / "b").exists() else True
