@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame
 
 from . import textio
 
-#: Bytes of words and their ids that a task keeps.
-LEXICON = 80 << 20
+#: Bytes of words and their ids that a task keeps: where packing runs by itself, and where it follows other stages,
+#: whose memory the executors still hold. Results are the same.
+LEXICON, LEXICON_BESIDE = 224 << 20, 80 << 20
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -162,11 +163,11 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[bytes]], tuple[np.
     return textio.map_batches(docs.select("doc_id", "text"), run, SCHEMA)
 
 
-def word_encoder(path: str, end_id: int = 2) -> Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]:
+def word_encoder(path: str, end_id: int = 2, most: int = LEXICON) -> Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]:
     """Ids of a words tokenizer, then the end id, for each text."""
 
     def make():
-        words = textio.lexicon(path, LEXICON)
+        words = textio.lexicon(path, most)
 
         def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             sizes, ids, of = np.ones(len(texts), np.int64), [], []
