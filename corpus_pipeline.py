@@ -61,7 +61,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are the end token alone; texts of any length are cut, none dropped; repeated rows and ids are
     documents of their own; ties in length go in order of arrival; an empty table gives no rows; other columns are not
     read, whatever their names."""
-    return packing.pack(docs, packing.word_encoder(textio.tokenizer_path(textio.WORD_TOKENIZER)))
+    return packing.pack(docs, packing.word_encoder(textio.tokenizer_path(textio.WORD_TOKENIZER), most=packing.LEXICON_BESIDE))
 
 
 STAGES = [("quality classifier", quality_classifier), ("quality rules", rules), ("near-duplicates", near_duplicates), ("packing", pack)]
