@@ -44,7 +44,7 @@ from . import textio
 
 #: Pieces that are broadcast, bytes of one of them, bytes above which a piece is merged by a heap, buckets of the
 #: literal rank map, bytes of words that a task keeps.
-HEAD, SHORT, LONG, BUCKETS, KEPT = 3 << 20, 24, 512, 1 << 15, 40 << 20
+HEAD, SHORT, LONG, BUCKETS, KEPT = 2 << 20, 24, 512, 1 << 15, 40 << 20
 #: No rank: larger than any.
 NONE = 2**31 - 1
 #: The characters with the property White_Space, as \s means in the pattern.
