@@ -54,3 +54,17 @@ def ray_heading(direction: Sequence[Column]) -> Column:
 
 def is_back_face(hx: Column, hy: Column, rx: Column, ry: Column, limit: float = -0.3) -> Column:
     return hx * rx + hy * ry < limit
+
+
+def projection_matrix(m, t: Sequence[Column], fx, fy, cx, cy) -> list[list[Column]]:
+    """K [R' | -R't]: three rows of four, for a camera turned by m (camera to world) and standing at t."""
+    back = [[m[j][i] for j in range(3)] for i in range(3)]
+    shift = [-(r[0] * t[0] + r[1] * t[1] + r[2] * t[2]) for r in back]
+    e = [[*r, s] for r, s in zip(back, shift, strict=True)]
+    return [[F.lit(fx) * e[0][k] + F.lit(cx) * e[2][k] for k in range(4)], [F.lit(fy) * e[1][k] + F.lit(cy) * e[2][k] for k in range(4)], e[2]]
+
+
+def project_homogeneous(p: Sequence[Sequence[Column]], v: Sequence[Column]) -> tuple[Column, Column, Column]:
+    """u, v and the depth that divided them; only what has a positive depth stands before the camera."""
+    h = [r[0] * v[0] + r[1] * v[1] + r[2] * v[2] + r[3] for r in p]
+    return h[0] / h[2], h[1] / h[2], h[2]

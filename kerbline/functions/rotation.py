@@ -110,3 +110,9 @@ def slerp(a: Quaternion, b: Quaternion, t: Column, straight: float = 0.9995) ->
     mixed = [wa * p + wb * sign * q for p, q in zip(a, b, strict=True)]
     n = F.sqrt(sum((m * m for m in mixed[1:]), mixed[0] * mixed[0]))
     return [m / n for m in mixed]
+
+
+def pose_difference(m: Matrix, t: Sequence[Column], wanted_m: Matrix, wanted_t: Sequence[Column]) -> list[Column]:
+    """Wanted less given: position in millimetres, then roll, pitch and yaw in degrees."""
+    angles = zip(angles_zyx(wanted_m), angles_zyx(m), strict=True)
+    return [(w - g) * 1000.0 for w, g in zip(wanted_t, t, strict=True)] + [F.degrees(w - g) for w, g in angles]

@@ -60,3 +60,25 @@ def localised(kind: Column, height: Column, width: Column, gap: Column, light: t
 def position_score(kind: Column, height: Column, width: Column, distance: Column) -> Column:
     """Larger is better, among the clusters near an object."""
     return F.when(kind == "light", height / (distance + 1)).otherwise(height / (width + 0.1) / (distance + 1))
+
+
+def white_paint(r: Column, g: Column, b: Column, intensity: Column, bright: float, strong: float, grey: float = 0.80) -> Column:
+    """Colourless, bright and strongly reflecting: paint of road markings."""
+    return (F.least(r, g, b) / (F.greatest(r, g, b) + 1e-6) > grey) & ((r + g + b) / 3.0 > bright) & (intensity > strong)
+
+
+def green(r: Column, g: Column, b: Column, dark: float, lead: float = 1.12) -> Column:
+    """Green before red and blue, and not dark: plants."""
+    return (g > r * lead) & (g > b * lead) & ((r + g + b) / 3.0 > dark)
+
+
+def ground_mask(plane_gap: Column, z: Column, local: Column, ground: float, near: float = 0.25, near_local: float = 0.30, below: float = -0.10) -> Column:
+    """Near the plane, near the local ground (null: there is none), or below everything."""
+    return (plane_gap < near) | F.coalesce(F.abs(z - local) < near_local, F.lit(False)) | (z < ground + below)
+
+
+def noise_keep(z: Column, ground: float, low: float | None, high: float | None) -> Column:
+    """Whether a point of no cluster stays: between two heights above ground; without ``high`` never."""
+    if high is None:
+        return F.lit(False)
+    return (z < ground + high) if low is None else (z > ground + low) & (z < ground + high)

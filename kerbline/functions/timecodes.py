@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: GPS time starts on 1980-01-06 and is ahead of UTC by 18 leap seconds; a week.
@@ -47,3 +47,11 @@ def seconds_of_day(image: str) -> Column:
 
 def pass_of(image: str, split: int) -> Column:
     return F.when(seconds_of_day(image) < split, "pass1").otherwise("pass2")
+
+
+def sync_records(images: DataFrame, image: str = "image", exif: str = "exif_us", use_name: bool = True) -> DataFrame:
+    """Adds utc_us, gps_week and sow_us: the instant in the file's name, else that of its Exif data (microseconds,
+    null if there is none); images without any go."""
+    at = F.coalesce(filename_utc_micros(image), F.col(exif)) if use_name else F.col(exif)
+    timed = images.withColumn("utc_us", at).where("utc_us IS NOT NULL")
+    return timed.withColumn("gps_week", gps_week(F.col("utc_us"))).withColumn("sow_us", gps_week_micros(F.col("utc_us")))

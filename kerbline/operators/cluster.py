@@ -145,3 +145,40 @@ def marking_class(length: Column, width: Column, unit: float = 1.0) -> Column:
 
 def marking_confidence(n: Column, length: Column) -> Column:
     return F.least(F.lit(1.0), n / F.greatest(F.lit(1.0), length / 0.05))
+
+
+def head_shaft(points: DataFrame, by: str = "cluster", share: float = 0.75, wider: float = 1.5, least_width: float = 0.2, least: int = 5, least_height: float = 1.0) -> DataFrame:
+    """by, head_width, shaft_width, probable_sign: the larger plane extent above and up to ``share`` of each group's
+    height. A head is a sign's if it is wider than the shaft by ``wider``, where both have more than ``least`` points.
+    Groups lower than ``least_height`` and those without points on both sides are no signs (widths may be null)."""
+    p = points.where(F.col(by).isNotNull()).select(by, "x", "y", "z")
+    ends = p.groupBy(by).agg(F.min("z").alias("_lo"), (F.max("z") - F.min("z")).alias("_h"))
+    top = F.col("z") > F.col("_lo") + F.col("_h") * share
+
+    def width(side: Column) -> Column:
+        extent = [F.max(F.when(side, F.col(a))) - F.min(F.when(side, F.col(a))) for a in "xy"]
+        return F.greatest(*extent)
+
+    g = p.join(ends, by).groupBy(by).agg(F.first("_h").alias("_h"), width(top).alias("head_width"), width(~top).alias("shaft_width"), F.count_if(top).alias("_t"), F.count_if(~top).alias("_s"))
+    sign = (F.col("_h") > least_height) & (F.col("_t") > least) & (F.col("_s") > least) & (F.col("head_width") > F.col("shaft_width") * wider) & (F.col("head_width") > least_width)
+    return g.select(by, "head_width", "shaft_width", F.coalesce(sign, F.lit(False)).alias("probable_sign"))
+
+
+def decisions(points: DataFrame, labels: DataFrame, rules: ShapeRules, ground: float, road: DataFrame | None = None, limit: float = 12.0) -> DataFrame:
+    """cluster, n_points, shape, road_distance, keep, reason: the log of what stays. A cluster stays if its shape is one
+    of the rules' and, where a road (x, y) is given, its centre lies within the limit of a road point; beyond the limit
+    the distance is null, as only its cells are searched. Points of no cluster have no row."""
+    # Cut here, as the axes and the rules together are more than one generated method holds.
+    g = cut(geometry(points.join(labels.select("pid", "cluster"), "pid")))
+    g = g.select("cluster", "n_points", shape_class(rules, F.col("z_min") - ground).alias("shape"), F.col("x_mean").alias("x"), F.col("y_mean").alias("y"))
+    if road is None:
+        g = g.withColumn("road_distance", F.lit(None).cast("double"))
+        near = F.lit(True)
+    else:
+        centres = g.where("shape <> 'remove'").select(F.col("cluster").alias("c"), "x", "y")
+        met = spatial.radius_join(centres, road.select("x", "y"), limit).groupBy("c").agg(F.sqrt(F.min("d2")).alias("road_distance"))
+        g = g.join(met.withColumnRenamed("c", "cluster"), "cluster", "left")
+        near = F.col("road_distance").isNotNull()
+    shaped = F.col("shape") != "remove"
+    reason = F.when(~shaped, "no shape").when(~near, F.concat("shape", F.lit(f", but over {limit} m from the road"))).otherwise(F.col("shape"))
+    return g.select("cluster", "n_points", "shape", "road_distance", (shaped & near).alias("keep"), reason.alias("reason"))

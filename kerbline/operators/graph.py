@@ -50,7 +50,7 @@ def contract(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node with an edge to another; root is the smallest node of its component.
+    """(node, root) for every node with an edge to another but the roots; a root is the smallest node of its component.
 
     Edges (a, b) may repeat and go either way; loops are dropped. An empty table gives no rows.
     """

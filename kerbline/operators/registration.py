@@ -63,7 +63,7 @@ def ground_height(points: DataFrame, threshold: float = 0.2, least: float = 0.8)
     plane = ransac_plane(points, threshold)
     if is_horizontal(plane, least):
         return points.withColumn("near_ground", plane_distance(*plane) < threshold)
-    low = points.agg(F.percentile("z", F.lit(0.15))).first()[0]
+    low = None if points.isEmpty() else spatial.quantiles(points, "z", (0.15,))[0]
     return points.withColumn("near_ground", F.col("z") <= float(low if low is not None else 0.0))
 
 

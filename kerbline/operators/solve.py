@@ -160,9 +160,20 @@ def _pose(p: np.ndarray) -> np.ndarray:
     return np.array([[c, -s, p[0]], [s, c, p[1]], [0, 0, 1]])
 
 
+def _dense(n: int, ei: np.ndarray, ej: np.ndarray, ja: np.ndarray, jb: np.ndarray, w: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """The step of a small graph by one dense solve; the least one where parts of it hang on nothing."""
+    h = np.zeros((n, n, 3, 3))
+    for p, jp in ((ei, ja), (ej, jb)):
+        for q, jq in ((ei, ja), (ej, jb)):
+            np.add.at(h, (p, q), np.einsum("nba,nbc,ncd->nad", jp, w, jq))
+    h[0], h[:, 0], h[0, 0] = 0, 0, np.eye(3)
+    full = h.transpose(0, 2, 1, 3).reshape(3 * n, 3 * n)
+    return np.linalg.lstsq(full, g.reshape(-1), rcond=None)[0].reshape(n, 3)
+
+
 def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, np.ndarray]], steps: int = 20, delta: float = 3.0) -> np.ndarray:
     """Plane poses (n, 3) that best agree with relative measurements (i, j, (dx, dy, dyaw), information 3x3):
-    Gauss-Newton with Huber weights, the first pose fixed. Block sparse: conjugate gradients, no dense matrix."""
+    Gauss-Newton with Huber weights, the first pose fixed. Beyond 400 poses conjugate gradients, no dense matrix."""
     x = poses.astype(float).copy()
     n = len(x)
     ei, ej = np.array([e[0] for e in edges]), np.array([e[1] for e in edges])
@@ -191,10 +202,11 @@ def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, np.nda
         np.add.at(g, ei, -np.einsum("nba,nbc,nc->na", ja, w, e))
         np.add.at(g, ej, -np.einsum("nba,nbc,nc->na", jb, w, e))
         g[0] = 0
-        step, r = np.zeros_like(g), g.copy()
+        step, r = (_dense(n, ei, ej, ja, jb, w, g) if n <= 400 else np.zeros_like(g)), g.copy()
         p, rr = r.copy(), float((r * r).sum())
-        for _ in range(20 * n):
-            if rr < 1e-20:
+        enough = max(1e-20, 1e-18 * rr)
+        for _ in range(20 * n if n > 400 else 0):
+            if rr < enough:
                 break
             ap = times(p)
             alpha = rr / max(float((p * ap).sum()), 1e-300)
@@ -258,3 +270,37 @@ def hand_eye(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     x = np.eye(4)
     x[:3, :3], x[:3, 3] = r, np.linalg.lstsq(left, right, rcond=None)[0]
     return x
+
+
+def cross_pass(observations: DataFrame, k: tuple[float, float, float, float], least: int = 2, trust: float = 100.0) -> DataFrame:
+    """object_id, n1, n2, rms1, rms2, horizontal, spatial, trusted: each object solved from either pass (``pass`` is 1 or
+    2) by itself, and how far apart the two places lie. Objects without ``least`` observations in both have no row;
+    trusted are those whose two solutions both agree with their images."""
+    split = observations.where("pass IN (1, 2)")
+    enough = split.groupBy("object_id").agg(F.count_if(F.col("pass") == 1).alias("_a"), F.count_if(F.col("pass") == 2).alias("_b")).where((F.col("_a") >= least) & (F.col("_b") >= least))
+    own = split.join(enough.select("object_id"), "object_id", "left_semi").withColumn("object_id", F.col("object_id") * 2 + F.col("pass") - 1)
+    r = refine_objects(own, k).select(F.floor(F.col("object_id") / 2).alias("object_id"), F.pmod("object_id", F.lit(2)).alias("side"), "x", "y", "z", "rms_after", "n")
+    one = lambda c, side: F.max(F.when(F.col("side") == side, F.col(c)))
+    g = r.groupBy("object_id").agg(*(one(c, s).alias(f"{c}{s + 1}") for c in ("x", "y", "z", "n", "rms_after") for s in (0, 1)))
+    d = [F.col(f"{a}1") - F.col(f"{a}2") for a in "xyz"]
+    flat = d[0] * d[0] + d[1] * d[1]
+    ok = lambda s: F.coalesce(~F.isnan(f"rms_after{s}") & (F.col(f"rms_after{s}") < trust), F.lit(False))
+    return g.select("object_id", "n1", "n2", F.col("rms_after1").alias("rms1"), F.col("rms_after2").alias("rms2"), F.sqrt(flat).alias("horizontal"), F.sqrt(flat + d[2] * d[2]).alias("spatial"), (ok(1) & ok(2)).alias("trusted"))
+
+
+def solve_pose_graphs(nodes: DataFrame, edges: DataFrame, steps: int = 20, delta: float = 3.0) -> DataFrame:
+    """graph, node, x, y, yaw: every graph's poses after ``pose_graph``; nodes (graph, node, x, y, yaw), edges (graph, a,
+    b, dx, dy, dyaw, info: nine numbers row by row, null for the identity). The smallest node stays. Graphs are solved
+    side by side, each in one task, sparse. Graphs without edges keep their poses; an edge to a node that is not there
+    is left out."""
+
+    def one(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        n = n.sort_values("node")
+        place = {v: i for i, v in enumerate(n["node"])}
+        known = [(place[r.a], place[r.b], np.array([r.dx, r.dy, r.dyaw]), np.eye(3) if r.info is None else np.array(r.info, float).reshape(3, 3)) for r in e.itertuples() if r.a in place and r.b in place]
+        x = n[["x", "y", "yaw"]].to_numpy(float)
+        x = pose_graph(x, known, steps, delta) if known else x
+        return pd.DataFrame({"graph": key[0], "node": n["node"], "x": x[:, 0], "y": x[:, 1], "yaw": x[:, 2]})
+
+    sides = nodes.select("graph", "node", "x", "y", "yaw").groupBy("graph").cogroup(edges.select("graph", "a", "b", "dx", "dy", "dyaw", "info").groupBy("graph"))
+    return sides.applyInPandas(one, f"graph {nodes.schema['graph'].dataType.simpleString()}, node long, x double, y double, yaw double")

@@ -7,9 +7,10 @@ cells, so adaptive execution can split a dense cell's partition.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
@@ -67,27 +68,88 @@ def self_pairs(points: DataFrame, radius: float, axes: tuple[str, ...] = ("x", "
 def nearest(left: DataFrame, right: DataFrame, size: float, axes: tuple[str, ...] = ("x", "y")) -> DataFrame:
     """(pid, near, d2): the nearest row of right for every row of left, ties to the smaller id.
 
-    Rounds with doubling cells: whoever has a partner within one cell side is settled, as anything nearer
-    lies in the neighbouring cells; the rest goes on until a cell covers everything. An empty right gives no rows.
+    Whoever has a partner within ``size`` is settled by one cell join. The rest goes down through ever smaller cells
+    (``_descend``), so that no row meets all of right. An empty right gives no rows.
     """
     left, right = left.select("pid", *axes), right.select("pid", *axes)
-    ends = left.unionByName(right).agg(*(F.min(a).alias(f"lo{a}") for a in axes), *(F.max(a).alias(f"hi{a}") for a in axes)).first()
-    if ends is None or ends[f"lo{axes[0]}"] is None or right.isEmpty():
-        return left.where("false").select("pid", F.col("pid").alias("near"), F.lit(0.0).alias("d2"))
-    extent = max(ends[f"hi{a}"] - ends[f"lo{a}"] for a in axes) * len(axes)
-    done = None
-    todo = left
-    while True:
-        met = radius_join(todo, right, size, axes) if size < extent else radius_join(todo, right, 2 * max(extent, 1e-9), axes)
-        best = met.groupBy("pid").agg(F.min(F.struct("d2", F.col("r_pid").alias("near"))).alias("m")).select("pid", "m.near", "m.d2")
-        best = cut(best)
-        done = best if done is None else done.unionByName(best)
-        if size >= extent:
-            return done
-        todo = cut(todo.join(best.select("pid"), "pid", "left_anti"))
-        if todo.isEmpty():
-            return done
-        size *= 4
+    best = cut(_least(radius_join(left, right, size, axes)))
+    todo = cut(left.join(best.select("pid"), "pid", "left_anti"))
+    if todo.isEmpty():
+        return best
+    return best.unionByName(_descend(todo, right, size, axes))
+
+
+def _least(met: DataFrame) -> DataFrame:
+    return met.groupBy("pid").agg(F.min(F.struct("d2", F.col("r_pid").alias("near"))).alias("m")).select("pid", "m.near", "m.d2")
+
+
+def _descend(todo: DataFrame, right: DataFrame, size: float, axes: tuple[str, ...]) -> DataFrame:
+    """Nearest rows by a tree of occupied cells: each level halves the cells and drops those that begin farther away
+    than the nearest one ends, so that a row keeps the few cells at about its least distance."""
+    names = [f"_c{i}" for i in range(len(axes))]
+    cells = cut(right.select(*(cell(a, size).alias(n) for a, n in zip(axes, names, strict=True))).distinct())
+    ends = cells.agg(*(F.min(n).alias(f"lo{n}") for n in names), *(F.max(n).alias(f"hi{n}") for n in names)).first()
+    if ends is None or ends[f"lo{names[0]}"] is None:
+        return todo.where("false").select("pid", F.col("pid").alias("near"), F.lit(0.0).alias("d2"))
+    level = max(int(ends[f"hi{n}"] - ends[f"lo{n}"]).bit_length() for n in names)
+    # At this level the table has at most two cells along an axis, which are written into the plan.
+    top = [()]
+    for n in names:
+        top = [t + (k,) for t in top for k in range(int(ends[f"lo{n}"]) >> level, (int(ends[f"hi{n}"]) >> level) + 1)]
+    tops = F.array(*(F.struct(*(F.lit(k).cast("long").alias(n) for k, n in zip(t, names, strict=True))) for t in top))
+    live = todo.withColumn("_t", F.explode(tops)).select("pid", *axes, *(F.col(f"_t.{n}").alias(n) for n in names))
+    for down in range(level - 1, -1, -1):
+        child = cells.select(*(F.shiftright(n, down).alias(f"{n}k") for n in names)).distinct()
+        child = child.select(*(F.shiftright(f"{n}k", 1).alias(n) for n in names), *(f"{n}k" for n in names))
+        live = live.join(child, names).select("pid", *axes, *(F.col(f"{n}k").alias(n) for n in names))
+        side = size * (1 << down)
+        low = [F.greatest(F.col(n) * side - F.col(a), F.col(a) - (F.col(n) + 1) * side, F.lit(0.0)) for a, n in zip(axes, names, strict=True)]
+        high = [F.greatest((F.col(n) + 1) * side - F.col(a), F.col(a) - F.col(n) * side) for a, n in zip(axes, names, strict=True)]
+        square = lambda v: reduce(lambda p, q: p + q, [c * c for c in v])
+        live = live.withColumn("_lo", square(low)).withColumn("_hi", F.min(square(high)).over(Window.partitionBy("pid"))).where(F.col("_lo") <= F.col("_hi") * (1 + 1e-9)).drop("_lo", "_hi")
+        if down % 3 == 0:
+            live = cut(live)
+    r = right.select(F.col("pid").alias("r_pid"), *(F.col(a).alias(f"r_{a}") for a in axes), *(cell(a, size).alias(n) for a, n in zip(axes, names, strict=True)))
+    return _least((live if level else live.join(cells, names)).join(r, names).withColumn("d2", squared("", "r_", axes)))
+
+
+def quantiles(rows: DataFrame, column: str, shares: tuple[float, ...], bins: int = 4096, few: int = 10_000) -> list[float]:
+    """Exact quantiles (linear between neighbours) of a whole table without one task that holds its values: counts by
+    even bins find the bin of each rank, which is cut again until it holds few values. Nulls and NaN are left out; an
+    empty table is an error."""
+    v = rows.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    lo, hi, n = v.agg(F.min("v"), F.max("v"), F.count("*")).first()
+    if not n:
+        raise ValueError(f"{column} has no values")
+    ranks = {r for q in shares for r in (math.floor(q * (n - 1)), math.ceil(q * (n - 1)))}
+    found: dict[int, float] = {}
+    # Ranges (from, to, rows below, rows inside), each closed, with the ranks that lie in them.
+    todo = [(lo, hi, 0, n, sorted(ranks))]
+    while todo:
+        a, b, below, inside, wanted = todo.pop()
+        part = v.where(F.col("v").between(a, b))
+        if a == b:
+            found.update(dict.fromkeys(wanted, a))
+        elif inside <= few or (b - a) / bins == 0 or a + (b - a) / bins == a:
+            # Few rows, or few distinct values: neighbours in the number line.
+            at = below
+            for value, c in sorted(part.groupBy("v").count().collect()):
+                found.update({r: value for r in wanted if at <= r < at + c})
+                at += c
+        else:
+            k = F.least(F.lit(bins - 1), F.floor((F.col("v") - a) / F.lit((b - a) / bins)))
+            at = below
+            for _, c, x, y in sorted(part.groupBy(k.alias("k")).agg(F.count("*"), F.min("v"), F.max("v")).collect()):
+                mine = [r for r in wanted if at <= r < at + c]
+                if mine:
+                    todo.append((x, y, at, c, mine))
+                at += c
+    out = []
+    for q in shares:
+        p = q * (n - 1)
+        x, y = found[math.floor(p)], found[math.ceil(p)]
+        out.append(x + (y - x) * (p - math.floor(p)))
+    return out
 
 
 def voxels(points: DataFrame, size: float, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:

@@ -31,15 +31,15 @@ def height_above_cell_ground(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT pid, intensity FROM v_points WHERE intensity >= (SELECT quantile_cont(intensity, 0.93) FROM v_points)")
 def intensity_p93_filter(spark: SparkSession, d: str) -> DataFrame:
     p = B.points(spark, d).select("pid", "intensity")
-    limit = p.agg(F.percentile("intensity", F.lit(0.93)).alias("limit"))
-    return p.join(limit, F.col("intensity") >= F.col("limit")).select("pid", "intensity")
+    (limit,) = S.quantiles(p, "intensity", (0.93,))
+    return p.where(F.col("intensity") >= limit)
 
 
 @query("SELECT pid, z FROM v_points WHERE z BETWEEN (SELECT quantile_cont(z, 0.05) - 1.0 FROM v_points) AND (SELECT quantile_cont(z, 0.05) + 3.0 FROM v_points)")
 def z_band_p05(spark: SparkSession, d: str) -> DataFrame:
     p = B.points(spark, d).select("pid", "z")
-    low = p.agg(F.percentile("z", F.lit(0.05)).alias("p5"))
-    return p.join(low, F.col("z").between(F.col("p5") - 1.0, F.col("p5") + 3.0)).select("pid", "z")
+    (low,) = S.quantiles(p, "z", (0.05,))
+    return p.where(F.col("z").between(low - 1.0, low + 3.0))
 
 
 @query("SELECT pid FROM v_points WHERE (x - 100.0) * (x - 100.0) + (y - 50.0) * (y - 50.0) <= 625.0")
@@ -91,9 +91,9 @@ FROM v_shots s LEFT JOIN m ON m.pid = s.image AND rn = 1
 """)
 def ground_ring_search(spark: SparkSession, d: str) -> DataFrame:
     r = B.recipient(spark, d)
-    overall = r.agg(F.percentile("z", F.lit(0.5))).first()[0]
+    (overall,) = S.quantiles(r, "z", (0.5,))
     shots = B.shots(spark, d).select(F.col("image").alias("pid"), "x", "y")
-    return S.ring_search(shots, S.cell_median(r, 2.0), 2.0, 4, float(overall or 0.0)).select("pid", F.round("ground", 6).alias("ground"), F.coalesce("scan", F.lit(-1)).alias("scan"))
+    return S.ring_search(shots, S.cell_median(r, 2.0), 2.0, 4, overall).select("pid", F.round("ground", 6).alias("ground"), F.coalesce("scan", F.lit(-1)).alias("scan"))
 
 
 @query("SELECT s.image, count(p.pid) AS n FROM v_shots s LEFT JOIN v_points p ON (s.x - p.x) * (s.x - p.x) + (s.y - p.y) * (s.y - p.y) <= 25.0 GROUP BY 1")
