@@ -240,18 +240,21 @@ def simplify(line: np.ndarray, tolerance: float) -> np.ndarray:
 
 
 def polylines(points: DataFrame, by: str = "cluster", tolerance: float = 0.10) -> DataFrame:
-    """by, seq, x, y, z: each cluster's points in order of their principal axis, simplified. A cluster fits in a task."""
+    """by, seq, x, y, z: each cluster's points in order of their principal axis, simplified. Points at one place are one
+    with their number as its weight; a cluster's places fit in a task."""
     kind = points.schema[by].dataType.simpleString()
 
     def one(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        p = g.sort_values("pid")[["x", "y", "z"]].to_numpy(float)
-        q = p[:, :2] - p[:, :2].mean(0)
-        axis = np.linalg.eigh(q.T @ q)[1][:, -1]
+        g = g.sort_values("pid")
+        p, n = g[["x", "y", "z"]].to_numpy(float), g["n"].to_numpy(float)
+        q = p[:, :2] - np.average(p[:, :2], 0, n)
+        axis = np.linalg.eigh(q.T @ (q * n[:, None]))[1][:, -1]
         p = p[np.argsort(q @ axis, kind="stable")]
         p = p[simplify(p[:, :2], tolerance)]
         return pd.DataFrame({by: key[0], "seq": np.arange(len(p)), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
-    return points.where(F.col(by).isNotNull()).select(by, "pid", "x", "y", "z").groupBy(by).applyInPandas(one, f"{by} {kind}, seq long, x double, y double, z double")
+    places = points.where(F.col(by).isNotNull()).groupBy(by, "x", "y", "z").agg(F.min("pid").alias("pid"), F.count("*").alias("n"))
+    return places.groupBy(by).applyInPandas(one, f"{by} {kind}, seq long, x double, y double, z double")
 
 
 def hand_eye(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
