@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from kerbline.operators import cluster, solve, spatial, validate
+from kerbline.operators import cluster, objects, solve, spatial, validate
 from kerbline.plans.all_queries import ORACLE_SQL, QUERIES
 from test_queries import DATA
 
@@ -69,6 +69,17 @@ def test_polylines_of_copies(spark):
     assert len(line(p)) > 10 and line(copies) == line(p)
 
 
-@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_extents", "cluster_shape_class", "marking_class", "head_shaft_widths", "cluster_decisions", "connected_components", "nearest_k1"])
+@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_extents", "cluster_shape_class", "marking_class", "head_shaft_widths", "cluster_decisions", "connected_components", "nearest_k1", "ray_march_peak"])
 def test_copies_match_oracle(spark, thrice, name):
     matches(spark, thrice, name)
+
+
+def test_ray_march_meets_copies_once(spark, monkeypatch):
+    """Ninety copies of three points and of two rays: as many rows meet as without copies."""
+    p = spark.range(270).selectExpr("id AS pid", "5.0D + id % 3 / 10.0D AS x", "0.1D AS y", "id % 3 + 0.0D AS z")
+    r = spark.range(180).selectExpr("id AS pid", "0.0D AS x", "0.0D AS y", "1.0D - 2 * (id % 2) AS dx", "0.0D AS dy")
+    met, join = [], spatial.radius_join
+    monkeypatch.setattr(spatial, "radius_join", lambda *a, **k: met.append(join(*a, **k)) or met[-1])
+    got = {tuple(x) for x in objects.ray_march(r, p, 0.6, 2).collect()}
+    assert got == {(i, 4.75, 270, 1.0) for i in range(0, 180, 2)}
+    assert met[0].count() < 30
