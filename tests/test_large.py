@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -69,7 +72,7 @@ def test_polylines_of_copies(spark):
     assert len(line(p)) > 10 and line(copies) == line(p)
 
 
-@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_extents", "cluster_shape_class", "marking_class", "head_shaft_widths", "cluster_decisions", "connected_components", "nearest_k1", "ray_march_peak", "observation_gate"])
+@pytest.mark.parametrize("name", ["dbscan_labels", "cluster_extents", "cluster_shape_class", "marking_class", "head_shaft_widths", "cluster_decisions", "connected_components", "nearest_k1", "ray_march_peak", "observation_gate", "way_corridor"])
 def test_copies_match_oracle(spark, thrice, name):
     matches(spark, thrice, name)
 
@@ -92,3 +95,38 @@ def test_box_join_copies_to_the_offsets_side_only(spark):
     want = {(a, b) for a in range(400) for b in range(400) if abs(a % 20 - b % 20) <= 1 and 0 < b // 20 - a // 20 <= 4}
     assert {(r.pid, r.r_pid) for r in inside.select("pid", "r_pid").collect()} == want
     assert met.where("r_y < y - 2").count() == 0
+
+
+def test_paths_of_all_slopes(spark):
+    """Against every segment, with upright, level and short ones; equal segments of two ways go to the smaller."""
+    r = random.Random(4)
+    at = [(r.uniform(-20, 20), r.uniform(-20, 20)) for _ in range(120)]
+    seg = [(i, *at[i], *at[i + 1]) for i in range(40)] + [(50 + i, x, y, x + a, y + b) for i, (x, y) in enumerate(at[40:60]) for a, b in ((0.0, 9.0), (9.0, 0.0), (1e-7, 30.0), (0.3, -0.2))]
+    seg += [(w + 1000, *s) for w, *s in seg]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(at[60:])] + [(i + 500, *p) for i, p in enumerate(at[60:])], "pid long, x double, y double")
+
+    def away(p, s):
+        a, b, c, e = s[1:]
+        t = max(0.0, min(1.0, ((p[0] - a) * (c - a) + (p[1] - b) * (e - b)) / ((c - a) ** 2 + (e - b) ** 2)))
+        return math.hypot(p[0] - a - t * (c - a), p[1] - b - t * (e - b))
+
+    want = {}
+    for i, p in enumerate(at[60:]):
+        d, way = min((round(away(p, s), 9), s[0]) for s in seg)
+        want.update({i: way, i + 500: way} if d <= 1.5 else {})
+    got = objects.point_to_paths(points, spark.createDataFrame(seg, "way long, ax double, ay double, bx double, by double"), 1.5)
+    assert {x.pid: x.way for x in got.collect()} == want and len(want) > 40
+
+
+def test_paths_meet_copies_once(spark):
+    """3,000 copies of a point and of a way: nine million pairs and more if each met each."""
+    from kerbline.functions import geometry
+
+    seen, distance = spark.sparkContext.accumulator(0), geometry.segment_distance
+    count = F.udf(lambda d: seen.add(1) or d, "double").asNondeterministic()
+    points = spark.range(3000).selectExpr("id AS pid", "5.0D AS x", "0.5D AS y")
+    ways = spark.range(3000).selectExpr("id AS way", "0.0D AS ax", "0.0D AS ay", "9.0D AS bx", "0.0D AS by")
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(geometry, "segment_distance", lambda *a: count(distance(*a)))
+        got = objects.point_to_paths(points, ways, 1.0)
+    assert {tuple(r)[1:] for r in got.collect()} == {(0, 0.5)} and seen.value < 100
