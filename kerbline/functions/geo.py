@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from typing import NamedTuple
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,39 +105,40 @@ def normal_gravity(lat: Column) -> Column:
 
 
 def geodesic_inverse(lon1: Column, lat1: Column, lon2: Column, lat2: Column, e: Ellipsoid = WGS84, steps: int = 12) -> Column:
-    """Metres along the ellipsoid by Vincenty's iteration with a fixed number of steps, folded inside the JVM.
+    """Metres along the ellipsoid by Vincenty's iteration with a fixed number of steps, over whole batches of rows.
 
     Equal points give 0. Within half a degree of antipodes the iteration may not converge: null there."""
     b = e.a * (1 - e.f)
-    u1, u2 = F.atan((1 - e.f) * F.tan(F.radians(lat1))), F.atan((1 - e.f) * F.tan(F.radians(lat2)))
-    l = F.radians(lon2 - lon1)
-    fixed = F.struct(F.sin(u1).alias("s1"), F.cos(u1).alias("c1"), F.sin(u2).alias("s2"), F.cos(u2).alias("c2"), l.alias("l"))
-    zero = F.lit(0.0)
-
-    def around(k: Column, lam: Column) -> dict[str, Column]:
-        x, y = k["c2"] * F.sin(lam), k["c1"] * k["s2"] - k["s1"] * k["c2"] * F.cos(lam)
-        sin = F.sqrt(x * x + y * y)
-        cos = k["s1"] * k["s2"] + k["c1"] * k["c2"] * F.cos(lam)
-        alpha = F.when(sin > 0, k["c1"] * k["c2"] * F.sin(lam) / sin).otherwise(zero)
-        square = 1 - alpha * alpha
-        mid = F.when(square > 1e-12, cos - 2 * k["s1"] * k["s2"] / square).otherwise(zero)
-        return {"sin": sin, "cos": cos, "sigma": F.atan2(sin, cos), "alpha": alpha, "square": square, "mid": mid}
-
-    def step(s: Column, _: Column) -> Column:
-        k = s["k"]
-        g = around(k, s["lam"])
-        c = e.f / 16 * g["square"] * (4 + e.f * (4 - 3 * g["square"]))
-        new = k["l"] + (1 - c) * e.f * g["alpha"] * (g["sigma"] + c * g["sin"] * (g["mid"] + c * g["cos"] * (2 * g["mid"] * g["mid"] - 1)))
-        return F.struct(k.alias("k"), new.alias("lam"), F.abs(new - s["lam"]).alias("moved"))
-
-    def metres(s: Column) -> Column:
-        g = around(s["k"], s["lam"])
-        q = g["square"] * ((e.a * e.a - b * b) / (b * b))
-        p = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
-        r = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
-        m, m2 = g["mid"], g["mid"] * g["mid"]
-        off = r * g["sin"] * (m + r / 4 * (g["cos"] * (2 * m2 - 1) - r / 6 * m * (4 * g["sin"] * g["sin"] - 3) * (4 * m2 - 3)))
-        return F.when(s["moved"] < 1e-9, b * p * (g["sigma"] - off))
-
-    start = F.struct(fixed.alias("k"), l.alias("lam"), F.lit(1.0).alias("moved"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step, metres)
+
+    @F.pandas_udf("double")
+    def metres(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.Series:
+        u1, u2 = (np.arctan((1 - e.f) * np.tan(np.radians(v.to_numpy(float, na_value=np.nan)))) for v in (lat1, lat2))
+        l = np.radians((lon2 - lon1).to_numpy(float, na_value=np.nan))
+        s1, c1, s2, c2 = np.sin(u1), np.cos(u1), np.sin(u2), np.cos(u2)
+
+        def around(lam: np.ndarray) -> tuple[np.ndarray, ...]:
+            x, y = c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam)
+            sin = np.sqrt(x * x + y * y)
+            cos = s1 * s2 + c1 * c2 * np.cos(lam)
+            alpha = np.where(sin > 0, c1 * c2 * np.sin(lam) / sin, 0.0)
+            square = 1 - alpha * alpha
+            mid = np.where(square > 1e-12, cos - 2 * s1 * s2 / square, 0.0)
+            return sin, cos, np.arctan2(sin, cos), alpha, square, mid
+
+        with np.errstate(all="ignore"):
+            lam, moved = l, np.ones(len(l))
+            for _ in range(steps):
+                sin, cos, sigma, alpha, square, mid = around(lam)
+                c = e.f / 16 * square * (4 + e.f * (4 - 3 * square))
+                new = l + (1 - c) * e.f * alpha * (sigma + c * sin * (mid + c * cos * (2 * mid * mid - 1)))
+                lam, moved = new, np.abs(new - lam)
+            sin, cos, sigma, alpha, square, mid = around(lam)
+            q = square * ((e.a * e.a - b * b) / (b * b))
+            p = 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q)))
+            r = q / 1024 * (256 + q * (-128 + q * (74 - 47 * q)))
+            m2 = mid * mid
+            off = r * sin * (mid + r / 4 * (cos * (2 * m2 - 1) - r / 6 * mid * (4 * sin * sin - 3) * (4 * m2 - 3)))
+            out = b * p * (sigma - off)
+        return pd.Series(np.where(moved < 1e-9, out, np.nan)).astype(object).where(moved < 1e-9, None)
+
+    return metres(lon1, lat1, lon2, lat2)

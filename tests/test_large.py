@@ -9,6 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from kerbline.functions import geo
 from kerbline.operators import cluster, objects, solve, spatial, validate, views
 from kerbline.plans.all_queries import ORACLE_SQL, QUERIES
 from test_queries import DATA
@@ -153,3 +154,12 @@ def test_localise_beside_the_camera(spark):
     assert views.seen(c, p, border=0).where((u > 40) | (F.col("v") > 0)).count() == 3
     got = views.localise(b, c, p, share=1.0, shrink=1.0, ratio=9.0).first()
     assert got.matched and abs(got.y - 0.2) < 1e-12 and got.x == 10.0
+
+
+def test_geodesic_in_batches(spark):
+    """Whole batches instead of an interpreted fold a row; nulls and antipodes have no distance."""
+    e = spark.createDataFrame([(0, 0.0, 0.0, 180.0, 0.1), (1, None, 0.0, 1.0, 0.0), (2, 0.0, 0.0, 1.0, 0.0), (3, 5.0, 5.0, 5.0, 5.0)], "k long, a double, b double, c double, d double")
+    df = e.select("k", geo.geodesic_inverse(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("m"))
+    got = {r.k: r.m for r in df.collect()}
+    assert got[0] is None and got[1] is None and got[3] == 0 and abs(got[2] - 111319.4908) < 1e-4
+    assert "lambdafunction" not in df._jdf.queryExecution().executedPlan().toString()
