@@ -3,11 +3,12 @@
 The language model is an interpolated modified Kneser-Ney model of order ``ORDER`` over the bytes of words (case
 folded, with a mark before and an end after each word), one for each language. An n-gram never reaches over a word's
 start, so that copies of a text, however many, do not make its words likely beyond what the words themselves are.
-Spark counts the longest n-grams over all documents; those of the least counts are pruned until at most ``GRAMS`` are
-left, over all languages (the least count that is kept is the smallest for which that holds). Lower orders,
+Spark counts the longest n-grams over all documents, and the model takes all of them; a caller may ask for a bound, and
+then those of the least counts are pruned until at most so many are left, over all languages (the least count that is
+kept is the smallest for which that holds). Lower orders,
 discounts and back-off weights follow from the kept ones; a count of one is wholly discounted, so that a text does not
 vouch for its own rare n-grams. The model is two sorted arrays of 64-bit hashes, of
-n-grams with their log-probabilities and of contexts with their log back-off weights, so its size has a bound.
+n-grams with their log-probabilities and of contexts with their log back-off weights: it grows with the different n-grams.
 
 A line end or another white space character than a space is a word of its own here, and where two spaces meet there
 is an empty word, so that unusual spacing costs. The perplexity of a text is that of its words (negative
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 from . import textio
 
 SYMBOLS = b"#*$%&|<>"
-#: Order of the model (at most 5: an n-gram's bytes and length are one number), most n-grams, and bins of the histogram.
+#: Order of the model (at most 5: an n-gram's bytes and length are one number), n-grams that ``prune`` leaves where no
+#: number is given, and bins of the histogram.
 ORDER, GRAMS, BIN, BINS = 5, 1 << 20, 0.01, 20_000
 MIN_WORDS, REPEAT_SHARE = 50, 50
 #: Half-width of the perplexity band: robust deviations, and nats a word at least (one bin).
@@ -321,10 +323,10 @@ class Scorer:
         return got
 
 
-def fit(docs: DataFrame) -> Model:
-    """The driver gets at most GRAMS counted n-grams."""
-    counted = textio.cut(count_ngrams(docs))
-    return Model(prune(counted).toArrow().to_pandas())
+def fit(docs: DataFrame, most: int | None = None) -> Model:
+    """The driver gets all counted n-grams, or with ``most`` as many as ``prune`` leaves."""
+    counted = count_ngrams(docs)
+    return Model((counted if most is None else prune(textio.cut(counted), most)).toArrow().to_pandas())
 
 
 def measure(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

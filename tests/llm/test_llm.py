@@ -694,3 +694,15 @@ def test_repeated_queries_ask_once(spark):
     asked = e.where("vec_id % 20 = 0")
     once, twice = (sorted(map(tuple, ann_graph.nearest(e, q, 20, "vec_id", "embedding").collect())) for q in (asked, asked.unionByName(asked)))
     assert once == twice and len(once) == 10 * 20 == len({(q, i) for q, _, i, _ in twice})
+
+
+def test_model_takes_every_ngram(spark):
+    """More different n-grams than any fixed bound it had: none is dropped, unless a bound is asked for."""
+    words = np.random.default_rng(3).integers(97, 123, (130_000, 12), np.uint8)
+    texts = [(i, b" ".join(w.tobytes() for w in words[i * 1000 : i * 1000 + 1000]).decode(), "x") for i in range(130)]
+    d = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    longest = np.unique(np.concatenate([c for _, t, _ in texts for c, _ in quality_rules.grams_of(quality_rules.units(t.encode()))]))
+    longest = longest[quality_rules._length(longest) == quality_rules.ORDER]
+    assert len(longest) > 1 << 20
+    assert quality_rules._find(quality_rules.fit(d).grams, quality_rules.hashed(longest, quality_rules.seed_of("x")))[1].all()
+    assert not quality_rules._find(quality_rules.fit(d, 1000).grams, quality_rules.hashed(longest, quality_rules.seed_of("x")))[1].all()
