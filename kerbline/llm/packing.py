@@ -160,7 +160,7 @@ def pack(docs: DataFrame, encode: Callable[[], Callable[[list[bytes]], tuple[np.
         if held:
             yield from flush()
 
-    return textio.map_batches(docs.select("doc_id", "text"), run, SCHEMA)
+    return textio.map_batches(docs.select("doc_id", "text"), run, SCHEMA, words=True)
 
 
 def word_encoder(path: str, end_id: int = 2, most: int = LEXICON) -> Callable[[], Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]]:

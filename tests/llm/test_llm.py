@@ -706,3 +706,18 @@ def test_model_takes_every_ngram(spark):
     assert len(longest) > 1 << 20
     assert quality_rules._find(quality_rules.fit(d).grams, quality_rules.hashed(longest, quality_rules.seed_of("x")))[1].all()
     assert not quality_rules._find(quality_rules.fit(d, 1000).grams, quality_rules.hashed(longest, quality_rules.seed_of("x")))[1].all()
+
+
+def test_later_tasks_hold_no_lexicon(spark):
+    """Workers live on between tasks: a stage that reads no words must not hold what packing learned."""
+    import pyarrow as pa
+
+    table = docs(spark, [(i, f"some words {i} of a text", "en") for i in range(40)]).repartition(4)
+    packing.pack(table, packing.word_encoder(word_path())).count()
+
+    def held(batches):
+        n = sum(b.num_rows for b in batches)
+        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([len(textio._LEXICONS)])], ["n", "lexicons"])
+
+    got = textio.map_batches(table.select("text"), held, "n long, lexicons long").collect()
+    assert sum(r.n for r in got) == 40 and all(r.lexicons == 0 for r in got)
