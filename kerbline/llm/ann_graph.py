@@ -56,57 +56,69 @@ def lift(x: np.ndarray) -> tuple[np.ndarray, float]:
     return np.concatenate([x, rest[:, None]], 1).astype(np.float32), float(np.sqrt(norm.max()))
 
 
+#: A place of a beam without a node: last in order, and not to be expanded.
+_EMPTY = np.uint64(2**64 - 1)
+
+
 def beam_search(x: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, beam: int, wide: int = WIDE) -> tuple[np.ndarray, np.ndarray]:
     """Nodes and squared distances of the beam of each query (rows), nearest first; -1 and inf where unused.
 
     graph: neighbours of each node, -1 where unused. Each round expands the ``wide`` nearest nodes that are
-    not yet expanded of every query that has one, and measures only nodes that the query has not seen.
+    not yet expanded of every query that has one, and measures only nodes that the query has not seen. A place of a
+    beam is one number, of the distance's 32 bits (not negative, so in order), the node's 31 and one for expanded.
     """
     nq, n = len(queries), len(x)
-    sq = (x * x).sum(1)
-    ids = np.full((nq, beam), -1, np.int32)
-    dist = np.full((nq, beam), np.inf, np.float32)
-    done = np.ones((nq, beam), bool)
-    seen = np.zeros(nq * (n + 1), np.int32)  # 0 for not seen; the last column stands for no node
-    seen[n :: n + 1] = 1
-    qq = (queries * queries).sum(1)
-    ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = qq + sq[entry] - 2 * queries @ x[entry]
-    seen[entry :: n + 1] = 1
+    sq, qq = (x * x).sum(1), (queries * queries).sum(1)
+    one, low = np.uint64(1), np.uint64(2**31 - 1)
+    held = np.full((nq, beam), _EMPTY)
+    seen = np.zeros(nq * (n + 1), bool)  # the last column stands for no node
+    seen[n :: n + 1] = True
+
+    def keys(rows: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(rows), np.uint64)
+        for s in range(0, len(rows), 4096):  # what is gathered stays in the processor's cache
+            r, i = rows[s : s + 4096], nodes[s : s + 4096]
+            d = qq.take(r) + sq.take(i) - 2 * np.einsum("ij,ij->i", x.take(i, 0), queries.take(r, 0))
+            out[s : s + 4096] = np.maximum(d, 0, dtype=np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32) | i.astype(np.uint64) << one
+        return out
+
+    held[:, 0] = keys(np.arange(nq), np.full(nq, entry))
+    seen[entry :: n + 1] = True
     active = np.arange(nq)
     while True:
-        open_ = ~done[active]
+        open_ = (held[active] & one) == 0
         has = open_.any(1)
         active, open_ = active[has], open_[has]
         if not len(active):
-            return ids, dist
-        expand = open_ & (np.cumsum(open_, 1) <= wide)  # beams are sorted by distance
-        r, slot = np.nonzero(expand)
-        done[active[r], slot] = True
-        near = graph[ids[active[r], slot]]
-        place = (active[r].astype(np.int64) * (n + 1))[:, None] + np.where(near < 0, n, near)
-        place = place.reshape(-1)
-        place = place[seen[place] == 0]
+            break
+        near, of = [], []
+        for _ in range(wide):  # beams are sorted by distance
+            slot = open_.argmax(1)
+            r = np.flatnonzero(open_[np.arange(len(active)), slot])
+            slot, at = slot[r], active[r]
+            open_[r, slot] = False
+            near.append(graph[(held[at, slot] >> one & low).astype(np.int64)])
+            of.append(at)
+            held[at, slot] |= one
+        near, of = np.concatenate(near), np.concatenate(of)
+        place = ((of * (n + 1))[:, None] + np.where(near < 0, n, near)).reshape(-1)
+        place = np.sort(place[~seen.take(place)])
         if not len(place):
             continue
-        # Two expanded nodes may share a neighbour: of equal places the one written last stays.
-        tick = np.arange(1, len(place) + 1, dtype=np.int32)
-        seen[place] = tick
-        place = place[seen[place] == tick]
-        rows, nodes = place // (n + 1), (place % (n + 1)).astype(np.int32)
-        d = qq[rows] + sq[nodes] - 2 * np.einsum("ij,ij->i", x[nodes], queries[rows])
+        # Two expanded nodes may share a neighbour.
+        place = place[np.concatenate([[True], place[1:] != place[:-1]])]
+        seen[place] = True
+        rows, nodes = np.divmod(place, n + 1)
         first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
         size = np.diff([*first, len(rows)])
         at = rows[first]
-        more_d = np.full((len(at), int(size.max())), np.inf, np.float32)
-        more_i = np.full(more_d.shape, -1, np.int32)
-        where = np.repeat(np.arange(len(at)), size), np.arange(len(rows)) - np.repeat(first, size)
-        more_d[where], more_i[where] = d, nodes
-        all_d = np.concatenate([dist[at], more_d], 1)
-        order = np.argsort(all_d, 1, kind="stable")[:, :beam]
-        dist[at] = np.take_along_axis(all_d, order, 1)
-        ids[at] = np.take_along_axis(np.concatenate([ids[at], more_i], 1), order, 1)
-        done[at] = np.take_along_axis(np.concatenate([done[at], more_i < 0], 1), order, 1)
+        both = np.full((len(at), beam + int(size.max())), _EMPTY)
+        both[:, :beam] = held[at]
+        both[np.repeat(np.arange(len(at)), size), beam + np.arange(len(rows)) - np.repeat(first, size)] = keys(rows, nodes)
+        both.sort(1)
+        held[at] = both[:, :beam]
+    unused = held == _EMPTY
+    return np.where(unused, -1, held >> one & low).astype(np.int32), np.where(unused, np.float32(np.inf), (held >> np.uint64(32)).astype(np.uint32).view(np.float32))
 
 
 def robust_prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alpha: float, most: int = 96) -> np.ndarray:
@@ -126,29 +138,31 @@ def _prune(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, degree: int, alph
     d[cand < 0] = np.inf
     order = np.argsort(d, 1, kind="stable")[:, :most]
     cand, d = np.take_along_axis(cand, order, 1), np.take_along_axis(d, order, 1)
-    v = x[cand]
-    apart = sq[cand][:, :, None] + sq[cand][:, None, :] - 2 * np.matmul(v, v.transpose(0, 2, 1))
+    v, square = x[cand], sq[cand]
+    apart = np.matmul(v, v.transpose(0, 2, 1))
+    apart *= np.float32(-2)
+    apart += square[:, :, None]
+    apart += square[:, None, :]
+    far = apart * np.float32(alpha * alpha) > d[:, None, :]
     alive = np.isfinite(d)
     out = np.full((len(nodes), degree), -1, np.int32)
-    used = np.zeros(len(nodes), int)
-    for _ in range(degree):
+    far[:, np.arange(cand.shape[1]), np.arange(cand.shape[1])] = False
+    every = np.arange(len(nodes))
+    for k in range(degree):
         pick = alive.argmax(1)
-        r = np.flatnonzero(alive[np.arange(len(nodes)), pick])
-        if not len(r):
+        some = alive[every, pick]
+        if not some.any():
             break
-        p = pick[r]
-        out[r, used[r]] = cand[r, p]
-        used[r] += 1
-        alive[r] &= alpha * alpha * apart[r, p] > d[r]
-        alive[r, p] = False
+        out[:, k] = np.where(some, cand[every, pick], -1)
+        alive &= far[every, pick]
     return out
 
 
 def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = ALPHA) -> tuple[np.ndarray, int]:
     """Graph (rows of neighbours) and entry node of one shard."""
-    n = len(x)
+    n, room = len(x), degree + degree // 2
     entry = int(((x - x.mean(0)) ** 2).sum(1).argmin())
-    graph = np.full((n, degree), -1, np.int32)
+    graph = np.full((n, room), -1, np.int32)
     order = np.random.default_rng(7).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
     at, size = 1, 16
@@ -157,7 +171,7 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = AL
         cand, _ = beam_search(x, graph, entry, x[batch], beam)
         if at < 96:  # a small graph: all of it is close
             cand = np.concatenate([cand, np.broadcast_to(order[:at], (len(batch), at))], 1).astype(np.int32)
-        graph[batch] = robust_prune(x, batch, cand, degree, alpha)
+        graph[batch, :degree] = robust_prune(x, batch, cand, degree, alpha)
         src, slot = np.nonzero(graph[batch] >= 0)
         to, back = graph[batch[src], slot], batch[src]
         by = np.argsort(to, kind="stable")
@@ -166,14 +180,20 @@ def build(x: np.ndarray, degree: int = DEGREE, beam: int = 64, alpha: float = AL
         extra = np.full((len(nodes), int(count.max())), -1, np.int32)
         extra[np.repeat(np.arange(len(nodes)), count), np.arange(len(to)) - np.repeat(first, count)] = back
         joined = np.concatenate([graph[nodes], extra], 1)
-        fits = (joined >= 0).sum(1) <= degree
-        packed = -np.sort(-joined[fits], 1)[:, :degree]
+        # Back edges may fill a node's room; it is pruned when they do not fit, and at the end.
+        fits = (joined >= 0).sum(1) <= room
+        packed = -np.sort(-joined[fits], 1)[:, :room]
         graph[nodes[fits]] = packed
         if (~fits).any():
-            graph[nodes[~fits]] = robust_prune(x, nodes[~fits], joined[~fits], degree, alpha)
+            graph[nodes[~fits], :degree] = robust_prune(x, nodes[~fits], joined[~fits], degree, alpha)
+            graph[nodes[~fits], degree:] = -1
         at += len(batch)
         size = max(16, min(256, 2 * size, CELLS // n))
-    return graph, entry
+    over = np.flatnonzero((graph >= 0).sum(1) > degree)
+    if len(over):
+        graph[over, :degree] = robust_prune(x, over, graph[over], degree, alpha)
+    # What has room to spare stands in the first places: neighbours are packed or pruned, and both fill from the left.
+    return np.ascontiguousarray(graph[:, :degree]), entry
 
 
 def index_shard(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

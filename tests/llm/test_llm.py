@@ -616,6 +616,26 @@ def test_vector_search(spark):
     assert ann_graph.nearest(few, few, 20, "vec_id", "embedding").count() == 6
 
 
+def test_graph_prunes_few_nodes_and_beams_are_in_order(monkeypatch):
+    """Work of the index: a node is pruned a few times, not once for each edge that comes back to it."""
+    r = np.random.default_rng(1)
+    x = (r.standard_normal((20, 64))[r.integers(0, 20, 3000)] + 2 * r.standard_normal((3000, 64))).astype(np.float32)
+    pruned, prune = [], ann_graph.robust_prune
+    monkeypatch.setattr(ann_graph, "robust_prune", lambda x, nodes, *a, **b: pruned.append(len(nodes)) or prune(x, nodes, *a, **b))
+    graph, entry = ann_graph.build(x)
+    assert sum(pruned) <= 3.5 * len(x)
+    assert graph.shape == (len(x), ann_graph.DEGREE) and (np.sort(graph, 1)[:, 1:] != np.sort(graph, 1)[:, :-1])[np.sort(graph, 1)[:, 1:] >= 0].all() and not (graph == np.arange(len(x))[:, None]).any()
+    q = x[::30] + np.float32(0.1)
+    ids, dist = ann_graph.beam_search(x, graph, entry, q, 128)
+    want = ((q[:, None] - x[None]) ** 2).sum(2)
+    assert (np.diff(dist, axis=1) >= 0).all() and np.allclose(dist, np.take_along_axis(want, ids.astype(np.int64), 1), atol=1e-3)
+    nearest = np.argsort(want, 1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(ids[:, :20].tolist(), nearest.tolist(), strict=True)]) >= 0.97
+    # A graph of fewer nodes than the beam: all of them once, then unused places.
+    few, far = ann_graph.beam_search(x[:5], np.array([[1, 2, 1], [0, 3, -1], [0, 4, -1], [1, -1, -1], [2, -1, -1]], np.int32), 0, x[:2], 8)
+    assert np.sort(few[:, :5], 1).tolist() == [[0, 1, 2, 3, 4]] * 2 and (few[:, 5:] == -1).all() and np.isinf(far[:, 5:]).all() and np.isfinite(far[:, :5]).all()
+
+
 def test_vector_search_of_any_size(spark):
     x = np.random.default_rng(0).standard_normal((1500, 8))
     for scale in (1e25, 1e150, 1e-30):
