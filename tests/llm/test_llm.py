@@ -435,6 +435,42 @@ def test_sums_in_two_levels(spark, monkeypatch):
     assert total().tolist() == [499_500, 13, 0]
 
 
+def test_sketch_adds_every_pair():
+    """Counted pairs and those added one by one, whatever the share of ids with a column."""
+    r = np.random.default_rng(2)
+    ids = r.zipf(1.3, (3, 400)) % lm_scoring.VOCABULARY
+    row, base = lm_scoring.row_of(np.arange(lm_scoring.VOCABULARY)), r.random(lm_scoring.VOCABULARY) / lm_scoring.VOCABULARY
+    pairs = [(x[:-1], x[1:]) for x in ids]
+    signs = np.random.default_rng(3).standard_normal((lm_scoring.VOCABULARY, lm_scoring.SKETCH)).astype(np.float32)
+    signs /= np.sqrt(base * lm_scoring.VOCABULARY + 1)[:, None]
+    want = np.zeros((lm_scoring.ROWS, lm_scoring.SKETCH + 1))
+    for a, b in pairs:
+        np.add.at(want, row[a], np.concatenate([signs[b], np.ones((len(b), 1))], 1))
+    for most in (0, 5, lm_scoring.OWN_IDS):
+        column = np.full(lm_scoring.VOCABULARY, lm_scoring.OWN_IDS, np.int32)
+        column[:most] = np.arange(most)
+        assert np.allclose(lm_scoring.sketch_of(pairs, row, base, column), want, atol=1e-4)
+
+
+def test_training_steps_stay_in_single_precision():
+    """Moves of the weights are single precision and made in place: nothing of the embedding table's size is made anew."""
+    import tracemalloc
+
+    r = np.random.default_rng(4)
+    rows, v, k = 4096, 500, lm_scoring.CLASSES
+    kind = r.integers(0, k, rows).astype(np.int32)
+    book = attention.Book(r.random((v, k)).astype(np.float32), np.append(kind, 0).astype(np.int32), np.ones((2, 3), np.float32), np.full(v, 2, np.int32), np.ones(2, np.float32))
+    trainer = attention.Trainer(attention.init(rows, k, kind, np.ones(k) / k), book, 2, 0.01, 1)
+    x, y = r.integers(0, rows, (8, attention.LENGTH)).astype(np.int32), r.integers(0, v, (8, attention.STRIDE)).astype(np.int32)
+    trainer.run(x, y, np.full(y.shape, 0.1, np.float32), 2)
+    table = trainer.p["E"].nbytes
+    tracemalloc.start()
+    trainer.run(x, y, np.full(y.shape, 0.1, np.float32), 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.5 * table and all(z.dtype == np.float32 for z in trainer.p.values())
+
+
 def test_attention_probabilities_and_gradients():
     r = np.random.default_rng(0)
     k, vocabulary, rows = 5, 12, 9
@@ -741,3 +777,13 @@ def test_later_tasks_hold_no_lexicon(spark):
 
     got = textio.map_batches(table.select("text"), held, "n long, lexicons long").collect()
     assert sum(r.n for r in got) == 40 and all(r.lexicons == 0 for r in got)
+
+
+def test_index_of_hashes():
+    r = np.random.default_rng(6)
+    for n in (0, 1, 2, 50_000):
+        keys = np.unique(r.integers(0, 1 << 64, n, np.uint64))
+        keys = np.unique(np.concatenate([keys, keys[: n // 10] | np.uint64(1)]))
+        wanted = np.concatenate([keys, keys + np.uint64(1), np.array([0, 2**64 - 1], np.uint64), r.integers(0, 1 << 64, 1000, np.uint64)])
+        at, found = lm_scoring._Index(keys).find(wanted)
+        assert (found == np.isin(wanted, keys)).all() and (not n or (keys[at[found]] == wanted[found]).all())
