@@ -1,24 +1,30 @@
 """Byte-level BPE encoding and decoding by ranked merges in higher-order functions.
 
-``merged`` is the fold: over the byte array of a piece it merges the adjacent pair of least rank until none has a rank.
-The ranks are a literal map (in hashed buckets, as a map look-up is linear in its size); the ranks of a piece's pairs
-are carried along, so that a merge looks up two. ``decode_ids`` concatenates binary pieces from a literal array.
-
-A text is cut by the pattern of the public tokenizer into pieces that are encoded separately. Spark counts the distinct
-words of all texts and folds their distinct pieces, each once. The most frequent pieces (at most ``HEAD``, none above
-``SHORT`` bytes, so their size has a bound) are broadcast as sorted hash arrays (64 bits of one hash, 32 of another)
-with their ids. Python then only writes each text down as ids of those and numbered gaps. Pieces beyond the bound are
-folded by the same functions in the row of each text that has them, in the same stage: nothing is shuffled but the
-counts. A last step fills the gaps, decodes the whole text from its ids and hashes both. A fold over arrays is
-quadratic, so pieces above ``LONG`` bytes are merged by a heap in Python.
+A text is cut by the pattern of the public tokenizer into pieces that are encoded separately. Python cuts the texts of a
+task and numbers their distinct pieces; each is folded once when it is first met, and a last step in the same stage
+writes the texts down from what earlier rows of the task gave. Nothing is shuffled, broadcast or collected; past ``HEAD``
+pieces or ``KEPT`` bytes the numbering begins anew, which changes no result.
+
+The fold (``merged_in_order``): a piece is a string with a character for each of its parts, and over the ranks of the
+tokens that occur in its bytes, in ascending order, each rank's pair is replaced by its token. This is the same as
+merging the adjacent pair of least rank again and again, if every token of two bytes or more comes down to two parts by
+the merges that rank below it (``halves`` checks that for all tokens). Proof: let a merge of rank r be the first that is
+followed by one of a lower rank s, of a token t. It made one of t's two parts, so before it t's bytes were three parts,
+and no merge had crossed their ends; all merges below s inside them were done, which leaves two parts by the check, and
+these would have been merged at s, before r. So ranks only rise, only the two parts of the check are ever merged to a
+token, all places of a pair can be merged at once from the left, and a token that occurs nowhere in the bytes is never
+made. Tables that fail the check are folded by ``merged``, which searches the least rank anew after each merge.
+
+``merged`` carries the ranks of a piece's pairs along, so that a merge looks up two; its ranks are a literal map (in hashed
+buckets, as a map look-up is linear in its size). ``decode_ids`` concatenates binary pieces from a literal array. A fold
+is quadratic, so pieces above ``LONG`` bytes are merged by a heap in Python.
 
 Where a text has no two white space characters in a row, its pieces are those of its words, each taken with the
 space or line end before it, so they are kept by word; other texts go through the pattern whole.
 
 Defined cases: null and empty texts have no ids; bytes that are not UTF-8 never occur in a Spark string; a text of any
-length is encoded whole, and a piece of any length takes O(n log n); of equal counts the whole class of pieces is in
-the head or outside, which changes no result; repeated rows give repeated rows; an empty table gives no rows; other
-columns are not read, whatever their names.
+length is encoded whole, and a piece of any length takes O(n log n); repeated rows give repeated rows; an empty table
+gives no rows; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,22 +35,20 @@ import hashlib
 import heapq
 import itertools
 import json
-import re
 import zlib
-from collections import Counter
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textio
 
-#: Pieces that are broadcast, bytes of one of them, bytes above which a piece is merged by a heap, buckets of the
-#: literal rank map, bytes of words that a task keeps.
-HEAD, SHORT, LONG, BUCKETS, KEPT = 2 << 20, 24, 512, 1 << 15, 40 << 20
+#: Pieces and bytes of words that a task keeps, bytes above which a piece is merged by a heap, new pieces of a row,
+#: buckets of the literal rank map.
+HEAD, KEPT, LONG, NEW, BUCKETS = 1 << 20, 128 << 20, 512, 2000, 1 << 15
 #: No rank: larger than any.
 NONE = 2**31 - 1
 #: The characters with the property White_Space, as \s means in the pattern.
@@ -63,12 +67,17 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         return [whole]
     if len(piece) > 48:
         return _merge_long(piece, ranks)
+    return [ranks[p] for p in _parts(piece, ranks)]
+
+
+def _parts(piece: bytes, ranks: dict[bytes, int], below: int = NONE) -> list[bytes]:
+    """What is left of a piece by the merges that rank below a rank."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
     get = ranks.get
     pairs = [get(parts[i] + parts[i + 1], NONE) for i in range(len(parts) - 1)]
     while pairs:
         least = min(pairs)
-        if least == NONE:
+        if least >= below:
             break
         i = pairs.index(least)
         parts[i] += parts.pop(i + 1)
@@ -77,7 +86,93 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
             pairs[i - 1] = get(parts[i - 1] + parts[i], NONE)
         if i < len(pairs):
             pairs[i] = get(parts[i] + parts[i + 1], NONE)
-    return [ranks[p] for p in parts]
+    return parts
+
+
+@functools.cache
+def halves(path: str) -> dict[int, tuple[int, int]] | None:
+    """The two tokens that each token of two bytes or more is merged from; None if the merges that rank below some
+    token do not leave two parts of it."""
+    ranks, out = load_ranks(path), {}
+    for token, rank in ranks.items():
+        if len(token) > 1:
+            parts = _parts(token, ranks, rank)
+            if len(parts) != 2:
+                return None
+            out[rank] = (ranks[parts[0]], ranks[parts[1]])
+    return out
+
+
+def char_of(rank: int) -> str:
+    """The character that stands for a token in the fold, beyond Latin-1 and the surrogates."""
+    return chr(rank + 0x100 if rank < 0xD700 else rank + 0x900)
+
+
+class Within:
+    """Finds the tokens that occur in pieces: a tree of what tokens begin with, its edges in a hash table."""
+
+    BITS = 19
+
+    def __init__(self, ranks: dict[bytes, int]):
+        node = {bytes([i]): i for i in range(256)}
+        edges, rank = [], [-1] * 256
+        for token, r in ranks.items():
+            for n in range(2, len(token) + 1):
+                if token[:n] not in node:
+                    edges.append(node[token[: n - 1]] << 8 | token[n - 1])
+                    node[token[:n]] = len(rank)
+                    rank.append(-1)
+            if len(token) > 1:
+                rank[node[token]] = r
+        self.rank, bits = np.array(rank, np.int32), max(self.BITS, (4 * len(edges)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.edge, self.node = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        edge, to = np.array(edges, np.int64), np.arange(256, len(rank), dtype=np.int32)
+        at = self._place(edge)
+        while len(edge):
+            free = self.edge[at] < 0
+            self.edge[at[free]] = edge[free]
+            own = self.edge[at] == edge
+            self.node[at[own]] = to[own]
+            edge, to, at = edge[~own], to[~own], at[~own] + 1 & self.last
+
+    def _place(self, edge: np.ndarray) -> np.ndarray:
+        return (edge.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def follow(self, edge: np.ndarray) -> np.ndarray:
+        """Where edges lead, -1 where there is none."""
+        at = self._place(edge)
+        there = self.edge[at]
+        while len(other := np.flatnonzero((there != edge) & (there >= 0))):
+            at[other] = at[other] + 1 & self.last
+            there[other] = self.edge[at[other]]
+        return np.where(there < 0, -1, self.node[at])
+
+    def ranks_in(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the tokens of two bytes or more that occur in each piece, ascending, and the pieces' offsets."""
+        raw = np.frombuffer(b"".join(pieces), np.uint8).astype(np.int64)
+        sizes = textio.spans(map(len, pieces))
+        of = np.repeat(np.arange(len(pieces)), np.diff(sizes))
+        end, at, node = sizes[1:][of], np.arange(1, len(raw) + 1), raw
+        found = []
+        while True:
+            on = np.flatnonzero(at < end)
+            of, end, at, node = of[on], end[on], at[on], node[on]
+            if not len(on):
+                break
+            node = self.follow(node << 8 | raw[at])
+            on = np.flatnonzero(node >= 0)
+            of, end, at, node = of[on], end[on], at[on] + 1, node[on].astype(np.int64)
+            rank = self.rank[node]
+            found.append((of << 32 | rank)[rank >= 0])
+        each = np.sort(np.concatenate([np.zeros(0, np.int64), *found]))
+        each = each[np.concatenate([[True], each[1:] != each[:-1]])[: len(each)]]
+        return (each & 0xFFFFFFFF).astype(np.int32), textio.spans(np.bincount(each >> 32, minlength=len(pieces)))
+
+
+@functools.cache
+def _within(path: str) -> Within:
+    return Within(load_ranks(path))
 
 
 def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -115,178 +210,192 @@ class Cutter:
         import regex
 
         self.cut = regex.compile(pattern.replace(r"[^\s", f"[^{WHITE_SPACE}").replace(r"\S", f"[^{WHITE_SPACE}]").replace(r"\s", f"[{WHITE_SPACE}]")).findall
-        self.runs = regex.compile(f"[{WHITE_SPACE}][{WHITE_SPACE}]")
-        self.others = regex.compile(f"[{WHITE_SPACE.replace(' ', '').replace(chr(10), '')}]")
 
     def words(self, text: str) -> list[str] | None:
         """The text's words, the first as it stands and others with the space or line end before them; None if its
         pieces are not those of words."""
-        if text[0] in WHITE_SPACE or text[-1] in WHITE_SPACE or self.runs.search(text) or self.others.search(text):
+        words, lines = text.split(), "\n" in text
+        if " ".join(words) != (text.replace("\n", " ") if lines else text):  # split also cuts at x1C to x1F
             return None
-        return text.replace("\n", " \n").split(" ")
-
-    def pieces(self, word: str) -> list[str]:
-        """Of a word that is not the first. A line end starts a word after it; all others stand after a space."""
-        return self.cut(word if word.startswith("\n") else " " + word)
-
-
-def count_pieces(docs: DataFrame, pattern: str) -> DataFrame:
-    """(piece, n) of all texts, but for pieces above SHORT bytes."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Distinct words, and pieces of texts that are not cut by word, of a part of the texts."""
-        cutter, counts, others = Cutter(pattern), Counter(), Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            for whole, c in ((False, counts), (True, others)):
-                c = {w: n for w, n in c.items() if not whole or len(w.encode()) <= SHORT}
-                yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(np.full(len(c), whole)), pa.array(list(c.values()), pa.int64())], ["word", "whole", "n"])
-            counts.clear(), others.clear()
-
-        for batch in textio.slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                if not text:
-                    continue
-                got = cutter.words(text)
-                if got is None:
-                    others.update(cutter.cut(text))
-                else:
-                    others.update(cutter.cut(got[0]))
-                    counts.update(got[1:])
-            if len(counts) + len(others) > 300_000:
-                yield from out()
-        yield from out()
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(pattern)
-        for batch in batches:
-            c: Counter[str] = Counter()
-            for w, whole, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                for p in (w,) if whole else cutter.pieces(w):
-                    if len(p) <= SHORT and len(p.encode()) <= SHORT:
-                        c[p] += n
-            yield pa.RecordBatch.from_arrays([pa.array(list(c.keys()), pa.string()), pa.array(list(c.values()), pa.int64())], ["piece", "n"])
-
-    distinct = textio.map_batches(docs.select("text"), words, "word string, whole boolean, n long").groupBy("word", "whole").agg(F.sum("n").alias("n"))
-    return textio.map_batches(distinct, pieces, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-
-
-class Head:
-    """Frequent pieces with their ids, found by hash."""
-
-    def __init__(self, hashes: np.ndarray, checks: np.ndarray, ids: np.ndarray, at: np.ndarray):
-        order = np.argsort(hashes)
-        self.hashes, self.checks = hashes[order], checks[order].astype(np.uint32)
-        self.begin, self.end, self.ids = at[:-1][order].astype(np.int32), at[1:][order].astype(np.int32), ids.astype(np.uint16 if len(ids) == 0 or ids.max() < 1 << 16 else np.uint32)
-
-    def find(self, pieces: list[str]) -> list[str | None]:
-        """Ids joined by commas, None for other pieces."""
-        if not len(self.hashes):
-            return [None] * len(pieces)
+        return text.replace("\n", " \n").split(" ") if lines else words
+
+    def pieces(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """Of words after the first, all pieces, and how many each word has. A line end starts a word after it; all
+        others stand after a space, so they are cut as one text, in which only a word's first piece has a space."""
+        own = [w.startswith("\n") for w in words]
+        spaced = [w for w, line in zip(words, own, strict=True) if not line]
+        out = self.cut(" " + " ".join(spaced)) if spaced else []
+        begin = np.flatnonzero(np.fromiter((p[0] == " " for p in out), bool, len(out)))
+        counts = np.zeros(len(words), np.int64)
+        counts[~np.array(own, bool)] = np.diff(begin, append=len(out))
+        if len(spaced) == len(words):
+            return out, counts
+        ends = np.cumsum(counts).tolist()
+        each = [self.cut(w) if line else out[end - n : end] for w, line, end, n in zip(words, own, ends, counts.tolist(), strict=True)]
+        return list(itertools.chain.from_iterable(each)), np.fromiter(map(len, each), np.int64, len(each))
+
+
+class Writer:
+    """Texts to numbers of their pieces. Words and pieces are kept by ``known`` and ``numbers`` up to a bound."""
+
+    def __init__(self, path: str, pattern: str, most: int, ordered: bool):
+        self.ranks, self.cutter, self.most = load_ranks(path), Cutter(pattern), most
+        self.within = _within(path) if ordered else None
+        self.chars = [char_of(self.ranks[bytes([i])]) for i in range(256)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.numbers: dict[str, int] = {}
+        # Word k has the pieces of ``at[k]`` to ``at[k + 1]``.
+        self.at, self.of_words, self.held = array("i", [0]), array("i"), 0
+
+    def keys(self, text: str) -> list[str]:
+        """Words after the first, and with a space before them pieces that stand by themselves."""
+        if not text:
+            return []
+        words = self.cutter.words(text)
+        if words is None:
+            return [" " + p for p in self.cutter.cut(text)]
+        words[:1] = [" " + p for p in self.cutter.cut(words[0])]
+        return words
+
+    def write(self, texts: list[str]) -> tuple[list[bytes], int, list[str]]:
+        """Of each text the numbers of its pieces, the number of the first new piece, and the new pieces."""
+        if self.held > KEPT or len(self.numbers) > self.most:
+            self.forget()
+        known, numbers = self.known, self.numbers
+        first = len(numbers)
+        keys = [self.keys(t) for t in texts]
+        flat = list(itertools.chain.from_iterable(keys))
+        rows = np.fromiter(map(known.get, flat, itertools.repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(rows < 0)
+        words = list(dict.fromkeys([flat[i] for i in missing.tolist()]))
+        alone = [w for w in words if w[0] == " "]
+        words = [w for w in words if w[0] != " "]
+        pieces, n = self.cutter.pieces(words)
+        pieces += [w[1:] for w in alone]
+        words += alone
+        n = np.concatenate([n, np.ones(len(alone), np.int64)])
+        of = np.fromiter(map(numbers.get, pieces, itertools.repeat(-1)), np.int32, len(pieces))
+        unseen = np.flatnonzero(of < 0).tolist()
+        new = list(dict.fromkeys([pieces[i] for i in unseen]))
+        numbers.update(zip(new, range(first, first + len(new)), strict=True))
+        of[unseen] = [numbers[pieces[i]] for i in unseen]
+        self.at.frombytes((self.at[-1] + np.cumsum(n)).astype(np.int32).tobytes())
+        self.of_words.frombytes(of.tobytes())
+        known.update(zip(words, range(len(known), len(known) + len(words)), strict=True))
+        self.held += 180 * len(words) + 150 * len(new) + sum(map(len, words)) + 4 * sum(map(len, new))
+        rows[missing] = [known[flat[i]] for i in missing.tolist()]
+        at, of_words = np.array(self.at, np.int64), np.array(self.of_words, np.int32)
+        n = at[rows + 1] - at[rows]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        pieces = of_words[np.arange(int(ends[-1])) + np.repeat(at[rows] - ends[:-1], n)]
+        cuts = ends[textio.spans(map(len, keys))].tolist()
+        return [pieces[a:b].tobytes() for a, b in itertools.pairwise(cuts)], first, new
+
+    def begin(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Pieces as the fold begins them, their ranks and offsets; long ones as they end, without ranks."""
         raw = [p.encode() for p in pieces]
-        wanted = np.fromiter((xxhash.xxh64_intdigest(r, 42) for r in raw), np.uint64, len(raw))
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        found = (self.hashes[at] == wanted) & (self.checks[at] == np.fromiter(map(zlib.crc32, raw), np.uint32, len(raw)))
-        ids, begin, end = self.ids, self.begin[at].tolist(), self.end[at].tolist()
-        return [",".join(map(str, ids[a:b].tolist())) if ok else None for ok, a, b in zip(found.tolist(), begin, end, strict=True)]
-
-
-def head_pieces(counts: DataFrame, path: str, most: int) -> Head:
-    """The most frequent pieces, at most ``most`` of them, folded."""
-    folded = encode_words(textio.heaviest(counts, most).select("piece"), path, "piece")
-    got = folded.select(F.xxhash64("piece").alias("h"), F.crc32(F.col("piece").cast("binary")).alias("check"), "ids").toArrow()
-    ids = got["ids"].combine_chunks() if len(got) else pa.array([], pa.list_(pa.int32()))
-    ids = ids if isinstance(ids, pa.ListArray) else pa.concat_arrays(ids.chunks)
-    return Head(got["h"].to_numpy().view(np.uint64), got["check"].to_numpy(), ids.flatten().to_numpy(), textio.spans(ids.value_lengths().to_numpy()))
-
-
-class Encoder:
-    """Texts to ids of the head's pieces and gaps; what words give is kept up to KEPT bytes."""
-
-    def __init__(self, path: str, pattern: str, head: Head):
-        self.ranks, self.head, self.cutter = load_ranks(path), head, Cutter(pattern)
-        self.known: dict[str, str] = {}
-        self.held = 0
-
-    def resolve(self, lists: list[list[str]]) -> dict[str, str | None]:
-        """Ids of all these pieces: from the head, by the heap where they are long, or None."""
-        each = list(dict.fromkeys(itertools.chain.from_iterable(lists)))
-        out = dict(zip(each, self.head.find(each), strict=True))
-        for p in each:
-            if len(p) > LONG // 4 and out[p] is None and len(raw := p.encode()) > LONG:
-                out[p] = ",".join(map(str, merge(raw, self.ranks)))
-        return out
-
-    def templates(self, texts: list[str]) -> tuple[list[str], list[list[str]]]:
-        """Of each text its ids joined by commas, with #k in the place of gap k, and the pieces of the gaps."""
-        if self.held > KEPT:
-            self.known, self.held = {}, 0
-        known = self.known
-        words = [self.cutter.words(t) if t else [] for t in texts]
-        # What stands by itself: first words, and texts that are not cut by word.
-        alone = [self.cutter.cut(t if w is None else w[0]) if t else [] for t, w in zip(texts, words, strict=True)]
-        new = [w for w in dict.fromkeys(itertools.chain.from_iterable(w[1:] for w in words if w)) if w not in known]
-        cut = [self.cutter.pieces(w) for w in new]
-        ids_of = self.resolve([*alone, *cut])
-        odd: dict[str, list[str]] = {}
-        for w, pieces in zip(new, cut, strict=True):
-            got = [ids_of[p] for p in pieces]
-            if None in got:
-                odd[w] = pieces
-            else:
-                known[w] = ids = ",".join(got)
-                self.held += 180 + len(w) + len(ids)
-        out, all_gaps = [], []
-        for own, w in zip(alone, words, strict=True):
-            gaps: dict[str, int] = {}
-            fill = lambda pieces, gaps=gaps: ",".join([ids_of[p] if ids_of[p] is not None else f"#{gaps.setdefault(p, len(gaps))}" for p in pieces])
-            parts = [fill(own)] if own else []
-            if w and len(w) > 1:
-                got = list(map(known.get, w[1:]))
-                if None in got:
-                    got = [x if x is not None else fill(odd[y]) for x, y in zip(got, w[1:], strict=True)]
-                parts += got
-            out.append(",".join(parts))
-            all_gaps.append(list(gaps))
-        return out, all_gaps
+        short = [r if len(r) <= LONG else b"" for r in raw]
+        begun = ["".join(map(self.chars.__getitem__, r)) if s else "".join(map(char_of, merge(r, self.ranks))) for r, s in zip(raw, short, strict=True)]
+        if self.within is not None:
+            return begun, *self.within.ranks_in(short)
+        at = textio.spans(map(bool, short))
+        return begun, np.zeros(int(at[-1]), np.int32), at
+
+    def batch(self, doc_ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
+        """Rows of new pieces, then those of the texts."""
+        numbers, first, new = self.write(texts)
+        begun, ranks, of_ranks = self.begin(new)
+        ahead = -(-len(new) // NEW)
+        empty = np.zeros(len(texts), np.int64)
+        per_row = np.concatenate([np.minimum(NEW, len(new) - NEW * np.arange(ahead)), empty])
+        at = pa.array(textio.spans(per_row).astype(np.int32))
+        within = pa.ListArray.from_arrays(pa.array(of_ranks.astype(np.int32)), pa.array(ranks))
+        columns = [
+            pa.concat_arrays([pa.nulls(ahead, pa.int64()), doc_ids.cast(pa.int64())]),
+            pa.array([None] * ahead + numbers, pa.binary()),
+            pa.array(np.concatenate([first + NEW * np.arange(ahead), empty])),
+            pa.ListArray.from_arrays(at, pa.array(begun, pa.string())),
+            pa.ListArray.from_arrays(at, within),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "numbers", "first", "pieces", "ranks"])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, keep_ids: bool = False, head: int = HEAD) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with keep_ids also ids and decoded."""
-    sc = docs.sparkSession.sparkContext
-    frequent = sc.broadcast(head_pieces(textio.cut(count_pieces(docs, pattern)), path, head))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text; with keep_ids also ids and decoded.
+
+    head: pieces that a task keeps."""
+    ordered = halves(path) is not None
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, pattern, frequent.value)
-        for batch in textio.slices(batches, 1):
-            templates, gaps = encoder.templates([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(templates, pa.string()), pa.array(gaps, pa.list_(pa.string()))], ["doc_id", "template", "gaps"])
+        writer = Writer(path, pattern, head, ordered)
+        for batch in textio.slices(batches, 1, 1 << 19):
+            yield writer.batch(batch.column(0), [t or "" for t in batch.column(1).to_pylist()])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {str(r): t for t, r in load_ranks(path).items()}.__getitem__
-        gap = re.compile("#([0-9]+)")
+        ranks = load_ranks(path)
+        name, token = ({char_of(r): x for t, r in ranks.items() for x in [of(t, r)]}.__getitem__ for of in (lambda t, r: str(r), lambda t, r: t))
+        names: list[str] = []  # ids of each piece, joined by commas
+        tokens: list[bytes] = []
+        counts = array("i")
         for batch in textio.slices(batches, 1):
+            of_batch = np.flatnonzero(batch.column(1).is_valid().to_numpy(zero_copy_only=False))
             n, a, b, ids, decoded = [], [], [], [], []
-            for i, gaps in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if gaps:
-                    i = gap.sub(lambda m, gaps=gaps: gaps[int(m[1])], i)
-                each = i.split(",") if i else []
-                d = b"".join(map(token, each))
-                n.append(len(each))
+            for numbers, first, folded in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                if numbers is None:
+                    if first == 0:
+                        names, tokens, counts = [], [], array("i")
+                    if first != len(names):
+                        raise ValueError("rows of pieces out of order")
+                    names += [",".join(map(name, p)) for p in folded]
+                    tokens += [b"".join(map(token, p)) for p in folded]
+                    counts.extend(map(len, folded))
+                    continue
+                each = np.frombuffer(numbers, np.int32).tolist()
+                i, d = ",".join(map(names.__getitem__, each)), b"".join(map(tokens.__getitem__, each))
+                n.append(sum(map(counts.__getitem__, each)))
                 a.append(hashlib.sha256(i.encode()).hexdigest())
                 b.append(hashlib.sha256(d).hexdigest())
                 if keep_ids:
                     ids.append(i)
                     decoded.append(d)
             extra = [pa.array(ids, pa.string()), pa.array(decoded, pa.binary())] if keep_ids else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *extra], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_batch)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string()), *extra], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if keep_ids else [])])
 
-    written = textio.map_batches(docs.select("doc_id", "text"), write, "doc_id long, template string, gaps array<string>")
-    folded = written.withColumn("gaps", F.transform("gaps", lambda piece: F.array_join(merged(piece, path), ",")))
+    written = textio.map_batches(docs.select("doc_id", "text"), write, "doc_id long, numbers binary, first long, pieces array<string>, ranks array<array<int>>")
+    folded = written.select("doc_id", "numbers", "first", (in_order("pieces", "ranks", path) if ordered else one_by_one("pieces", "ranks", path)).alias("pieces"))
     more = ", ids string, decoded binary" if keep_ids else ""
     return textio.map_batches(folded, fill, f"doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
 
 
+def merged_in_order(start: Column, ranks: Column, path: str) -> Column:
+    """A piece, given as characters of its parts, after the merges of these ascending ranks: the pairs of each are
+    replaced by its token."""
+    of = halves(path)
+    last = max(load_ranks(path).values())
+    pairs = F.split(F.lit(",".join("".join(map(char_of, of[r])) if r in of else "" for r in range(last + 1))), ",")
+    tokens = F.split(F.lit(",".join(map(char_of, range(last + 1)))), ",")
+    return F.aggregate(ranks, start, lambda s, r: F.replace(s, F.get(pairs, r), F.get(tokens, r)))
+
+
+def in_order(pieces: str, ranks: str, path: str) -> Column:
+    """The pieces of a row folded by ``merged_in_order``."""
+    return F.zip_with(pieces, ranks, lambda s, r: merged_in_order(s, r, path))
+
+
+def one_by_one(pieces: str, ranks: str, path: str) -> Column:
+    """The pieces of a row folded by ``merged``; those without a rank stand as they are."""
+    last = max(load_ranks(path).values())
+    tokens = F.split(F.lit(",".join(map(char_of, range(last + 1)))), ",")
+    of_byte = {char_of(load_ranks(path)[bytes([i])]): f"{i:02x}" for i in range(256)}
+    hexes = F.from_json(F.lit(json.dumps(of_byte)), "map<string,string>")
+    raw = lambda s: F.unhex(F.array_join(F.transform(F.split(s, ""), lambda c: F.try_element_at(hexes, c)), ""))
+    fold = lambda s: F.array_join(F.transform(merged(raw(s), path), lambda i: F.get(tokens, i)), "")
+    return F.zip_with(pieces, ranks, lambda s, r: F.when(F.size(r) == 0, s).otherwise(fold(s)))
+
+
 def rank_literal(path: str, buckets: int = BUCKETS) -> Column:
     """The ranks as a literal array of small maps from hex text to rank, indexed by crc32 of that text."""
     maps: list[dict[str, int]] = [{} for _ in range(buckets)]

@@ -183,6 +183,40 @@ def test_byte_bpe(spark, odd):
         assert list(row.ids) == (byte_bpe.merge(row.word.encode(), ranks) if row.word else []) and bytes(row.decoded) == row.word.encode()
 
 
+def test_byte_bpe_folds_each_piece_once_a_task_in_the_order_of_ranks(spark, tmp_path):
+    """Nothing is shuffled, broadcast or collected; tables whose ranks are not in order of their merges are folded by search."""
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = textio.tokenizer_path(textio.BYTE_TOKENIZER)
+    ranks = byte_bpe.load_ranks(path)
+    assert set(byte_bpe.halves(path)) == {r for t, r in ranks.items() if len(t) > 1}
+    texts = ["ofblethst ertionenou,\nofblethst  éaiierré 中文中文\x1ca " * 3, "", " ", "a\nb c.d", "x" * 700 + " y"]
+    rows = docs(spark, [(k, t, "en") for k, t in enumerate(texts)]).coalesce(1)
+    got = byte_bpe.encode(rows, path, public_tokenizers.PATTERN, keep_ids=True)
+    plan = got._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Broadcast" not in plan
+    pieces = [" ofblethst", "aaaaa", "中文", "q", "ertionenou" * 20]
+    flat, at = byte_bpe.Within(ranks).ranks_in([p.encode() for p in pieces])
+    for p, a, b in zip(pieces, at[:-1], at[1:], strict=True):
+        raw = p.encode()
+        assert flat[a:b].tolist() == sorted({ranks[raw[i:j]] for i in range(len(raw)) for j in range(i + 2, len(raw) + 1) if raw[i:j] in ranks})
+    # Here "abcd" is a token that no merges reach, and "ab" ranks below the "b" and "c" that could take its place.
+    own = tmp_path / "own.tiktoken"
+    tokens = [*(bytes([i]) for i in range(256)), b"abcd", b"bc", b"ab", b"bca", b"aa", b"yy"]
+    own.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for r, t in enumerate(tokens)))
+    assert byte_bpe.halves(str(own)) is None
+    r = random.Random(2)
+    more = ["abcd", "yy", *("".join(r.choice("abcdy ") for _ in range(r.randint(0, 30))) for _ in range(200)), "y" * 600]
+    for table, some in ((path, texts), (str(own), more)):
+        lib = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_bpe.load_ranks(table), special_tokens={})
+        for head in (1, 1 << 20):
+            found = byte_bpe.encode(docs(spark, [(k, t, "en") for k, t in enumerate(some)]), table, public_tokenizers.PATTERN, keep_ids=True, head=head).collect()
+            assert {x.doc_id: (x.ids, bytes(x.decoded)) for x in found} == {k: (",".join(map(str, lib.encode_ordinary(t))), t.encode()) for k, t in enumerate(some)}
+
+
 def test_simhash_against_brute_force(spark, odd):
     import xxhash
 
