@@ -505,6 +505,53 @@ def test_training_steps_stay_in_single_precision():
     assert peak < 2.5 * table and all(z.dtype == np.float32 for z in trainer.p.values())
 
 
+def test_training_steps_touch_the_rows_they_meet():
+    """The same weights as plain Adam over whole tables, across the places where decay is made up for; gradients of E are
+    not made for rows that no window of a step meets."""
+    r = np.random.default_rng(6)
+    rows, v, k = 300, 400, 6
+    kind = r.integers(0, k, rows).astype(np.int32)
+    book = attention.Book(r.random((v, k)).astype(np.float32), np.append(kind, 0).astype(np.int32), np.ones((2, 3), np.float32), np.full(v, 2, np.int32), np.ones(2, np.float32))
+    x, y = r.integers(0, rows, (6, attention.LENGTH)).astype(np.int32), r.integers(0, v, (6, attention.STRIDE)).astype(np.int32)
+    word, start = r.random(y.shape).astype(np.float32), attention.init(rows, k, kind, np.ones(k) / k)
+    steps = attention.Trainer.MADE_UP + 10
+    trainer = attention.Trainer(start, book, 2, 0.01, 1)
+    trainer.run(x, y, word, steps)
+    p = {key: z.astype(np.float64) for key, z in start.items()}
+    m, s = ({key: np.zeros(z.shape) for key, z in p.items()} for _ in range(2))
+    rng = np.random.default_rng(1)
+    order, at = rng.permutation(6), 0
+    for t in range(1, steps + 1):
+        if at >= 6:
+            order, at = rng.permutation(6), 0
+        pick, at = order[at : at + 2], at + 2
+        g = attention.gradients({key: z.astype(np.float32) for key, z in p.items()}, book, x[pick], y[pick], word[pick])[1]
+        for key in p:
+            m[key], s[key] = 0.9 * m[key] + 0.1 * g[key], 0.99 * s[key] + 0.01 * g[key] ** 2
+            p[key] -= 0.01 * min(1, t / 8) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t) * m[key] / (np.sqrt(s[key]) + 1e-8)
+    # Adam divides by small numbers, so rounding is not damped where gradients are near 0.
+    for key in p:
+        assert np.quantile(np.abs(trainer.p[key] - p[key]), 0.99) < 2e-3, key
+    met, of_met = attention._gradients(start, book, x[:1], y[:1], word[:1])[2:]
+    assert met.tolist() == np.unique(x[0]).tolist() and of_met.shape == (len(met), attention.DIM)
+
+
+def test_lexicon_stays_for_the_next_task_with_the_same_numbers():
+    """A method of one object is made anew at each access but is the same function; another object's is not."""
+
+    class Of:
+        def numbers(self, ids, counts):
+            return np.ones(len(ids), np.float32)
+
+    lex, one = textio.Lexicon(word_path()), Of()
+    lex.beside(one.numbers)
+    lex.look_up([b"the", b"theory"])
+    lex.beside(one.numbers)
+    assert len(lex.index) == 2
+    lex.beside(Of().numbers)
+    assert len(lex.index) == 0
+
+
 def test_attention_probabilities_and_gradients():
     r = np.random.default_rng(0)
     k, vocabulary, rows = 5, 12, 9
