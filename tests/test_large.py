@@ -219,7 +219,7 @@ def test_dense_clouds_write_no_pairs(spark, monkeypatch):
     assert len({k for _, k in want.values()}) > 3 and any(k is not None and not c for c, k in want.values())
 
 
-BLOCKS = ["dbscan_labels", "cluster_decisions", "cluster_extents", "marking_class", "cluster_shape_class"]
+BLOCKS = ["dbscan_labels", "cluster_decisions", "cluster_extents", "marking_class", "cluster_shape_class", "head_shaft_widths"]
 
 
 @pytest.mark.parametrize("name", BLOCKS)
