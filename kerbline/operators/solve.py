@@ -221,21 +221,48 @@ def pose_graph(poses: np.ndarray, edges: list[tuple[int, int, np.ndarray, np.nda
     return x
 
 
-def simplify(line: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas-Peucker without recursion: indices of the kept vertices."""
+def simplify(line: np.ndarray, tolerance: float, run: int = 256) -> np.ndarray:
+    """Douglas-Peucker without recursion: indices of the kept vertices. Of long stretches only those runs of vertices are
+    looked at whose box reaches as far from the chord as the farthest vertex found, which gives the same vertex (ties to the
+    first)."""
     keep, todo = np.zeros(len(line), bool), [(0, len(line) - 1)]
     keep[[0, -1]] = True
+    starts = np.arange(0, len(line), run)
+    low, high = np.minimum.reduceat(line, starts), np.maximum.reduceat(line, starts)
+    middle, half = (low + high) / 2.0, (high - low) / 2.0
+    inside = np.arange(run)
+
+    def away(at: np.ndarray | slice, a: int, d: np.ndarray, size: float) -> np.ndarray:
+        p = line[at] - line[a]
+        return np.abs(p[:, 0] * d[1] - p[:, 1] * d[0]) / size if size > 0 else np.linalg.norm(p, axis=1)
+
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        d, p = line[b] - line[a], line[a + 1 : b] - line[a]
+        d = line[b] - line[a]
         size = np.linalg.norm(d)
-        away = np.abs(p[:, 0] * d[1] - p[:, 1] * d[0]) / size if size > 0 else np.linalg.norm(p, axis=1)
-        i = int(away.argmax())
-        if away[i] > tolerance:
-            keep[a + 1 + i] = True
-            todo += [(a, a + 1 + i), (a + 1 + i, b)]
+        first, last = -(-(a + 1) // run), b // run
+        if last - first < 16 or size == 0:
+            at: np.ndarray | slice = slice(a + 1, b)
+            far = away(at, a, d, size)
+            i = int(far.argmax())
+            far, i = far[i], a + 1 + i
+        else:
+            p, h = middle[first:last] - line[a], half[first:last]
+            # Rounding is allowed for, so that no run is left out that ties.
+            room = (np.abs(p) + h) * np.abs(d[::-1])
+            reach = (np.abs(p[:, 0] * d[1] - p[:, 1] * d[0]) + h[:, 0] * abs(d[1]) + h[:, 1] * abs(d[0]) + 1e-12 * room.sum(1)) / size
+            ends = np.concatenate([np.arange(a + 1, first * run), np.arange(last * run, b)])
+            best = away((first + int(reach.argmax())) * run + inside, a, d, size).max()
+            runs = first + np.flatnonzero(reach >= best)
+            at = np.sort(np.concatenate([ends, (runs[:, None] * run + inside).ravel()]))
+            far = away(at, a, d, size)
+            i = int(far.argmax())
+            far, i = far[i], int(at[i])
+        if far > tolerance:
+            keep[i] = True
+            todo += [(a, i), (i, b)]
     return np.flatnonzero(keep)
 
 

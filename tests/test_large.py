@@ -228,3 +228,32 @@ def test_blocks_match_oracle(spark, thrice, apart, name, monkeypatch):
     monkeypatch.setattr(density, "SIDES", (4,))
     for at in (thrice, apart):
         matches(spark, at, name)
+
+
+def test_simplify_looks_at_few_runs():
+    """A zigzag with many equally far vertices: the same ones are kept, and not all are looked at for each."""
+    import numpy as np
+
+    seen = [0]
+
+    class Line(np.ndarray):
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            seen[0] += len(got) if got.ndim == 2 else 0
+            return got
+
+    g = np.random.default_rng(3)
+    line = np.stack([np.arange(60_000) / 100.0, g.integers(0, 101, 60_000)], 1)
+    kept = solve.simplify(line.view(Line), 60.0)
+    ends = [0, len(line) - 1]
+    while True:
+        cuts = []
+        for a, b in zip(ends, ends[1:], strict=False):
+            d, p = line[b] - line[a], line[a + 1 : b] - line[a]
+            away = np.abs(p[:, 0] * d[1] - p[:, 1] * d[0]) / np.linalg.norm(d)
+            if len(away) and away.max() > 60.0:
+                cuts.append(a + 1 + int(away.argmax()))
+        if not cuts:
+            break
+        ends = sorted(ends + cuts)
+    assert kept.tolist() == ends and len(ends) > 100 and seen[0] < 60 * len(line)
