@@ -120,13 +120,13 @@ WHERE abs(u) <= 150.0""")
 def observation_gate(spark: SparkSession, d: str) -> DataFrame:
     """Points near a shot, ahead of it, that would be seen within 150 pixels of its axis."""
     shots, p = B.shots(spark, d).select(F.col("image").alias("pid"), "x", "y"), B.points(spark, d).select("pid", "x", "y")
-    # Places meet, within the cone's width at 10 m; those that pass stand for their rows.
-    met = S.box_join(S.places(shots, ("x", "y")), S.places(p, ("x", "y")), (-1.67, 0.0), (1.67, 10.0))
+    # Places meet, within the cone's width at 10 m, and carry their rows: pairs that pass become rows without an exchange.
+    spots = lambda df: S.places(df, ("x", "y"), F.collect_list("pid").alias("pids")).select("x", "y", "pids")
+    met = S.box_join(spots(shots), spots(p), (-1.67, 0.0), (1.67, 10.0))
     side, ahead = F.col("r_x") - F.col("x"), F.col("r_y") - F.col("y")
     u = F.abs(900.0 * side / F.when(ahead > 0.01, ahead))
-    met = met.where((side * side + ahead * ahead <= 100.0) & (u <= 150.0)).select("x", "y", "r_x", "r_y")
-    seen = shots.join(met, ["x", "y"]).select(F.col("pid").alias("image"), F.col("r_x").alias("x"), F.col("r_y").alias("y"))
-    return seen.join(p, ["x", "y"]).select("image", "pid")
+    seen = met.where((side * side + ahead * ahead <= 100.0) & (u <= 150.0)).select("pids", "r_pids")
+    return seen.select(F.explode("pids").alias("image"), "r_pids").select("image", F.explode("r_pids").alias("pid"))
 
 
 @query("""WITH o AS (SELECT image AS ord, x, y, z, least(1.2, greatest(0.3, z)) AS r, CASE WHEN image % 2 = 0 THEN 'red' ELSE 'amber' END AS colour FROM v_shots),

@@ -272,3 +272,10 @@ def test_localise_writes_no_contents_of_boxes(spark, monkeypatch):
     # Half the points lie at depth 10, which is the quantile; 30 of them with y 0, 0.1 .. 0.4.
     assert {(r.matched, round(r.x, 9), round(r.y, 9), round(r.z, 9)) for r in got} == {(True, 10.0, 0.2, 5.125)} and len(got) == 200
     assert all(df.count() <= 60 for df in written)
+
+
+def test_gate_exchanges_places_only(spark, thrice, apart):
+    """Pairs that pass are rows at once: only the two sides are dealt, by place and by cell."""
+    plan = QUERIES["observation_gate"](spark, thrice)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning") <= 4 and plan.count("Join") == 1
+    matches(spark, apart, "observation_gate")
